@@ -17,7 +17,7 @@ def read_lines(spark: SparkSession, path: str, newline: str = "spark", split_byt
     if split_bytes:
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
     if newline == "pairs":
-        whole = spark.read.option("wholetext", True).text(path)
+        whole = spark.read.text(path, wholetext=True)
         return split_lines(whole, F.col("value")).select("line")
     lines = spark.read.text(path).select(F.col("value").alias("line"))
     return lines.repartition(split_count) if split_count else lines
