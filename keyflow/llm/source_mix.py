@@ -1,6 +1,6 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
-The plan has `SLOTS` slots, each of the same number of words (the total over SLOTS, rounded up). Slot i goes to the
+A slot is a number of words, the total over SLOTS, rounded up; the plan has as many slots as make up the total. Slot i goes to the
 source in whose share of the line [0, 1) the golden-ratio point frac(i * phi) falls (in 32-bit integers, so that all
 engines agree); every run of slots holds each source close to its weight. A source's documents are shuffled by a
 hash of the id and laid end to end; the line is cut into blocks of that many words, and the source's k-th slot takes
@@ -82,6 +82,7 @@ def mix(docs: DataFrame, slots: int = SLOTS, passes: int = MAX_PASSES) -> DataFr
     numbers = {s: k for k, s in enumerate(sorted(goals, key=lambda s: (s is None, [ord(c) for c in s or ""])))}
     of = {s: n for s, n, _ in found}
     block = max(1, -(-sum(of.values()) // slots))
+    slots = -(-sum(of.values()) // block)
     rows = [(s, numbers[s], of[s], goals[s], max(1, -(-of[s] // block))) for s in numbers]
     sources = spark.createDataFrame(rows, "source string, source_no int, source_size long, target double, blocks long")
     buckets = max(1, min(1 << 20, sum(n for *_, n in found) // _BUCKET))
@@ -133,7 +134,7 @@ g AS (SELECT r.source, r.no, r.source_size, CASE WHEN (t.total - lev.capped) * w
       ELSE (t.total - lev.capped) * weight / lev.free END AS target FROM r, t, lev),
 b AS (SELECT *, coalesce(CAST(floor(sum(target) OVER (ORDER BY no) / sum(target) OVER () * 4294967296.0) AS BIGINT), 0) AS upto FROM g),
 b2 AS (SELECT *, lag(upto, 1, 0) OVER (ORDER BY no) AS since, max(no) OVER () AS most FROM b),
-slots AS (SELECT b2.no, count(*) AS n FROM (SELECT (i * 2654435769) & 4294967295 AS p FROM range(1048576) AS x(i)) JOIN b2
+slots AS (SELECT b2.no, count(*) AS n FROM (SELECT (i * 2654435769) & 4294967295 AS p FROM range(1048576) AS x(i), t WHERE i < (t.total + t.block - 1) // t.block) JOIN b2
           ON p >= since AND (p < upto OR no = most) GROUP BY b2.no),
 q AS (SELECT b2.*, t.block, greatest(1, (source_size + t.block - 1) // t.block) AS blocks, coalesce(slots.n, 0) AS n FROM b2 CROSS JOIN t LEFT JOIN slots ON b2.no = slots.no),
 p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY o, doc_id, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM d)
