@@ -406,7 +406,7 @@ def _temporary() -> str:
     return tempfile.mkdtemp(prefix="keyflow-")
 
 
-@query("WITH c AS (SELECT vec_id AS k, embedding AS e FROM embeddings WHERE vec_id < 10), d AS (SELECT v.vec_id, c.k, list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: abs(CAST(v.embedding[i] AS DOUBLE) - CAST(c.e[i] AS DOUBLE)))) / len(v.embedding) AS dist FROM embeddings v, c), a AS (SELECT vec_id, arg_min(k, (dist, k)) AS k FROM d GROUP BY vec_id), x AS (SELECT a.k, pos - 1 AS pos, avg(CAST(v.embedding[pos] AS DOUBLE)) AS m FROM a JOIN embeddings v USING (vec_id), range(1, 65) AS g(pos) WHERE pos <= len(v.embedding) GROUP BY 1, 2) SELECT k, CAST(pos AS INTEGER) AS pos, round(m, 4) AS m FROM x")
+@query("WITH c AS (SELECT vec_id AS k, embedding AS e FROM embeddings WHERE vec_id < 10), d AS (SELECT v.vec_id, c.k, list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: abs(CAST(v.embedding[i] AS DOUBLE) - CAST(c.e[i] AS DOUBLE)))) / len(v.embedding) AS dist FROM embeddings v, c), a AS (SELECT vec_id, arg_min(k, (dist, k)) AS k FROM d GROUP BY vec_id), x AS (SELECT a.k, pos - 1 AS pos, avg(CAST(v.embedding[pos] AS DOUBLE)) AS m FROM a JOIN embeddings v USING (vec_id), range(1, 65) AS g(pos) WHERE pos <= len(v.embedding) GROUP BY 1, 2) SELECT k, CAST(pos AS INTEGER) AS pos, round(m, 4) + 0.0 AS m FROM x")
 def kmeans_step(spark, sf_dir):
     """One step of k-means by mean absolute distance: the 10 centroids, not the rows, are broadcast."""
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
@@ -414,7 +414,7 @@ def kmeans_step(spark, sf_dir):
     total = lambda c: F.aggregate(F.zip_with("e", c["c"], lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) / F.size("e")
     nearest = F.array_min(F.transform("cs", lambda c: F.struct(total(c).alias("dist"), c["k"].alias("k"))))
     near = e.crossJoin(F.broadcast(centroids)).select(nearest["k"].alias("k"), "e")
-    return near.select("k", F.posexplode("e").alias("pos", "x")).groupBy("k", "pos").agg(F.round(F.avg("x"), 4).alias("m"))
+    return near.select("k", F.posexplode("e").alias("pos", "x")).groupBy("k", "pos").agg((F.round(F.avg("x"), 4) + 0.0).alias("m"))
 
 
 @query("SELECT CAST(pos - 1 AS INTEGER) AS pos, round(sum(CAST(embedding[pos] AS DOUBLE)), 4) AS total FROM embeddings, range(1, 65) AS g(pos) GROUP BY pos")
