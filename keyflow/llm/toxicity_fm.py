@@ -8,7 +8,8 @@ takes gradient steps over its own rows from the shared weights, and the rows' we
 starts the next round. Weights are at most MAX_FEATURES * (RANK + 1) numbers.
 
 Defined results: null and empty texts score by the bias alone; with no labelled row, or labels of one class only,
-all texts score that class's smoothed share. Repeated rows each get their row; other columns are not read.
+all texts score that class's smoothed share. Repeated rows each get their row; of a repeated labelled id, one text is
+learned. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def _buckets(batches: Iterator) -> Iterator:
             lists.append(sorted(found))
             if len(known) > _KEEP:
                 known.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), batch.column(1)], names=["terms", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), batch.column(1), batch.column(2)], names=["terms", "toxic", "doc_id"])
 
 
 def design(rows: list[list[int]], index: dict[int, int], scale):
@@ -107,8 +108,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> M
     labels = labels.select("doc_id", F.col("toxic").cast("float").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = max_rows / max(1, labels.count())
     sample = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    rows = common.materialize(rows.mapInArrow(_buckets, "terms array<int>, toxic float"), "fm")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic", "doc_id")
+    rows = rows.mapInArrow(_buckets, "terms array<int>, toxic float, doc_id long")
+    # one row an id, however often it is repeated: the sample stays within max_rows
+    rows = common.materialize(rows.groupBy("doc_id").agg(F.min(F.struct("terms", "toxic")).alias("x")).select("doc_id", "x.terms", "x.toxic"), "fm")
     n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0.0))).first()
     if not 0 < positive < n:
         return Model({}, np.zeros(0, np.float32), math.log((positive + 1) / (n - positive + 1)), np.zeros(0, np.float32), np.zeros((0, RANK), np.float32))
@@ -119,8 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> M
     index = {r.term: k for k, r in enumerate(best)}
     scale = np.array([math.log((n + 1) / r.df) / math.log(n + 1) for r in best], np.float32)
     bias, w, v = math.log(positive / (n - positive)), np.zeros(len(best), np.float32), np.random.default_rng(7).normal(0, 0.02, (len(best), RANK)).astype(np.float32)
-    # rows are dealt by their content, so that reruns agree
-    dealt = common.materialize(rows.repartition(max(1, math.ceil(n / ROWS_PER_TASK)), F.xxhash64("terms")), "fm-dealt")
+    # rows are dealt by a hash of the id: reruns agree, and copies of a text spread over the tasks
+    dealt = common.materialize(rows.repartition(max(1, math.ceil(n / ROWS_PER_TASK)), F.xxhash64("doc_id")).select("terms", "toxic"), "fm-dealt")
     for _ in range(ROUNDS):
         now = spark.sparkContext.broadcast((index, scale, bias, w, v))
 
