@@ -1,6 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text's terms (runs of letters, A-Z lowered) are hashed to 2**18 buckets; the features are the buckets that tell
+A text's terms (runs of letters, A-Z lowered, and their first `STEM_LETTERS` letters, which inflected forms share) are
+hashed to 2**18 buckets; the features are the buckets that tell
 the classes apart best in the labelled sample (by `MIN_Z` standard errors or more), at most `MAX_FEATURES`. The score is the logistic of
 `bias + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j`, so two terms that are harmless alone can weigh together. It is
 fitted on a bounded sample of labelled rows (`MAX_TRAIN_ROWS`, by a hash of the id): in each round every task
@@ -28,7 +29,8 @@ MAX_TRAIN_ROWS, ROWS_PER_TASK = 20_000, 5_000
 BUCKETS, MAX_FEATURES, MIN_DOCS = 1 << 18, 2048, 4
 #: Standard errors by which a feature's shares in the two classes differ at least.
 MIN_Z = 4.5
-RANK, ROUNDS, STEPS, RATE, L2 = 8, 3, 150, 0.05, 2e-4
+RANK, ROUNDS, STEPS, RATE, L2 = 8, 3, 150, 0.05, 5e-5
+STEM_LETTERS = (5, 6, 7)
 THRESHOLD = 0.7
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 _KEEP, _ROWS = 300_000, 500
@@ -43,19 +45,26 @@ class Model:
     v: object
 
 
+def term_buckets(term: bytes) -> list[int]:
+    """Buckets of a run of letters and of its beginnings."""
+    letters = term.decode(errors="ignore")
+    stems = [f"^{letters[:k]}".encode() for k in STEM_LETTERS if len(letters) > k]
+    return [zlib.crc32(t) % BUCKETS for t in [term, *stems]]
+
+
 def _buckets(batches: Iterator) -> Iterator:
     """A row of distinct buckets for each text."""
     import pyarrow as pa
 
-    known: dict[bytes, int] = {}
+    known: dict[bytes, list[int]] = {}
     for batch in common.slices(batches, _ROWS):
         lists = []
         for text in common.utf8(batch.column(0)):
-            found = set()
+            found: set[int] = set()
             for t in set(_TERM.findall(text.lower())):
                 if (b := known.get(t)) is None:
-                    b = known[t] = zlib.crc32(t) % BUCKETS
-                found.add(b)
+                    b = known[t] = term_buckets(t)
+                found.update(b)
             lists.append(sorted(found))
             if len(known) > _KEEP:
                 known.clear()
@@ -156,14 +165,14 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         import pyarrow as pa
 
         model = shared.value
-        known: dict[bytes, int] = {}
+        known: dict[bytes, list[int]] = {}  # the buckets of each term that are features
         for batch in common.slices(batches, _ROWS):
             lists = []
             for text in common.utf8(batch.column(1)):
                 terms = set(_TERM.findall(text.lower()))
                 for t in terms.difference(known):
-                    known[t] = zlib.crc32(t) % BUCKETS if zlib.crc32(t) % BUCKETS in model.index else -1
-                lists.append({known[t] for t in terms} - {-1})
+                    known[t] = [b for b in term_buckets(t) if b in model.index]
+                lists.append({b for t in terms for b in known[t]})
                 if len(known) > _KEEP:
                     known.clear()
             z = raw_scores(design(lists, model.index, model.scale), model.bias, model.w, model.v).astype(np.float64)

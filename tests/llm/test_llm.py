@@ -374,6 +374,23 @@ def test_toxicity_odd(spark, odd, none):
     assert len(found) == 8 and all(0 <= r.score <= 1 for r in found) and toxicity_fm.score(none, toxicity_fm.fit(none, empty)).count() == 0
 
 
+def test_toxicity_repeated_label_rows_count_once(spark):
+    docs = [(k, "vile words here" if k % 2 else "kind words here", None, None) for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    once, often = (toxicity_fm.score(frame(spark, docs), toxicity_fm.fit(frame(spark, d), labels)).orderBy("doc_id").collect() for d in (docs, docs + docs[:1] * 500))
+    assert [r.predicted for r in once] == [k % 2 for k in range(40)]
+    assert [r.score for r in often] == pytest.approx([r.score for r in once], abs=1e-4)
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.toxic for r in common.table(spark, sf, "labels").collect()}
+    found = [(r.predicted, truth[r.doc_id]) for r in toxicity_fm.query(spark, sf).where("held_out").collect() if r.doc_id in truth]
+    hit, called, toxic = sum(p and t for p, t in found), sum(p for p, _ in found), sum(t for _, t in found)
+    print(len(found), hit, called, toxic)
+    assert hit >= 0.7 * toxic and hit >= 0.7 * called
+
+
 # -- pipeline -------------------------------------------------------------------------------------------------------
 
 
