@@ -3,8 +3,8 @@
 A text's terms (runs of letters, A-Z lowered, and their first `STEM_LETTERS` letters, which inflected forms share) are
 hashed to 2**18 buckets; the features are the buckets that tell
 the classes apart best in the labelled sample (by `MIN_Z` standard errors or more), at most `MAX_FEATURES`. The score is the logistic of
-`bias + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j`, so two terms that are harmless alone can weigh together. It is
-fitted on a bounded sample of labelled rows (`MAX_TRAIN_ROWS`, by a hash of the id): in each round every task
+`bias + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j`, so two terms that are harmless alone can weigh together; x_i is
+`VALUE` for a feature that the text has. The rarer class weighs as much as the other in fitting. It is fitted on a bounded sample of labelled rows (`MAX_TRAIN_ROWS`, by a hash of the id): in each round every task
 takes gradient steps over its own rows from the shared weights, and the rows' weighted mean of the tasks' weights
 starts the next round. Weights are at most MAX_FEATURES * (RANK + 1) numbers.
 
@@ -29,7 +29,7 @@ MAX_TRAIN_ROWS, ROWS_PER_TASK = 20_000, 5_000
 BUCKETS, MAX_FEATURES, MIN_DOCS = 1 << 18, 2048, 4
 #: Standard errors by which a feature's shares in the two classes differ at least.
 MIN_Z = 4.5
-RANK, ROUNDS, STEPS, RATE, L2 = 8, 3, 150, 0.05, 5e-5
+RANK, ROUNDS, STEPS, RATE, L2, VALUE = 8, 3, 150, 0.05, 1e-5, 0.5
 STEM_LETTERS = (5, 6, 7)
 THRESHOLD = 0.7
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
@@ -39,7 +39,6 @@ _KEEP, _ROWS = 300_000, 500
 @dataclass
 class Model:
     index: dict[int, int]
-    scale: object  # of each feature: how rare it is
     bias: float
     w: object
     v: object
@@ -71,14 +70,13 @@ def _buckets(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), batch.column(1), batch.column(2)], names=["terms", "toxic", "doc_id"])
 
 
-def design(rows: list[list[int]], index: dict[int, int], scale):
+def design(rows: list[list[int]], index: dict[int, int]):
     """Rows of buckets as a dense matrix over the features."""
     import numpy as np
 
-    x = np.zeros((len(rows), len(scale)), np.float32)
+    x = np.zeros((len(rows), len(index)), np.float32)
     for k, row in enumerate(rows):
-        at = [i for b in row if (i := index.get(b)) is not None]
-        x[k, at] = scale[at]
+        x[k, [i for b in row if (i := index.get(b)) is not None]] = VALUE
     return x
 
 
@@ -87,18 +85,18 @@ def raw_scores(x, bias: float, w, v):
     return bias + x @ w + 0.5 * ((s * s).sum(1) - (x * x) @ (v * v).sum(1))
 
 
-def steps(x, y, bias: float, w, v, n: int = STEPS):
-    """Adam steps over all rows of a task."""
+def steps(x, y, weight, bias: float, w, v, n: int = STEPS):
+    """Adam steps over all rows of a task, which count by their weight."""
     import numpy as np
 
     params = [np.array([bias], np.float32), w.copy(), v.copy()]
     m, s = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    squares = x * x
+    squares, weight = x * x, weight / weight.sum()
     for t in range(1, n + 1):
         b, w, v = params
         sums = x @ v
         z = b[0] + x @ w + 0.5 * ((sums * sums).sum(1) - squares @ (v * v).sum(1))
-        d = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)).astype(np.float32)
+        d = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight).astype(np.float32)
         grads = [d.sum(keepdims=True), x.T @ d + L2 * w, x.T @ (d[:, None] * sums) - (squares.T @ d)[:, None] * v + L2 * v]
         for p, g, a, q in zip(params, grads, m, s):
             a += 0.1 * (g - a)
@@ -123,29 +121,30 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> M
     rows = common.materialize(rows.groupBy("doc_id").agg(F.min(F.struct("terms", "toxic")).alias("x")).select("doc_id", "x.terms", "x.toxic"), "fm")
     n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0.0))).first()
     if not 0 < positive < n:
-        return Model({}, np.zeros(0, np.float32), math.log((positive + 1) / (n - positive + 1)), np.zeros(0, np.float32), np.zeros((0, RANK), np.float32))
+        return Model({}, math.log((positive + 1) / (n - positive + 1)), np.zeros(0, np.float32), np.zeros((0, RANK), np.float32))
     p1, p0, p = F.col("pos") / positive, (F.col("df") - F.col("pos")) / (n - positive), F.col("df") / F.lit(float(n))
     apart = (p1 - p0) * (p1 - p0) / (p * (F.lit(1.0) - p) * F.lit(1 / positive + 1 / (n - positive)) + F.lit(1e-12))
     best = rows.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("pos")).where(F.col("df") >= MIN_DOCS)
     best = best.where(apart >= MIN_Z**2).orderBy(apart.desc(), "term").limit(MAX_FEATURES).collect()
     index = {r.term: k for k, r in enumerate(best)}
-    scale = np.array([math.log((n + 1) / r.df) / math.log(n + 1) for r in best], np.float32)
-    bias, w, v = math.log(positive / (n - positive)), np.zeros(len(best), np.float32), np.random.default_rng(7).normal(0, 0.02, (len(best), RANK)).astype(np.float32)
+    even = (n - positive) / positive
+    bias, w, v = 0.0, np.zeros(len(best), np.float32), np.random.default_rng(7).normal(0, 0.02, (len(best), RANK)).astype(np.float32)
     # rows are dealt by a hash of the id: reruns agree, and copies of a text spread over the tasks
     dealt = common.materialize(rows.repartition(max(1, math.ceil(n / ROWS_PER_TASK)), F.xxhash64("doc_id")).select("terms", "toxic"), "fm-dealt")
     for _ in range(ROUNDS):
-        now = spark.sparkContext.broadcast((index, scale, bias, w, v))
+        now = spark.sparkContext.broadcast((index, bias, w, v))
 
         def local(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
-            index, scale, bias, w, v = now.value  # noqa: B023
+            index, bias, w, v = now.value  # noqa: B023
             terms, toxic = [], []
             for batch in batches:
                 terms += batch.column(0).to_pylist()
                 toxic += batch.column(1).to_pylist()
             if terms:
-                b, w, v = steps(design(terms, index, scale), np.array(toxic, np.float32), bias, w, v)
+                y = np.array(toxic, np.float32)
+                b, w, v = steps(design(terms, index), y, np.where(y > 0, even, 1.0), bias, w, v)
                 weights = np.concatenate([[b], w, v.ravel()]).astype(np.float64).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([len(toxic)], pa.int64()), pa.array([weights], pa.binary())], names=["n", "weights"])
 
@@ -153,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> M
         mean = sum(np.frombuffer(bytes(x.weights)) * x.n for x in found) / sum(x.n for x in found)
         bias, w, v = float(mean[0]), mean[1 : 1 + len(best)].astype(np.float32), mean[1 + len(best) :].reshape(-1, RANK).astype(np.float32)
         now.unpersist()
-    return Model(index, scale, bias, w, v)
+    return Model(index, bias, w, v)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -175,7 +174,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 lists.append({b for t in terms for b in known[t]})
                 if len(known) > _KEEP:
                     known.clear()
-            z = raw_scores(design(lists, model.index, model.scale), model.bias, model.w, model.v).astype(np.float64)
+            z = raw_scores(design(lists, model.index), model.bias, model.w, model.v).astype(np.float64)
             p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
