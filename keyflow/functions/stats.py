@@ -12,9 +12,16 @@ def key_stats(df: DataFrame) -> DataFrame:
     return sizes.groupBy("part").agg(F.sum("n").alias("value_size"), F.count(F.lit(1)).alias("leaf_size"), F.max("n").alias("largest"))
 
 
-def split_point(counts: DataFrame) -> DataFrame:
-    """split: the key that halves rows (key, n) of integer keys: between the last key under half of all and the next."""
-    before = F.sum("n").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.withColumn("cum", before).withColumn("half", F.expr("sum(n) OVER () div 2"))
+def split_point(counts: DataFrame, run: int = 1 << 16) -> DataFrame:
+    """split: the key that halves rows (key, n) of integer keys: between the last key under half of all and the next.
+
+    Sums are taken within runs of `run` keys and then over the runs, so that no task orders all keys.
+    """
+    rows = counts.withColumn("run", F.expr(f"key div {run}"))
+    ordered = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.groupBy("run").agg(F.sum("n").alias("n_run"))
+    runs = runs.select("run", F.coalesce(F.sum("n_run").over(ordered), F.lit(0)).alias("before"), F.expr("sum(n_run) OVER () div 2").alias("half"))
+    within = F.sum("n").over(Window.partitionBy("run").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.withColumn("within", within).join(runs, "run").withColumn("cum", F.col("before") + F.col("within"))
     ends = placed.agg(F.max(F.when(F.col("cum") < F.col("half"), F.col("key"))).alias("l"), F.min(F.when(F.col("cum") >= F.col("half"), F.col("key"))).alias("r"))
     return ends.select(F.expr("CASE WHEN l IS NULL THEN r ELSE greatest(1, (r - l) div 2) + l END").alias("split"))

@@ -67,20 +67,20 @@ def ordered_emit(rows: DataFrame, part: Column) -> DataFrame:
     return keys.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("key")))
 
 
-def debounced(rows: DataFrame, ts: str, gap_seconds: int) -> DataFrame:
+def debounced(rows: DataFrame, ts: str, gap_seconds: int, run_seconds: int = 86_400) -> DataFrame:
     """Add `gap`: the number of pauses longer than `gap_seconds` before a row, over all keys (a global timer).
 
-    The pauses are found in runs by day: a run's first row is compared with the last of the latest run before, and
+    The pauses are found in runs of `run_seconds`: a run's first row is compared with the last of the latest run before, and
     the runs' numbers of pauses are summed, so that no task orders all rows.
     """
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    days = rows.withColumn("_at", at).withColumn("_day", F.expr("_at div 86400000000"))
-    ends = days.groupBy("_day").agg(F.max("_at").alias("_last"))
-    ends = ends.withColumn("_previous", F.lag("_last").over(Window.orderBy("_day"))).drop("_last")
-    order = Window.partitionBy("_day").orderBy("_at", "seq")
+    runs = rows.withColumn("_at", at).withColumn("_run", F.floor(F.col("_at") / (run_seconds * 1_000_000)))
+    ends = runs.groupBy("_run").agg(F.max("_at").alias("_last"))
+    ends = ends.withColumn("_previous", F.lag("_last").over(Window.orderBy("_run"))).drop("_last")
+    order = Window.partitionBy("_run").orderBy("_at", "seq")
     before = F.coalesce(F.lag("_at").over(order), F.col("_previous"))
-    days = days.join(F.broadcast(ends), "_day").withColumn("_new", F.coalesce((F.col("_at") - before > gap_seconds * 1_000_000).cast("int"), F.lit(0)))
-    sums = days.groupBy("_day").agg(F.sum("_new").alias("_n"))
-    sums = sums.withColumn("_earlier", F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    runs = runs.join(ends, "_run").withColumn("_new", F.coalesce((F.col("_at") - before > gap_seconds * 1_000_000).cast("int"), F.lit(0)))
+    sums = runs.groupBy("_run").agg(F.sum("_new").alias("_n"))
+    sums = sums.withColumn("_earlier", F.coalesce(F.sum("_n").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     within = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return days.withColumn("_within", within).join(F.broadcast(sums), "_day").withColumn("gap", F.col("_earlier") + F.col("_within")).drop("_at", "_day", "_new", "_previous", "_within", "_earlier")
+    return runs.withColumn("_within", within).join(sums, "_run").withColumn("gap", F.col("_earlier") + F.col("_within")).drop("_at", "_run", "_new", "_previous", "_within", "_earlier")

@@ -12,13 +12,16 @@ def read_lines(spark: SparkSession, path: str, newline: str = "spark", split_byt
     """line: the lines of text files. A line belongs to the split where it starts.
 
     `newline="spark"` ends lines at LF, CR LF and CR and splits files; `newline="pairs"` ends them at LF CR, LF and CR (so
-    that CR LF ends two), for which each file is read whole: use it for files that fit a task.
+    that CR LF ends two), for which files are split at CR: a task holds what lies between two of them. Files without CR
+    have the same lines in both.
     """
     if split_bytes:
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
     if newline == "pairs":
-        whole = spark.read.text(path, wholetext=True)
-        return split_lines(whole, F.col("value")).select("line")
+        # a final LF is half of LF CR, or the last line end of the file
+        body = F.regexp_replace("value", "\n\\z", "")
+        lines = spark.read.text(path, lineSep="\r").select(F.explode(F.split(body, "\n")).alias("line"))
+        return lines.repartition(split_count) if split_count else lines
     lines = spark.read.text(path).select(F.col("value").alias("line"))
     return lines.repartition(split_count) if split_count else lines
 

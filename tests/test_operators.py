@@ -1,6 +1,8 @@
 """Operators on small fixtures."""
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +113,47 @@ def test_lines(spark, tmp_path):
     assert read_lines(spark, str(tmp_path / "empty.txt"), newline="pairs").where("line <> ''").count() == 0
 
 
+def test_paired_line_ends_by_brute_force(spark, tmp_path):
+    draw, expected = random.Random(3), []
+    for k in range(30):
+        text = "".join(draw.choice(["a", "bc", "é", "\n", "\r"]) for _ in range(draw.randrange(1, 60)))
+        (tmp_path / f"{k}.txt").write_bytes(text.encode())
+        lines = re.split("\n\r|\n|\r", text)
+        expected += lines[:-1] if lines[-1] == "" else lines
+    found = read_lines(spark, str(tmp_path), newline="pairs")
+    assert sorted(r.line for r in found.collect()) == sorted(expected)
+
+
+@pytest.mark.parametrize("run", [1, 7, 1 << 16])
+def test_split_point_by_brute_force(spark, run):
+    from keyflow.functions.stats import split_point
+
+    draw = random.Random(run)
+    for keys in ([5], [-9, -1, 0, 3], sorted(draw.sample(range(-200, 200), 40))):
+        counts = [(k, draw.randrange(1, 9)) for k in keys]
+        half, cum, left = sum(n for _, n in counts) // 2, 0, None
+        for k, n in counts:
+            cum += n
+            if cum >= half:
+                break
+            left = k
+        expected = k if left is None else max(1, (k - left) // 2) + left
+        assert split_point(spark.createDataFrame(counts, "key long, n long"), run).first().split == expected
+
+
+@pytest.mark.parametrize("run_seconds", [2, 60, 86_400])
+def test_debounced_in_runs(spark, run_seconds):
+    from keyflow.operators.reduce import debounced
+
+    draw, at, rows, gap = random.Random(5), 1_000_000, [], 0
+    for seq in range(60):
+        pause = draw.choice([0, 1, 3, 4, 9, 200])
+        at, gap = at + pause, gap + (pause > 3 and seq > 0)
+        rows.append((seq, at, gap))
+    df = spark.createDataFrame(rows, "seq long, at long, expected long").withColumn("ts", F.timestamp_seconds("at"))
+    assert all(r.gap == r.expected for r in debounced(df, "ts", 3, run_seconds).collect())
+
+
 def test_paths_and_config():
     t = PathTemplate("/base", "myapp", "h1", 3000, dt.datetime(2020, 7, 26, 23, 59, tzinfo=dt.timezone.utc))
     assert t.expand("%a/%h/x") == f"myapp-20-07-26-{86340000:07x}/h1-3000/x" and t.get("y") == "/base/y"
