@@ -1,9 +1,15 @@
-"""Token counts at every prefix, by dynamic programming over a text's chunks.
+"""Token counts at every prefix, by dynamic programming.
 
-`n(p)`, the count of the first p characters, is `n(start of the chunk that p is in) + count(chunk up to p)`. The
-first term is one step of the recurrence for each chunk and is stored; the second depends on the chunk alone and is
-looked up once for each different chunk. Truncation and budget questions read the stored table: no text is encoded
-again.
+A BPE encoding is that in which each two neighbouring tokens, encoded together, stay as they are. So the encoding of
+the first p letters ends with the one token t that fits the last token of the first p - |t|, and
+`n(p) = n(p - |t|) + 1`. A prefix's last letter carries the vocabulary's end of word: its token is looked
+for among those at the end of words, in the same way. The counts of each different chunk (a text's parts between white
+space) at each of its characters are computed so once and stored as differences; a text's table is their running sum
+over its characters, which the total, budgets and truncation read: no text is encoded again.
+
+Pre-tokens are as the library cuts them; the beginnings of contractions and of special strings are cut as the
+library cuts a text that ends there. Only where a chunk isn't in composed form (NFC), prefixes that end within a group
+of characters that compose are counted from the start of their pre-token.
 
 Defined results: null and empty texts have 0 tokens; special strings inside texts count as the library's default has
 it; repeated rows each get their row; other columns of the input are not read.
@@ -11,18 +17,22 @@ it; repeated rows each get their row; other columns of the input are not read.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import json
+import re
+import unicodedata
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from . import common
-from .word_tokens import ChunkEncoder
+from .word_tokens import _PLAIN, ChunkEncoder
 
 TOKEN_LIMIT = 2048
-_ROWS = 500
+_ROWS, _KEEP = 500, 300_000
+#: Chunks of more bytes aren't kept.
+_LONG = 512
 
 
 def vocabulary() -> str:
@@ -31,45 +41,183 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@cache
+def _composing() -> frozenset[str]:
+    """Characters that may compose with one before them."""
+    pairs = (unicodedata.decomposition(chr(c)) for c in range(0x110000))
+    second = {chr(int(d.split()[1], 16)) for d in pairs if d and d[0] != "<" and " " in d}
+    return frozenset(second) | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+
+
+class PrefixCounts(dict):
+    """chunk bytes -> the differences of its counts from each character to the next, as 32-bit integers."""
+
+    def __init__(self, encoder: ChunkEncoder):
+        from tokenizers.models import BPE
+
+        super().__init__()
+        parts = json.loads(encoder.tokenizer.to_str())
+        model, self.end = parts["model"], parts["model"]["end_of_word_suffix"]
+        self.tokenizer, self.letters, self.ending = encoder.tokenizer, encoder.letters, encoder.model
+        self.within = BPE(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
+        self.inner = {t for t in model["vocab"] if not t.endswith(self.end)}
+        self.final = {t[: -len(self.end)] for t in model["vocab"] if t.endswith(self.end)}
+        self.longest = max(map(len, self.inner | self.final))
+        specials = sorted((t["content"] for t in parts["added_tokens"]), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, specials)) or "(?!)")
+        self.words: dict[str, list[int]] = {}
+        self.fits: dict[tuple[str, str, bool], bool] = {}
+
+    def fit(self, before: str, token: str, final: bool) -> bool:
+        """Whether two tokens stay as they are when they are encoded together."""
+        key = (before, token, final)
+        if (known := self.fits.get(key)) is None:
+            found = [t.value for t in (self.ending if final else self.within).tokenize(before + token)]
+            known = self.fits[key] = found == ([before] if before else []) + [token + self.end * final]
+        return known
+
+    def word(self, word: str) -> list[int]:
+        """The counts of a pre-token's first 1, 2, ... characters, by the recurrence."""
+        if (found := self.words.get(word)) is not None:
+            return found
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        n, last, found, at = [0], [""], [], 0
+        fit, inner, final, fits = self.fit, self.inner, self.final, self.fits
+        for i in range(1, len(letters) + 1):
+            lengths = range(min(i, self.longest), 0, -1)
+            for k in lengths:
+                token = letters[i - k : i]
+                if token in inner and (fits.get((last[i - k], token, False)) or fit(last[i - k], token, False)):
+                    n.append(n[i - k] + 1)
+                    last.append(token)
+                    break
+            else:
+                raise AssertionError(f"no token ends at {i} of {word!r}")
+            if i == at + len(word[len(found)].encode()):
+                at = i
+                for k in lengths:
+                    token = letters[i - k : i]
+                    if token in final and (fits.get((last[i - k], token, True)) or fit(last[i - k], token, True)):
+                        found.append(n[i - k] + 1)
+                        break
+                else:
+                    raise AssertionError(f"no last token ends at {i} of {word!r}")
+        if len(word) <= _LONG:
+            self.words[word] = found
+        return found
+
+    def composed(self, text: str) -> list[int]:
+        """The counts of the first 0, 1, ... characters of a text in normal form, without special strings."""
+        out = [0]
+        for word, (start, end) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
+            out += [out[-1]] * (start + 1 - len(out))
+            base, word = out[-1], text[start:end]
+            counts = self.word(word)
+            if word[0] == "'" and word[1:].isalpha():  # a contraction: cut short, its apostrophe stands alone
+                first = self.word("'")
+                counts = [*first, *(first[0] + c for c in self.word(word[1:])[: len(word) - 2]), counts[-1]]
+            out += [base + c for c in counts]
+        return out + [out[-1]] * (len(text) + 1 - len(out))
+
+    def ordinary(self, text: str) -> list[int]:
+        """The counts of the first 0, 1, ... characters of a text without special strings."""
+        lower = lambda x: "".join([c.lower() for c in x])
+        if unicodedata.is_normalized("NFC", text) and len(low := lower(text)) == len(text):
+            return self.composed(low)
+        starts = [k for k, c in enumerate(text) if not k or not (unicodedata.combining(c) or c in _composing())]
+        groups = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])]
+        normal = [lower(unicodedata.normalize("NFC", g)) for g in groups]
+        whole = "".join(normal)
+        counts, words = self.composed(whole), [s for _, (s, _) in self.tokenizer.pre_tokenizer.pre_tokenize_str(whole)]
+        out, at, w = [0], 0, 0
+        for group, form in zip(groups, normal):
+            while w < len(words) and words[w] < at:
+                w += 1
+            since = words[w - 1] if w else 0
+            for k in range(1, len(group)):
+                out.append(counts[since] + self.composed(whole[since:at] + lower(unicodedata.normalize("NFC", group[:k])))[-1])
+            at += len(form)
+            out.append(counts[at])
+        return out
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        import numpy as np
+
+        text = chunk.decode()
+        if plain := _PLAIN.fullmatch(text):
+            counts = [0, *self.word(plain[1].lower())]
+            counts += [counts[-1] + c for c in self.word(plain[2])] if plain[2] else []
+        else:
+            counts, at = [0], 0
+            for found in self.special.finditer(text):
+                base, size = counts[-1], found.start() - at
+                part = self.ordinary(text[at : found.end() - 1])  # a special string cut short is ordinary text
+                counts += [base + c for c in part[1:]] + [base + part[size] + 1]
+                at = found.end()
+            base = counts[-1]
+            counts += [base + c for c in self.ordinary(text[at:])[1:]]
+        out = np.diff(np.array(counts, np.int32)).tobytes()
+        if len(chunk) <= _LONG:
+            self[chunk] = out
+        return out
+
+    def trim(self) -> None:
+        """Between texts: empty the dictionaries once one is over its bound."""
+        if max(len(self), len(self.words)) > _KEEP:
+            self.clear()
+            self.words.clear()
+        if len(self.fits) > 4 * _KEEP:
+            self.fits.clear()
+
+
+@cache
+def shared_counts(path: str) -> PrefixCounts:
+    """One for all tasks of a process."""
+    return PrefixCounts(ChunkEncoder(path))
+
+
+@cache
+def _kinds():
+    """Of each byte: 0 if it continues a character, 2 if it is white space, else 1."""
+    import numpy as np
+
+    return np.array([0 if b & 0xC0 == 0x80 else 2 if b in common.SPACE else 1 for b in range(256)], np.uint8)
+
+
 class PrefixTable:
-    """Exact token counts of all prefixes of one text."""
-
-    def __init__(self, text: str, encoder: ChunkEncoder):
-        self.text, self.encoder = text, encoder
-        raw = text.encode()
-        chunks = raw.split()
-        self.after = [0, *accumulate(len(encoder[c]) >> 2 for c in chunks)]
-        self.starts, at, chars = [], 0, 0
-        for c in chunks:  # in characters: the bytes between chunks are ASCII
-            gap = raw.index(c, at) - at
-            self.starts.append(chars + gap)
-            at, chars = at + gap + len(c), chars + gap + len(c.decode())
+    """Exact token counts of all prefixes of one text, stored."""
+
+    def __init__(self, text: str | bytes, encoder: ChunkEncoder | PrefixCounts):
+        import numpy as np
+
+        if not isinstance(encoder, PrefixCounts):
+            if not hasattr(encoder, "prefix_counts"):
+                encoder.prefix_counts = PrefixCounts(encoder)
+            encoder = encoder.prefix_counts
+        raw = text.encode() if isinstance(text, str) else text
+        kinds = _kinds()[np.frombuffer(raw, np.uint8)]
+        kinds = kinds[kinds > 0]
+        self.counts = np.zeros(len(kinds) + 1, np.int32)
+        self.counts[1:][kinds == 1] = np.frombuffer(b"".join(map(encoder.__getitem__, raw.split())), np.int32)
+        np.cumsum(self.counts, out=self.counts)
+        encoder.trim()
 
     def count(self, prefix: int) -> int:
         """Tokens of the first `prefix` characters."""
-        k = bisect_right(self.starts, prefix) - 1
-        if k < 0:
-            return 0
-        part = self.text[self.starts[k] : prefix].encode().split()
-        return self.after[k] + (len(self.encoder[part[0]]) >> 2 if part else 0)
+        return int(self.counts[prefix])
 
     def total(self) -> int:
-        return self.after[-1]
+        return int(self.counts[-1])
 
     def table(self) -> list[int]:
         """The count at every prefix, from 0 characters to all."""
-        return [self.count(p) for p in range(len(self.text) + 1)]
+        return self.counts.tolist()
 
     def longest_within(self, budget: int) -> int:
         """The longest prefix, in characters, of at most `budget` tokens."""
-        if self.total() <= budget:
-            return len(self.text)
-        k = bisect_right(self.after, budget) - 1  # chunk k is the first that doesn't fit whole
-        best, end = self.starts[k], self.starts[k] + len(self.text[self.starts[k] :].encode().split()[0].decode())
-        for p in range(self.starts[k], end + 1):
-            if self.count(p) <= budget:
-                best = p
-        return best
+        import numpy as np
+
+        return int(np.flatnonzero(self.counts <= budget)[-1])
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFrame:
@@ -78,16 +226,12 @@ def token_counts(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFr
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder = ChunkEncoder(path)
+        counts = shared_counts(path)
         for batch in common.slices(batches, _ROWS):
             n_bytes, n_tokens = [], []
             for text in common.utf8(batch.column(1)):
-                total = 0
-                for total in accumulate(map(len, map(encoder.__getitem__, text.split()))):  # noqa: B007
-                    pass
                 n_bytes.append(len(text))
-                n_tokens.append(total >> 2)
-                encoder.trim()
+                n_tokens.append(PrefixTable(text, counts).total())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens])],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
@@ -102,12 +246,11 @@ def with_prefix_counts(docs: DataFrame, path: str) -> DataFrame:
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder = ChunkEncoder(path)
+        counts = shared_counts(path)
         for batch in common.slices(batches, 50):
             tables = []
             for text in common.utf8(batch.column(1)):
-                tables.append(PrefixTable(text.decode(), encoder).table())
-                encoder.trim()
+                tables.append(PrefixTable(text, counts).counts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tables, pa.list_(pa.int32()))], names=["doc_id", "prefix_tokens"])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("prefix_tokens", T.ArrayType(T.IntegerType()))])
@@ -120,12 +263,11 @@ def truncated(docs: DataFrame, path: str, budget: int) -> DataFrame:
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder = ChunkEncoder(path)
+        counts = shared_counts(path)
         for batch in common.slices(batches, _ROWS):
             cut = []
             for text in (x.decode() for x in common.utf8(batch.column(1))):
-                cut.append(text[: PrefixTable(text, encoder).longest_within(budget)])
-                encoder.trim()
+                cut.append(text[: PrefixTable(text, counts).longest_within(budget)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.string())], names=["doc_id", "text"])
 
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, text string")

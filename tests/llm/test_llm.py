@@ -348,6 +348,27 @@ def test_prefix_tables():
             assert table.longest_within(budget) == max(p for p in range(len(text) + 1) if want[p] <= budget)
 
 
+def test_prefix_tables_by_brute_force():
+    from tokenizers import Tokenizer
+
+    t, encoder, rng = Tokenizer.from_file(VOCABULARY), ChunkEncoder(VOCABULARY), random.Random(6)
+    letters = "abcdefghijklmnop'<|>.,!?etsrdlmv012éüßñ北京が\u3099\u0323\u0301İΣ\u3000\xa0😀 \n"
+    texts = ["!!<|endoftext|>'re", "x\u0338<|endoftext|>\u0338", *("".join(rng.choices(letters, k=rng.randint(1, 40))) for _ in range(300))]
+    for text in texts:
+        want = [len(t.encode(text[:p], add_special_tokens=False).ids) for p in range(len(text) + 1)]
+        table = token_prefix.PrefixTable(text, encoder)
+        assert table.table() == want and table.longest_within(5) == max(p for p, n in enumerate(want) if n <= 5)
+
+
+def test_long_chunks_are_not_encoded_again(monkeypatch):
+    """A text without white space: each pair of tokens is encoded once, not each prefix."""
+    encoder = ChunkEncoder(VOCABULARY)
+    monkeypatch.setattr(ChunkEncoder, "encode", lambda *_: pytest.fail("a prefix is encoded"))
+    text = "".join(random.Random(7).choices("abcdefghijklmnopqrstuvwxyz0123456789+/北京", k=20_000))
+    table = token_prefix.PrefixTable(text, encoder)
+    assert table.total() == len(encoder.tokenizer.encode(text, add_special_tokens=False).ids) and table.counts[table.longest_within(900)] <= 900
+
+
 # -- 10 -------------------------------------------------------------------------------------------------------------
 
 
