@@ -36,6 +36,12 @@ def test_runs(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0
 
 
+def test_reduce_chain_holds_no_whole_key(spark):
+    """Sums in parts come before the shuffle, and no step takes a key's rows at once."""
+    plan = catalogue.queries()["reduce_chain"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "partial_sum" in plan and "collect_list" not in plan
+
+
 def test_whole_mean_by_hand(spark):
     from keyflow.operators import merge
 
