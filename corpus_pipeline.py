@@ -11,11 +11,9 @@ from keyflow.llm.token_prefix import vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine doesn't call toxic; it learns from all labels that it may see."""
+    """Rows that the factorization machine doesn't call toxic; it learns from all labels that it may see."""
     labels = common.table(spark, sf_dir, "labels").where(~common.crc_is("doc_id", 3, 1))
-    found = toxicity_fm.score(docs, toxicity_fm.fit(docs, labels))
-    toxic = found.where("predicted = 1").select("doc_id").distinct().withColumnRenamed("doc_id", "toxic_id")
-    return docs.join(toxic, docs["doc_id"].eqNullSafe(toxic["toxic_id"]), "left_anti")
+    return toxicity_fm.not_toxic(docs, toxicity_fm.fit(docs, labels))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """One row of each group of near copies: the smallest doc_id, null last."""
+    return simhash.one_row_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,11 @@ def crc_is(column: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def text_key() -> Column:
+    """A number of a row's text, null as empty; beside the id it names the row, whatever ids are null or repeated."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def utf8(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column, null as empty."""
     import pyarrow as pa

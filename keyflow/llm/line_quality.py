@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -28,7 +28,7 @@ LEAST_LIMIT, LIMIT_SHARE, LEAST_KEPT = 20, 0.01, 0.3
 BROADCAST_LINES = 250_000
 SYMBOLS = b"#*$%&|<>"
 _ROWS = 300
-_SCHEMA = "row_no long, doc_id long, host string, content long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
+_SCHEMA = "row_no long, doc_id long, text_key long, host string, content long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
 
 
 def repeat_words(texts: list[list[bytes]]) -> list[int]:
@@ -91,19 +91,27 @@ def measure(docs: DataFrame) -> DataFrame:
             n = batch.num_rows
             longs = [pa.array(out[k], pa.int64()) for k in ("content", "n_words", "word_chars", "n_symbols", "n_dup_lines")]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(row_no, row_no + n), pa.int64()), batch.column(0), batch.column(2), *longs, pa.array(repeat_words(all_words), pa.int64()), pa.array(out["lines"], pa.list_(pa.int64())), pa.array(out["line_words"], pa.list_(pa.int32()))],
+                [pa.array(range(row_no, row_no + n), pa.int64()), batch.column(0), batch.column(3), batch.column(2), *longs, pa.array(repeat_words(all_words), pa.int64()), pa.array(out["lines"], pa.list_(pa.int64())), pa.array(out["line_words"], pa.list_(pa.int32()))],
                 names=[x.split()[0] for x in _SCHEMA.split(", ")],
             )
             row_no += n
 
-    return docs.select("doc_id", "text", "source").mapInArrow(rows, _SCHEMA)
+    return docs.select("doc_id", "text", "source", common.text_key().alias("text_key")).mapInArrow(rows, _SCHEMA)
 
 
-def verdicts(docs: DataFrame, least_limit: int = LEAST_LIMIT, limit_share: float = LIMIT_SHARE, least_kept: float = LEAST_KEPT, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def _host(column: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), column), F.lit(""))
+
+
+def verdicts(docs: DataFrame, *limits, **named) -> DataFrame:
     """doc_id, base counts, base_failed, kept, and words_left after the removal of frequent lines, of every row."""
+    return _verdicts(docs, *limits, **named).drop("text_key", "host")
+
+
+def _verdicts(docs: DataFrame, least_limit: int = LEAST_LIMIT, limit_share: float = LIMIT_SHARE, least_kept: float = LEAST_KEPT, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+    """What `verdicts` has, with text_key and host."""
     found = common.materialize(measure(docs), "lines")
-    host = F.coalesce(F.concat(F.lit("="), "host"), F.lit(""))
-    found = found.withColumn("host", host)
+    found = found.withColumn("host", _host("host"))
     # one document for each different text of a host: the first
     texts = common.materialize(found.groupBy("host", "content").agg(F.min(F.struct("doc_id", "row_no", "lines")).alias("first")).select("host", "content", "first.doc_id", "first.row_no", "first.lines"), "lines-texts")
     limits = texts.groupBy("host").agg(F.greatest(F.lit(float(least_limit)), F.count(F.lit(1)) * limit_share).alias("limit"))
@@ -115,13 +123,13 @@ def verdicts(docs: DataFrame, least_limit: int = LEAST_LIMIT, limit_share: float
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED)
     kept = ~failed & (left >= F.col("n_words") * least_kept)
-    return found.join(removed, "row_no", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), left.alias("words_left"))
+    return found.join(removed, "row_no", "left").select("doc_id", "text_key", found["host"], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), left.alias("words_left"))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents, with their columns, whose every row is kept (rows that repeat an id share their fate)."""
-    good = verdicts(docs).groupBy("doc_id").agg(F.min("kept").alias("kept")).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["kept_id"]), "left_semi")
+    """The rows, with their columns, that are kept: each by its own text and host, whatever its id."""
+    good = _verdicts(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_text"), F.col("host").alias("kept_host")).distinct()
+    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (common.text_key() == F.col("kept_text")) & (_host("source") == F.col("kept_host")), "left_semi")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

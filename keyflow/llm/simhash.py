@@ -11,7 +11,7 @@ bytes are indexed again, by five runs of bits of which two similar ones share at
 Exact copies share one fingerprint and are one row of the index, whatever their number.
 
 Defined results: null and empty texts have no words and fingerprint zero, linked like any other; rows with a null
-doc_id get the smallest id of their fingerprint's class, or null if there is none; repeated rows each get their row;
+doc_id are linked like any other and get the smallest id of their class, or null if there is none; repeated rows each get their row;
 other columns are not read.
 """
 
@@ -55,7 +55,7 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row."""
+    """doc_id, text_key, fp (the fingerprint as a signed long) of every row."""
 
     def rows(batches: Iterator) -> Iterator:
         import numpy as np
@@ -63,9 +63,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
         for batch in common.slices(batches, _ROWS):
             found = np.array([fingerprint(t) for t in common.utf8(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found)], names=["doc_id", "text_key", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, fp long")
+    return docs.select("doc_id", "text", common.text_key().alias("text_key")).mapInArrow(rows, "doc_id long, text_key long, fp long")
 
 
 def _spanning(values) -> list[tuple[int, int]]:
@@ -162,19 +162,39 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return rows.repartition(n, "list", "key").sortWithinPartitions("list", "key").mapInArrow(_links, "a long, b long").distinct()
 
 
+def _classes(found: DataFrame) -> DataFrame:
+    """fp, first, root: of each different fingerprint of doc_id, text_key, fp, its first row (id, null last, then text)
+    with the number of rows that repeat it, and the fingerprint that stands for its class."""
+    rows = found.groupBy("fp", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "n")).alias("first")
+    classes = common.materialize(rows.groupBy("fp").agg(first), "simhash-classes")
+    reached = components(fingerprint_links(classes.select("fp")))
+    return classes.join(reached, classes["fp"] == reached["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id of every row."""
     found = common.materialize(fingerprints(docs), "simhash")
-    classes = common.materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
-    links = fingerprint_links(classes.where("first_id IS NOT NULL").select("fp"))
-    ids_a, ids_b = classes.select(F.col("fp").alias("a"), F.col("first_id").alias("ia")), classes.select(F.col("fp").alias("b"), F.col("first_id").alias("ib"))
-    reached = components(links.join(ids_a, "a").join(ids_b, "b").select(F.col("ia").alias("a"), F.col("ib").alias("b")))
-    classes = classes.join(reached, classes["first_id"] == reached["node"], "left").select("fp", F.coalesce("component", "first_id").alias("component_id"))
-    return found.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = common.materialize(_classes(found).select("fp", "root", F.col("first.doc_id").alias("first_id")), "simhash-roots")
+    least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return found.join(classes.join(least, "root"), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_row_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each class of near copies, with its columns: that of the smallest id, null last, and among rows that
+    share it that of the smallest text hash. Rows of different classes stay even if they share an id or have none."""
+    stays = _classes(common.materialize(fingerprints(docs), "simhash")).groupBy("root").agg(F.min("first").alias("first"))
+    stays = common.materialize(stays.select(F.col("first.doc_id").alias("stays_id"), F.col("first.text_key").alias("stays_text"), F.col("first.n").alias("n")), "simhash-stays")
+    columns = [docs[c] for c in docs.columns]
+    this = docs["doc_id"].eqNullSafe(F.col("stays_id")) & (common.text_key() == F.col("stays_text"))
+    once = docs.join(stays.where("n = 1"), this).select(*columns)
+    repeated = docs.join(stays.where("n > 1"), this).select(*columns, common.text_key().alias("_text_key"))
+    return once.unionByName(repeated.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, with their columns, of which none is reached by a smaller id; a repeated id stays once."""
+    """The documents, with their columns, of which none is reached by a smaller id; a repeated id stays once and a
+    null id never. `one_row_of_each` decides by row."""
     stays = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     stays = common.materialize(stays.select(F.col("doc_id").alias("stays_id"), "n"), "simhash-stays")
     columns = [docs[c] for c in docs.columns]

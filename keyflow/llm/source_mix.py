@@ -72,7 +72,7 @@ def schedule(spark: SparkSession, goals: list[tuple[int, float]], slots: int = S
 
 
 def mix(docs: DataFrame, slots: int = SLOTS, passes: int = MAX_PASSES) -> DataFrame:
-    """row_no, doc_id, source, size, source_size, target, taken: one row for each of `docs`."""
+    """row_no, doc_id, tie (the text's hash), source, size, source_size, target, taken: one row for each of `docs`."""
     spark = docs.sparkSession
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("order"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("tie"))
@@ -94,7 +94,7 @@ def mix(docs: DataFrame, slots: int = SLOTS, passes: int = MAX_PASSES) -> DataFr
     here = Window.partitionBy("source_no", "bucket").orderBy("order", "doc_id", "tie")
     within = F.coalesce(F.sum("size").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = placed.withColumn("within", within).withColumn("nth", F.row_number().over(here)).join(sums, ["source_no", "bucket"])
-    placed = placed.withColumn("at", F.col("before") + F.col("within")).withColumn("row_no", F.struct("source_no", "bucket", "nth")).select("row_no", "doc_id", "source", "source_no", "size", "source_size", "target", "at", "blocks")
+    placed = placed.withColumn("at", F.col("before") + F.col("within")).withColumn("row_no", F.struct("source_no", "bucket", "nth")).select("row_no", "doc_id", "tie", "source", "source_no", "size", "source_size", "target", "at", "blocks")
     placed = common.materialize(placed, "mix-placed")
     # the part of each block that each document has, and how many slots take the block
     parts = placed.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")))
@@ -103,15 +103,17 @@ def mix(docs: DataFrame, slots: int = SLOTS, passes: int = MAX_PASSES) -> DataFr
     plan = schedule(spark, [(numbers[s], goals[s]) for s in numbers] or [(0, 1.0)], slots).join(F.broadcast(sources.select("source_no", "blocks")), "source_no")
     taken_blocks = plan.where(F.col("turn") < F.col("blocks") * passes).select("source_no", F.expr("turn % blocks").alias("block")).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
     taken = parts.join(taken_blocks, ["source_no", "block"]).groupBy("row_no").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    return placed.join(taken, "row_no", "left").select("row_no", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return placed.join(taken, "row_no", "left").select("row_no", "doc_id", "tie", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, with their columns: each as many times as the mix takes its words, in whole copies."""
-    copies = mix(docs).where("size > 0").groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    copies = copies.select(F.col("doc_id").alias("mix_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("mix_copies")).where("mix_copies > 0")
+    """The documents of the mix, with their columns: each as many times as the mix takes its words, in whole copies.
+    Rows that share id, text and source, which nothing tells apart, have the mean of their copies."""
+    copies = mix(docs).where("size > 0").groupBy("doc_id", "tie", "source").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    copies = copies.select(F.col("doc_id").alias("mix_id"), F.col("tie").alias("mix_text"), F.col("source").alias("mix_source"), F.round(F.col("taken") / F.col("size")).cast("int").alias("mix_copies")).where("mix_copies > 0")
     columns = [docs[c] for c in docs.columns]
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("mix_id")))
+    own = F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))
+    joined = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("mix_id")) & (own == F.col("mix_text")) & docs["source"].eqNullSafe(F.col("mix_source")))
     return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*columns)
 
 

@@ -155,6 +155,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> M
     return Model(index, bias, w, v)
 
 
+def _rated(batches: Iterator, model: Model, column: str) -> Iterator:
+    """Slices of the batches and their rows' probabilities."""
+    import numpy as np
+
+    known: dict[bytes, list[int]] = {}  # the buckets of each term that are features
+    for batch in common.slices(batches, _ROWS):
+        lists = []
+        for text in common.utf8(batch.column(column)):
+            terms = set(_TERM.findall(text.lower()))
+            for t in terms.difference(known):
+                known[t] = [b for b in term_buckets(t) if b in model.index]
+            lists.append({b for t in terms for b in known[t]})
+            if len(known) > _KEEP:
+                known.clear()
+        z = raw_scores(design(lists, model.index), model.bias, model.w, model.v).astype(np.float64)
+        yield batch, 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -163,24 +181,25 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         import numpy as np
         import pyarrow as pa
 
-        model = shared.value
-        known: dict[bytes, list[int]] = {}  # the buckets of each term that are features
-        for batch in common.slices(batches, _ROWS):
-            lists = []
-            for text in common.utf8(batch.column(1)):
-                terms = set(_TERM.findall(text.lower()))
-                for t in terms.difference(known):
-                    known[t] = [b for b in term_buckets(t) if b in model.index]
-                lists.append({b for t in terms for b in known[t]})
-                if len(known) > _KEEP:
-                    known.clear()
-            z = raw_scores(design(lists, model.index), model.bias, model.w, model.v).astype(np.float64)
-            p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        for batch, p in _rated(batches, shared.value, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, score double, predicted int")
 
 
+def not_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with their columns, that the model doesn't call toxic: each by its own text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rows(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch, p in _rated(batches, shared.value, "text"):
+            yield batch.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = common.table(spark, sf_dir, "documents"), common.crc_is("doc_id", 3, 1)
     labels = common.table(spark, sf_dir, "labels").where(~held_out)

@@ -412,6 +412,25 @@ def test_toxicity_held_out(spark):
     assert hit >= 0.7 * toxic and hit >= 0.7 * called
 
 
+def test_stages_decide_by_row(spark):
+    """Rows with null or repeated ids share no fate."""
+    rng = random.Random(8)
+    own = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(40))
+    good = [own() for _ in range(6)]
+    rows = [(None, t, "en", "a") for t in good[:3]] + [(7, t, "en", "b") for t in good[3:]]
+    docs = frame(spark, [*rows, (None, good[0], "en", "a"), (None, "too short", "en", "a"), (7, "short too", "en", "b")])
+    texts = lambda df: sorted(r.text for r in df.collect())
+    assert texts(line_quality.kept_documents(docs)) == sorted([*good, good[0]])
+    assert texts(simhash.one_row_of_each(docs)) == sorted([*good, "too short", "short too"])
+    bad = zlib.crc32(b"vile") % toxicity_fm.BUCKETS
+    import numpy as np
+
+    model = toxicity_fm.Model({bad: 0}, -5.0, np.full(1, 40, np.float32), np.zeros((1, toxicity_fm.RANK), np.float32))
+    both = frame(spark, [*rows, (None, "vile words", "en", "a"), (7, "so vile", "en", "b")])
+    assert texts(toxicity_fm.not_toxic(both, model)) == sorted(good)
+    assert source_mix.mixed_documents(frame(spark, [(None, f"{own()} {k}", "en", "a") for k in range(5)])).distinct().count() == 5
+
+
 # -- pipeline -------------------------------------------------------------------------------------------------------
 
 
