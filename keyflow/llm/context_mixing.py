@@ -1,21 +1,28 @@
 """Language-model scores by logistic context mixing, and a word unigram base.
 
 A text is, for the base and the model alike, its lower-cased (A-Z) words, each ended by a space, and the byte 0xFF,
-which no UTF-8 text has, as its end. A unit, that is a word with its space or the end, is predicted bit by bit from
-its own bytes so far: hashed contexts (the last 2, 3 and 5 bytes, the whole beginning of the unit) each index a table
-of bit counts of fixed size. The predictions, as logits, are summed with gated weights, chosen by the longest context
-that has been seen and by how much each one has seen, and learnt online, by gradient steps. An adaptive
-probability map then refines the sum by the bits of the byte so far. A text's score is the sum over its units: its
-total bits, as log10.
-
-Since a unit's bits depend on its bytes alone, the corpus is reduced to its different units with their counts, which
-grow with it: tables, weights and maps are learnt from all of them, each occurrence predicted from counts without
-itself. Units are range-partitioned and sorted, so that a task handles a beginning that neighbours share once. A task
-learns weights online over its own units, and the means of the tasks' weights are averaged by the bits they saw.
-Every different unit is scored once and joined to the documents that have it; common units are spread by Spark's
-skew handling, and their rows carry lists of one task's documents, not all.
-
-Tables, weights and maps have fixed sizes, whatever the input; they alone pass through the driver and are broadcast.
+which no UTF-8 text has, as its end. Words and the end are its units. Each byte is predicted bit by bit:
+
+- a unit's first byte from the unit before it: from that whole unit (the empty unit before the first), from its last two
+  bytes, and from nothing; so the order of a text's words counts;
+- a word's other bytes and its space from the word so far: from its last 2, 3 and 5 bytes, and from its whole beginning
+  of `LEAST_BEGINNING` to `MOST_BEGINNING` bytes (shorter ones are those of the last 5 bytes).
+
+Each context counts the zeros and ones that came after it and the byte's bits so far. The counts' logits are summed with
+gated weights, chosen by the longest context that has been seen and by how much each one has seen, and learnt online, by
+gradient steps. An adaptive probability map then refines the sum by the bits of the byte so far. A text's score is the
+sum over its bits, as log10; `bits_per_byte` is the same over its units' bytes.
+
+What depends on bytes alone is done once for each different unit, or unit with the first byte of the next, with their
+counts, which grow with the corpus. Units are cut, in order, into parts of about `PART_UNITS`. Counts of whole units and
+whole beginnings are exact and are kept by part, beside the units that they belong to: they are as many as the corpus
+has. Beginnings that lie in two parts are few and get the sum of both. Counts after short contexts are hashed to tables
+of bounded size, which alone, with weights and maps, pass through the driver and are broadcast. In learning, each
+occurrence is predicted from counts without itself; a part learns weights over its own units, and the means of the parts'
+weights are averaged by the bits they saw.
+
+Scores go back to documents by a join with postings: the `COMMON_UNITS` most frequent units by broadcast, without a
+shuffle of their postings, all others by a shuffle. Rows carry lists of one chunk's documents, not all.
 
 Defined results: null and empty texts have the end alone; rows with a null id are learnt from; repeated rows each get
 their row; with no training text all counts are 0. Other columns are not read.
@@ -30,24 +37,25 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Last bytes of each hashed context (the last entry stands for the whole beginning), and the bits of its slot numbers.
-LAST_BYTES, TABLE_BITS = (2, 3, 5, None), (18, 20, 20, 20)
-ORDERS, SEEN_KINDS, MAP_STEPS = len(TABLE_BITS), 16, 33
-GATES, OFFSETS = (ORDERS + 1) * SEEN_KINDS, [sum(1 << b for b in TABLE_BITS[:k]) for k in range(ORDERS + 1)]
-SLOTS = OFFSETS[-1]
-#: Bytes of units at a time; the places up to which neighbours' common beginnings are looked for.
-BATCH_BYTES, SHARED_PLACES = 1 << 16, 48
-RATE, CHUNK_DOCS, CHUNK_BYTES = 0.1, 1 << 14, 48 << 20
-END = b"\xff"
-#: A posting is a document's number within its chunk, in the lower bits, and how often it has the unit, above.
-ROW_BITS = 14
-_MOST = (1 << 31 - ROW_BITS) - 1
-_ROWS = "unit binary, n_train long, at array<int>, chunk long, row int, doc_id long, held_out boolean, n_tokens long"
+#: Last bytes of the hashed contexts within a word and at a unit's first byte, and the bits of their slot numbers.
+REST, REST_BITS, HEAD, HEAD_BITS = (2, 3, 5), (18, 20, 21), (0, 2), (8, 18)
+OFFSETS = [sum(1 << b for b in (*REST_BITS, *HEAD_BITS)[:k]) for k in range(len(REST + HEAD) + 1)]
+SLOTS, SEEN_KINDS, MAP_STEPS = OFFSETS[-1], 16, 33
+LEAST_BEGINNING, MOST_BEGINNING = 6, 48
+PART_UNITS, COMMON_UNITS, STEP_NODES, PARTS_A_TASK = 50_000, 4096, 1 << 14, 8
+RATE, CHUNK_DOCS, CHUNK_BYTES = 0.1, 1 << 14, 32 << 20
+START, END = b"", b"\xff"
+#: A posting is a document's number within its chunk, in the lower bits, the next unit's first byte, and how often.
+ROW_BITS, NEXT_BITS = 14, 22
+_MOST = (1 << 31 - NEXT_BITS) - 1
+_FOLLOW = 40
+_ROWS = "unit binary, follow array<long>, at array<int>, chunk long, row int, doc_id long, held_out boolean, n_tokens long, n_bytes long"
+_PART = "part int, unit binary, ghost boolean, nexts array<int>, counts array<long>"
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """For chunks of documents: a row for each different unit, with the documents that have it and how often, and a
-    row for each document."""
+    """For chunks of documents: a row for each different unit, with its numbers in training text by the next unit's
+    first byte, and the documents that have it, with next bytes and how often; and a row for each document."""
 
     def rows(batches: Iterator) -> Iterator:
         import numpy as np
@@ -55,43 +63,50 @@ def postings(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 24
-        kinds = [pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64()]
+        kinds = [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
         names = [x.split()[0] for x in _ROWS.split(", ")]
         index: dict[bytes, int] = {}
         ids, sizes, docs, size = [], [], [], 0
 
+        def lists(cuts, a, b, values):
+            return pa.ListArray.from_arrays(pa.array((cuts[a : b + 1] - cuts[a]).astype(np.int32)), pa.array(values[cuts[a] : cuts[b]]))
+
         def flush():
-            flat = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
-            pairs = np.sort(flat << 20 | np.repeat(np.arange(len(sizes)), sizes))
-            first = np.flatnonzero(np.diff(pairs, prepend=-1))
-            ns = np.diff(np.append(first, len(pairs))).astype(np.int32)
-            unit, row = pairs[first] >> 20, (pairs[first] & 0xFFFFF).astype(np.int32)
+            heads = np.array([u[0] if u else 0 for u in index], np.int64)
+            flat = np.concatenate(ids).astype(np.int64)
+            after = np.append(heads[flat[1:]], 0)
+            after[np.cumsum(sizes) - 1] = 0  # nothing follows the end
+            keys = np.sort(flat << NEXT_BITS | after << ROW_BITS | np.repeat(np.arange(len(sizes)), sizes))
+            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            ns = np.diff(np.append(first, len(keys)))
+            keys = keys[first]
+            row, pair = keys & (1 << ROW_BITS) - 1, keys >> ROW_BITS
             train = np.array([not d[1] for d in docs], bool)
-            n_train = np.bincount(unit, weights=ns * train[row], minlength=len(index)).astype(np.int64)
-            parts = (ns + _MOST - 1) // _MOST  # a count that is too large for one posting is in several
+            start = np.flatnonzero(np.diff(pair, prepend=-1))
+            follow = (pair[start] & 255) << _FOLLOW | np.add.reduceat(ns * train[row], start)
+            follow_cuts = np.searchsorted(pair[start] >> NEXT_BITS - ROW_BITS, np.arange(len(index) + 1))
+            parts = (ns + _MOST - 1) // _MOST  # a number that is too large for one posting is in several
             nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            unit, row = np.repeat(unit, parts), np.repeat(row, parts)
-            packed = np.minimum(np.repeat(ns, parts) - nth * _MOST, _MOST).astype(np.int32) << ROW_BITS | row
-            offsets = np.searchsorted(unit, np.arange(len(index) + 1))
+            unit = np.repeat(keys >> NEXT_BITS, parts)
+            packed = (np.minimum(np.repeat(ns, parts) - nth * _MOST, _MOST) << NEXT_BITS | np.repeat(keys & (1 << NEXT_BITS) - 1, parts)).astype(np.int32)
+            cuts = np.searchsorted(unit, np.arange(len(index) + 1))
             names_of = list(index)
             for at in range(0, len(names_of), 20_000):
                 to = min(len(names_of), at + 20_000)
-                a, b, k = offsets[at], offsets[to], to - at
-                cut = pa.array((offsets[at : to + 1] - a).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(cut, pa.array(packed[a:b]))]
-                yield pa.RecordBatch.from_arrays([pa.array(names_of[at:to], pa.binary()), pa.array(n_train[at:to]), *lists, pa.array([chunk] * k, pa.int64()), *(pa.nulls(k, t) for t in kinds[4:])], names=names)
+                own = [lists(follow_cuts, at, to, follow), lists(cuts, at, to, packed), pa.array([chunk] * (to - at), pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(names_of[at:to], pa.binary()), *own, *(pa.nulls(to - at, t) for t in kinds[4:])], names=names)
             k = len(docs)
             own = [pa.array([chunk] * k, pa.int64()), pa.array(range(k), pa.int32()), *(pa.array(c, t) for c, t in zip(zip(*docs), kinds[5:]))]
             yield pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in kinds[:3]), *own], names=names)
 
         for batch in common.slices(batches, 200):
             for doc_id, text, held in zip(batch.column(0).to_pylist(), common.utf8(batch.column(1)), batch.column(2).to_pylist()):
-                units = [*text.lower().split(), END]
+                units = [START, *text.lower().split(), END]
                 for u in set(units).difference(index):
                     index[u] = len(index)
                 ids.append(np.array([index[u] for u in units], np.int32))
                 sizes.append(len(units))
-                docs.append((doc_id, held, len(units)))
+                docs.append((doc_id, held, len(units) - 1, sum(map(len, units)) + len(units) - 2))
                 size += len(text)
                 if len(docs) == CHUNK_DOCS or size > CHUNK_BYTES:
                     yield from flush()
@@ -106,110 +121,219 @@ def postings(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", common.crc_is("doc_id", 7, 2).alias("held_out")).mapInArrow(rows, _ROWS)
 
 
-class Contexts:
-    """The different beginnings of sorted units, as nodes: each is a byte, and the hashes of the contexts before it."""
+def hashed(context, k: int):
+    """A context's hash, of its bytes as a number, for the k-th table."""
+    import numpy as np
+
+    h = (context + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ h >> np.uint64(31)
+
+
+def slot(h, before, k: int):
+    """The place in all tables of a context's hash with the bits before, for the k-th table."""
+    import numpy as np
+
+    bits = (*REST_BITS, *HEAD_BITS)[k]
+    turned = (h ^ before.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xFF51AFD7ED558CCD)
+    return (turned >> np.uint64(64 - bits)).astype(np.int64) + OFFSETS[k]
+
+
+class Nodes:
+    """Bytes to predict: each is one for all units that have it in the same place of the same beginning."""
+
+    def __init__(self, tables: tuple[int, ...]):
+        self.tables = tables  # the tables of its hashed contexts; one exact context comes last
+        self.exact = None
 
-    def __init__(self, units: list[bytes]):
+    def contexts(self) -> int:
+        return len(self.tables) + 1
+
+    def count_exact(self, parent, more=(), more_bytes=(), more_ns=()):
+        """Zeros and ones, for each of a byte's bits, after the same parent and bits before; a negative parent is none.
+        `more` are further parents, with bytes and numbers, which are counted only."""
+        import numpy as np
+
+        seen = np.flatnonzero(parent >= 0)
+        key = np.concatenate([parent[seen] << 8 | self.bytes[seen], np.asarray(more, np.int64) << 8 | np.asarray(more_bytes, np.int64)])
+        order = np.argsort(key, kind="stable")
+        key, ns = key[order], np.concatenate([self.ns[seen], np.asarray(more_ns, float)])[order]
+        own = order < len(seen)
+        back = seen[order[own]]
+        self.exact = np.zeros((8, 2, len(self.bytes)), np.float32)
+        if not len(key):
+            return
+        for k in range(7, -1, -1):
+            start = np.flatnonzero(np.diff(key >> k + 1, prepend=-1))
+            which = np.cumsum(np.diff(key >> k + 1, prepend=-1) != 0) - 1
+            ones = np.add.reduceat(ns * (key >> k & 1), start)[which]
+            self.exact[7 - k, 0, back] = (np.add.reduceat(ns, start)[which] - ones)[own]
+            self.exact[7 - k, 1, back] = ones[own]
+
+    def bits(self, at: int, to: int) -> Iterator:
+        """For each of a byte's bits: its number, the bits before it as a number, the bit, and slots of the contexts."""
+        import numpy as np
+
+        byte, hashes = self.bytes[at:to], [h[at:to] for h in self.hashes]
+        before = np.ones(len(byte), np.int64)
+        for k in range(8):
+            bit = byte >> 7 - k & 1
+            yield k, before, bit, [slot(h, before, t) for h, t in zip(hashes, self.tables)]
+            before = before << 1 | bit
+
+
+class Rest(Nodes):
+    """All bytes but the first of sorted words, with the space."""
+
+    def __init__(self, words: list[bytes], ns):
         import numpy as np
 
-        units = [u if u == END else u + b" " for u in units]
-        self.sizes = np.array([len(u) for u in units], np.int64)
+        super().__init__(tuple(range(len(REST))))
+        self.sizes = np.array([len(w) + 1 for w in words], np.int64)
         starts = np.cumsum(self.sizes) - self.sizes
-        data = np.frombuffer(b"".join(units), np.uint8).astype(np.uint64)
-        unit = np.repeat(np.arange(len(units)), self.sizes)
+        data = np.frombuffer(b" ".join([*words, b""]), np.uint8)
+        unit = np.repeat(np.arange(len(words)), self.sizes)
         place = np.arange(len(data)) - starts[unit]
-        # the number of first bytes that a unit shares with the one before it
-        self.shared = np.zeros(len(units), np.int64)
-        alike = np.arange(1, len(units))
-        for k in range(SHARED_PLACES):
+        # the number of first bytes that a word shares with the one before it
+        self.shared = np.zeros(len(words), np.int64)
+        alike = np.arange(1, len(words))
+        for k in range(MOST_BEGINNING):
             alike = alike[(self.sizes[alike] > k) & (self.sizes[alike - 1] > k)]
             alike = alike[data[starts[alike] + k] == data[starts[alike - 1] + k]]
             self.shared[alike] = k + 1
-        own = np.flatnonzero(place >= self.shared[unit])
-        self.first = np.cumsum(self.sizes - self.shared) - (self.sizes - self.shared)
-        hashes = []
-        for back in LAST_BYTES[:-1]:
+        own = np.flatnonzero(place >= np.maximum(self.shared, 1)[unit])
+        counted = self.sizes - np.maximum(self.shared, 1)
+        self.first = np.cumsum(counted) - counted
+        wide = data.astype(np.uint64)
+        contexts = []
+        for back in REST:
             last = np.zeros(len(own), np.uint64)
             for k in range(1, back + 1):
-                last |= np.where(place[own] >= k, data[np.maximum(own - k, 0)], np.uint64(0)) << np.uint64(8 * (k - 1))
-            hashes.append(last)
-        powers = np.cumprod(np.full(int(place.max(initial=0)) + 1, 0x5851F42D4C957F2D, np.uint64))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(data * powers[place], dtype=np.uint64)])
-        hashes.append((sums[own] - sums[starts[unit[own]]]) * np.uint64(2 * ORDERS + 1) + place[own].astype(np.uint64))
-        mix = np.uint64(0x9E3779B97F4A7C15)
-        self.hashes = [(h + np.uint64(k)) * mix for k, h in enumerate(hashes)]
-        self.hashes = [h ^ h >> np.uint64(31) for h in self.hashes]
-        self.bytes = data[own]
+                last |= np.where(place[own] >= k, wide[np.maximum(own - k, 0)], np.uint64(0)) << np.uint64(8 * (k - 1))
+            contexts.append(last)
+        self.hashes = [hashed(c, k) for k, c in enumerate(contexts)]
+        self.bytes, self.unit, self.place, self.starts, self.own, self.data = data[own].astype(np.int64), unit[own], place[own], starts, own, data
+        self.ns = np.where(self.place < MOST_BEGINNING, 0.0, ns[self.unit])
+        for reach, node in self.nodes():
+            self.ns += np.bincount(node, weights=ns[reach], minlength=len(own))
 
     def nodes(self) -> Iterator:
-        """At each place, the units that reach it and their nodes there."""
+        """At each place where words may share a node, the words that reach it and their nodes there."""
         import numpy as np
 
-        for k in range(int(self.sizes.max(initial=0))):
+        for k in range(1, min(MOST_BEGINNING, int(self.sizes.max(initial=0)))):
             reach = np.flatnonzero(self.sizes > k)
-            node = np.where(self.shared[reach] <= k, self.first[reach] + k - self.shared[reach], -1)
-            yield reach, np.maximum.accumulate(node)  # a unit that shares this place follows one that has it
+            node = np.where(self.shared[reach] <= k, self.first[reach] + k - np.maximum(self.shared[reach], 1), -1)
+            yield reach, np.maximum.accumulate(node)  # a word that shares this place follows one that has it
 
-    def weights(self, ns):
-        """The sum of the numbers of a node's units, for each node."""
+    def beginnings(self, ghosts: list[tuple[bytes, int, int]] = ()) -> None:
+        """Count after whole beginnings; `ghosts` (beginning, byte, number) are those of words elsewhere."""
         import numpy as np
 
-        out = np.zeros(len(self.bytes))
-        for reach, node in self.nodes():
-            out += np.bincount(node, weights=ns[reach], minlength=len(out))
-        return out
+        parent = np.full(len(self.bytes), -1, np.int64)
+        # a beginning's number is that of the first word that has it: its place in the file of words and its length
+        which = np.arange(len(self.sizes))
+        for k in range(LEAST_BEGINNING, MOST_BEGINNING + 1):
+            here = np.flatnonzero(self.place == k)
+            if not len(here):
+                break
+            first = np.maximum.accumulate(np.where(self.shared >= k, -1, which))
+            parent[here] = first[self.unit[here]] * 64 + k
+        more = []
+        if len(ghosts):
+            known = {}
+            for p in dict.fromkeys(parent[parent >= 0].tolist()):
+                at, k = self.starts[p // 64], p % 64
+                known[self.data[at : at + k].tobytes()] = p
+            more = [(known[b], byte, n) for b, byte, n in ghosts if b in known]
+        self.count_exact(parent, *(zip(*more) if more else ()))
+
+    def spine(self) -> list[tuple[bytes, int, int]]:
+        """(beginning, byte, number) of all beginnings of the first and the last word."""
+        import numpy as np
+
+        out = {}
+        for w in (0, len(self.sizes) - 1):
+            for k in range(LEAST_BEGINNING, min(MOST_BEGINNING, int(self.sizes[w]) - 1) + 1):
+                begin = self.data[self.starts[w] : self.starts[w] + k].tobytes()
+                if begin not in out:
+                    differ = np.flatnonzero(self.shared < k)
+                    a, b = differ[differ <= w].max(initial=0), differ[differ > w].min(initial=len(self.sizes))
+                    inside = (self.unit >= a) & (self.unit < b) & (self.place == k)
+                    out[begin] = np.bincount(self.bytes[inside], weights=self.ns[inside])
+        return [(begin, byte, int(n)) for begin, ns in out.items() for byte, n in enumerate(ns.tolist()) if n > 0]
 
     def sums(self, values):
-        """The sum of the values of a unit's nodes, for each unit."""
+        """The sum of the values of a word's nodes, for each word."""
         import numpy as np
 
-        out = np.zeros(len(self.sizes))
+        deep = self.place >= MOST_BEGINNING
+        out = np.bincount(self.unit[deep], weights=values[deep], minlength=len(self.sizes)).astype(float)
         for reach, node in self.nodes():
             out[reach] += values[node]
         return out
 
-    def bits(self) -> Iterator:
-        """For each of a byte's bits: the bits before it as a number, the bit, and the slot of each context."""
+
+class Head(Nodes):
+    """First bytes after units: of the unit numbers `unit`, the bytes `after` with their numbers."""
+
+    def __init__(self, units: list[bytes], unit, after, ns):
         import numpy as np
 
-        before = np.ones(len(self.bytes), np.uint64)
-        for k in range(7, -1, -1):
-            bit = self.bytes >> np.uint64(k) & np.uint64(1)
-            turn = before * np.uint64(0xD6E8FEB86659FD93)
-            slots = [(((h ^ turn) * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - b)).astype(np.int64) + o for h, b, o in zip(self.hashes, TABLE_BITS, OFFSETS)]
-            yield before.astype(np.int64), bit.astype(np.int64), slots
-            before = before << np.uint64(1) | bit
-
-
-def grouped(batches: Iterator, columns: int) -> Iterator[list]:
-    """Lists of each column, of about BATCH_BYTES bytes of units at a time."""
-    for batch in batches:
-        rows, size, at = [c.to_pylist() for c in batch.columns[:columns]], 0, 0
-        for k, u in enumerate(rows[0]):
-            size += len(u)
-            if size >= BATCH_BYTES:
-                yield [r[at : k + 1] for r in rows]
-                size, at = 0, k + 1
-        if at < len(rows[0]):
-            yield [r[at:] for r in rows]
+        super().__init__(tuple(range(len(REST), len(REST + HEAD))))
+        last = np.array([int.from_bytes(u[-2:], "little") for u in units], np.uint64)
+        self.hashes = [hashed(np.zeros(len(unit), np.uint64) if back == 0 else last[unit], len(REST) + k) for k, back in enumerate(HEAD)]
+        self.bytes, self.unit, self.ns = np.asarray(after, np.int64), np.asarray(unit, np.int64), np.asarray(ns, float)
+
+    def wholes(self) -> None:
+        """Count after whole units."""
+        self.count_exact(self.unit)
+
+
+class Part:
+    """The units of a part in order, with their numbers."""
+
+    def __init__(self, rows: list[tuple]):
+        import numpy as np
+
+        own = sorted(r[:1] + r[2:] for r in rows if not r[1])
+        self.units, self.nexts, self.counts = [r[0] for r in own], [r[1] for r in own], [r[2] for r in own]
+        self.ns = np.array([sum(c) for c in self.counts], np.int64)
+        self.words = np.array([k for k, u in enumerate(self.units) if u not in (START, END)], np.int64)
+        self.rest = Rest([self.units[k] for k in self.words], self.ns[self.words])
+        self.followed = np.array([k for k, (u, x) in enumerate(zip(self.units, self.nexts)) if u != END for _ in x], np.int64)
+        self.after = [b for u, x in zip(self.units, self.nexts) if u != END for b in x]
+        self.head = Head(self.units, self.followed, self.after, [n for u, c in zip(self.units, self.counts) if u != END for n in c])
+        self.ghosts = [(r[0], r[2][0], r[3][0]) for r in rows if r[1]]
+
+    def count(self) -> "Part":
+        self.rest.beginnings(self.ghosts)
+        self.head.wholes()
+        return self
+
+
+def parts(table) -> Iterator[Part]:
+    """The part of an Arrow table of its rows."""
+    columns = [table.column(c).to_pylist() for c in ("unit", "ghost", "nexts", "counts")]
+    yield Part(list(zip(*columns)))
 
 
 def _table_counts(batches: Iterator) -> Iterator:
-    """A task's bit counts: rows (slot, zeros, ones)."""
+    """A task's counts after hashed contexts: rows (slot, zeros, ones)."""
     import numpy as np
     import pyarrow as pa
 
-    counts = np.zeros((2, SLOTS))
-    for units, ns in grouped(batches, 2):
-        contexts = Contexts(units)
-        weight = contexts.weights(np.array(ns, float))
-        for _, bit, slots in contexts.bits():
-            for s in slots:
-                np.add.at(counts.reshape(-1), bit * SLOTS + s, weight)
+    counts = np.zeros(2 * SLOTS)
+    for batch in common.slices(batches, 8192):
+        part = Part([(u, False, x, c) for u, x, c in zip(*(c.to_pylist() for c in batch.columns))])
+        for nodes in (part.rest, part.head):
+            for _, _, bit, slots in nodes.bits(0, len(nodes.bytes)):
+                for s in slots:
+                    np.add.at(counts, bit * SLOTS + s, nodes.ns)
+    counts = counts.reshape(2, SLOTS)
     seen = np.flatnonzero(counts.any(0))
     for at in range(0, len(seen), 100_000):
-        part = seen[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(counts[b, part].astype(np.int64)) for b in (0, 1))], names=["slot", "zeros", "ones"])
+        some = seen[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(counts[b, some].astype(np.int64)) for b in (0, 1))], names=["slot", "zeros", "ones"])
 
 
 def states(zeros, ones):
@@ -218,7 +342,7 @@ def states(zeros, ones):
 
     logit = np.log((ones + np.float32(0.2)) / (zeros + np.float32(0.2)))
     kind = np.minimum(np.frexp(zeros + ones + np.float32(1))[1] - 1, SEEN_KINDS // 2 - 1)
-    return logit, kind + SEEN_KINDS // 2 * ((zeros == 0) | (ones == 0))
+    return logit, (kind + SEEN_KINDS // 2 * ((zeros == 0) | (ones == 0))).astype(np.int16)
 
 
 def mixed(found, weights):
@@ -234,118 +358,188 @@ def mixed(found, weights):
     return np.clip(z, -12, 12), gates
 
 
+def _first_weights() -> list:
+    """For words' other bytes and for first bytes: equal shares for all gates."""
+    import numpy as np
+
+    return [np.full((n, (n + 1) * SEEN_KINDS), 2.0 / n, np.float32) for n in (len(REST) + 1, len(HEAD) + 1)]
+
+
 def _learn(tables):
-    """A task's weights, learnt online, and its probability map's counts."""
+    """A part's weights, learnt online, and its probability maps' counts."""
 
-    def learn(batches: Iterator) -> Iterator:
+    def learn(table):
         import numpy as np
         import pyarrow as pa
 
         counts = tables.value
-        weights, power = np.full((ORDERS, GATES), 2.0 / ORDERS, np.float32), np.full((ORDERS, GATES), 1e-4)
-        sums, masses = np.zeros((ORDERS, GATES)), np.zeros((ORDERS, GATES))
-        map_counts = np.zeros((2, MAP_STEPS * 256))
-        for units, ns in grouped(batches, 2):
-            contexts = Contexts(units)
-            weight = contexts.weights(np.array(ns, float)).astype(np.float32)
-            for before, bit, slots in contexts.bits():
-                # each occurrence is predicted without itself
-                found = [states(np.maximum(counts[0][s] - (1 - bit), 0).astype(np.float32), np.maximum(counts[1][s] - bit, 0).astype(np.float32)) for s in slots]
-                z, gates = mixed(found, weights)
-                at = np.rint((z + 12) * ((MAP_STEPS - 1) / 24)).astype(np.int64) * 256 + before
-                np.add.at(map_counts.reshape(-1), bit * (MAP_STEPS * 256) + at, weight)
-                error = weight * (bit - 1 / (1 + np.exp(-z)))
-                for k, (g, (logit, _)) in enumerate(zip(gates, found)):
-                    mass = np.bincount(g, weights=weight, minlength=GATES)
-                    slope = np.bincount(g, weights=error * logit, minlength=GATES) / np.maximum(mass, 1)
-                    power[k] += slope * slope
-                    weights[k] += RATE * slope / np.sqrt(power[k])
-                    sums[k] += weights[k] * mass
-                    masses[k] += mass
-        seen = np.flatnonzero(map_counts.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(["map"] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(map_counts[0, seen]), pa.array(map_counts[1, seen])], names=["part", "at", "x", "y"])
-        yield pa.RecordBatch.from_arrays([pa.array(["weight"] * sums.size, pa.string()), pa.array(range(sums.size), pa.int32()), pa.array(sums.reshape(-1)), pa.array(masses.reshape(-1))], names=["part", "at", "x", "y"])
+        out = []
+        for part in parts(table):
+            part.count()
+            for side, (nodes, weights) in enumerate(zip((part.rest, part.head), _first_weights())):
+                power, sums, masses = np.full(weights.shape, 1e-4), np.zeros(weights.shape), np.zeros(weights.shape)
+                map_counts = np.zeros(2 * MAP_STEPS * 256)
+                for lo in range(0, len(nodes.bytes), STEP_NODES):
+                    weight = nodes.ns[lo : lo + STEP_NODES].astype(np.float32)
+                    for b, before, bit, slots in nodes.bits(lo, lo + STEP_NODES):
+                        # each occurrence is predicted without itself
+                        zero, one = (1 - bit).astype(np.float32), bit.astype(np.float32)
+                        pairs = [*((counts[0][s], counts[1][s]) for s in slots), nodes.exact[b, :, lo : lo + STEP_NODES]]
+                        found = [states(np.maximum(x - zero, 0), np.maximum(y - one, 0)) for x, y in pairs]
+                        z, gates = mixed(found, weights)
+                        at = np.rint((z + 12) * ((MAP_STEPS - 1) / 24)).astype(np.int64) * 256 + before
+                        map_counts += np.bincount(bit * (MAP_STEPS * 256) + at, weights=weight, minlength=len(map_counts))
+                        error = weight * (bit - 1 / (1 + np.exp(-z)))
+                        for k, (g, (logit, _)) in enumerate(zip(gates, found)):
+                            mass = np.bincount(g, weights=weight, minlength=weights.shape[1])
+                            slope = np.bincount(g, weights=error * logit, minlength=weights.shape[1]) / np.maximum(mass, 1)
+                            power[k] += slope * slope
+                            weights[k] += RATE * slope / np.sqrt(power[k])
+                            sums[k] += weights[k] * mass
+                            masses[k] += mass
+                map_counts = map_counts.reshape(2, -1)
+                for name, x, y in (("map", *map_counts), ("weight", sums.ravel(), masses.ravel())):
+                    seen = np.flatnonzero((x > 0) | (y > 0))
+                    out.append(pa.table({"side": pa.array([side] * len(seen), pa.int32()), "what": pa.array([name] * len(seen), pa.string()), "at": pa.array(seen.astype(np.int32)), "x": x[seen], "y": y[seen]}))
+        return pa.concat_tables(out)
 
     return learn
 
 
 class Model:
-    """Bit counts, gated weights and the probability map."""
+    """Counts after hashed contexts, and, for words' other bytes and for first bytes, weights and probability map."""
 
     def __init__(self, tables, weights, refine):
         self.tables, self.weights, self.refine, self.states = tables, weights, refine, None
 
-    def unit_scores(self, units: list[bytes]):
-        """log10 probability of each of some sorted units."""
+    def node_scores(self, nodes: Nodes, side: int):
+        """log10 probability of each node's byte."""
         import numpy as np
 
         if self.states is None:
             self.states = states(*self.tables)
             self.tables = None
-        contexts = Contexts(units)
-        total = np.zeros(len(contexts.bytes))
-        for before, bit, slots in contexts.bits():
-            z, _ = mixed([(self.states[0][s], self.states[1][s]) for s in slots], self.weights)
-            p = 1 / (1 + np.exp(-z))
-            at = (z + 12) * ((MAP_STEPS - 1) / 24)
-            low = np.minimum(at.astype(np.int64), MAP_STEPS - 2)
-            part = at - low
-            refined = self.refine[low, before] * (1 - part) + self.refine[low + 1, before] * part
-            p = np.clip((p + refined) / 2, 1e-6, 1 - 1e-6)
-            total += np.log10(np.where(bit == 1, p, 1 - p))
-        return contexts.sums(total)
-
-
-def fit(units: DataFrame) -> Model:
-    """Learn from unit, n (its occurrences in training text), sorted by unit within partitions."""
+        total, refine = np.zeros(len(nodes.bytes)), self.refine[side]
+        for lo in range(0, len(total), STEP_NODES):
+            for b, before, bit, slots in nodes.bits(lo, lo + STEP_NODES):
+                found = [*((self.states[0][s], self.states[1][s]) for s in slots), states(*nodes.exact[b, :, lo : lo + STEP_NODES])]
+                z, _ = mixed(found, self.weights[side])
+                p = 1 / (1 + np.exp(-z))
+                at = (z + 12) * ((MAP_STEPS - 1) / 24)
+                low = np.minimum(at.astype(np.int64), MAP_STEPS - 2)
+                part = at - low
+                refined = refine[low, before] * (1 - part) + refine[low + 1, before] * part
+                p = np.clip((p + refined) / 2, 1e-6, 1 - 1e-6)
+                total[lo : lo + STEP_NODES] += np.log10(np.where(bit == 1, p, 1 - p))
+        return total
+
+
+def by_part(units: DataFrame) -> DataFrame:
+    """unit, nexts, counts cut into parts in order: with `part`, and the rows of beginnings that other parts have."""
+    n_parts = max(1, -(-units.count() // PART_UNITS))
+    cut = units.repartitionByRange(n_parts, "unit").sortWithinPartitions("unit").select(F.spark_partition_id().alias("part"), "unit", F.lit(False).alias("ghost"), "nexts", "counts")
+    cut = common.materialize(cut, "cm-parts")
+
+    def spine(table):
+        import pyarrow as pa
+
+        rows = [(r, *x) for r in table.column("part").to_pylist()[:1] for p in parts(table) if len(p.words) for x in p.rest.spine()]
+        kinds = [pa.int32(), pa.binary(), pa.int32(), pa.int64()]
+        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 4, kinds)], names=["part", "begin", "byte", "n"])
+
+    if n_parts == 1:
+        return cut
+    spines = common.materialize(dealt(cut, n_parts).groupBy("part").applyInArrow(spine, "part int, begin binary, byte int, n long"), "cm-spines")
+    total = spines.groupBy("begin", "byte").agg(F.sum("n").alias("n"))
+    own = spines.select("part", "begin", "byte", F.col("n").alias("own"))
+    ghosts = spines.select("part", "begin").distinct().join(total, "begin").join(own, ["part", "begin", "byte"], "left")
+    ghosts = ghosts.withColumn("n", F.col("n") - F.coalesce("own", F.lit(0))).where("n > 0")
+    ghosts = ghosts.select("part", F.col("begin").alias("unit"), F.lit(True).alias("ghost"), F.array("byte").alias("nexts"), F.array("n").alias("counts"))
+    return cut.unionByName(common.materialize(ghosts, "cm-ghosts"))
+
+
+def dealt(found: DataFrame, n_parts: int) -> DataFrame:
+    """Rows dealt to tasks by part, a task for a part or more."""
+    return found.repartition(max(1, min(n_parts, 1 << 16)), "part")
+
+
+def fit(found: DataFrame, n_parts: int) -> Model:
+    """Learn from the rows of parts."""
     import numpy as np
 
-    sc = units.sparkSession.sparkContext
-    seen = units.where("n > 0").select("unit", "n")
+    sc = found.sparkSession.sparkContext
     tables = np.zeros((2, SLOTS), np.float32)
+    seen = found.where("NOT ghost").select("unit", "nexts", "counts").coalesce(max(sc.defaultParallelism, n_parts // PARTS_A_TASK))
     counted = seen.mapInArrow(_table_counts, "slot int, zeros long, ones long").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    found = counted.toArrow()  # SLOTS rows at most
-    at = found.column("slot").to_numpy()
-    tables[0, at], tables[1, at] = found.column("zeros").to_numpy(), found.column("ones").to_numpy()
-    del found
+    arrow = counted.toArrow()  # SLOTS rows at most
+    at = arrow.column("slot").to_numpy()
+    tables[0, at], tables[1, at] = arrow.column("zeros").to_numpy(), arrow.column("ones").to_numpy()
+    del arrow
     shared = sc.broadcast(tables)
-    sums = seen.mapInArrow(_learn(shared), "part string, at int, x double, y double").groupBy("part", "at").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()
-    weights, refine = np.full(ORDERS * GATES, 2.0 / ORDERS), np.repeat(1 / (1 + np.exp(-np.linspace(-12, 12, MAP_STEPS))), 256)
+    learnt = dealt(found, n_parts).groupBy("part").applyInArrow(_learn(shared), "side int, what string, at int, x double, y double")
+    sums = learnt.groupBy("side", "what", "at").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()  # as many as weights and map cells
+    weights = [w.ravel().astype(float) for w in _first_weights()]
+    refine = [np.repeat(1 / (1 + np.exp(-np.linspace(-12, 12, MAP_STEPS))), 256) for _ in weights]
     for r in sums:
-        if r.part == "weight" and r.y > 0:
-            weights[r.at] = r.x / r.y
-        elif r.part == "map":
-            refine[r.at] = (r.y + 4 * refine[r.at]) / (r.x + r.y + 4)
+        if r.what == "weight" and r.y > 0:
+            weights[r.side][r.at] = r.x / r.y
+        elif r.what == "map":
+            refine[r.side][r.at] = (r.y + 4 * refine[r.side][r.at]) / (r.x + r.y + 4)
     shared.unpersist()
-    return Model(tables, weights.reshape(ORDERS, GATES).astype(np.float32), refine.reshape(MAP_STEPS, 256))
+    return Model(tables, [w.reshape(s.shape).astype(np.float32) for w, s in zip(weights, _first_weights())], [r.reshape(MAP_STEPS, 256) for r in refine])
 
 
-def scored_units(units: DataFrame, model: Model) -> DataFrame:
-    """unit, n and log_p of every row of unit, n."""
-    shared = units.sparkSession.sparkContext.broadcast(model)
+def scored_units(found: DataFrame, model: Model, n_parts: int) -> DataFrame:
+    """unit, n (in training text), log_p (of all bytes but the first), nexts, next_logs (of the next unit's first byte)."""
+    shared = found.sparkSession.sparkContext.broadcast(model)
 
-    def rows(batches: Iterator) -> Iterator:
+    def score(table):
+        import numpy as np
         import pyarrow as pa
 
-        for found, n in grouped(batches, 2):
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(n, pa.int64()), pa.array(shared.value.unit_scores(found))], names=["unit", "n", "log_p"])
+        out = []
+        for part in parts(table):
+            part.count()
+            logs = np.zeros(len(part.units))
+            logs[part.words] = part.rest.sums(shared.value.node_scores(part.rest, 0))
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(part.followed, minlength=len(part.units)))]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x, k)) for x, k in ((part.after, pa.int32()), (shared.value.node_scores(part.head, 1), pa.float32()))]
+            out.append(pa.table([pa.array(part.units, pa.binary()), pa.array(part.ns), pa.array(logs), *lists], names=["unit", "n", "log_p", "nexts", "next_logs"]))
+        return pa.concat_tables(out)
+
+    return dealt(found, n_parts).groupBy("part").applyInArrow(score, "unit binary, n long, log_p double, nexts array<int>, next_logs array<float>")
+
 
-    return units.select("unit", "n").mapInArrow(rows, "unit binary, n long, log_p double")
+def counted_units(found: DataFrame) -> DataFrame:
+    """unit, nexts (first bytes of next units), counts (of each in training text), of postings."""
+    each = found.where("unit IS NOT NULL").select("unit", F.explode("follow").alias("f"))
+    each = each.select("unit", F.shiftright("f", _FOLLOW).cast("int").alias("next"), F.col("f").bitwiseAND((1 << _FOLLOW) - 1).alias("n"))
+    each = each.groupBy("unit", "next").agg(F.sum("n").alias("n")).groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("next", "n"))).alias("x"))
+    return each.select("unit", F.col("x.next").alias("nexts"), F.col("x.n").alias("counts"))
 
 
 def scores(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row."""
     found = common.materialize(postings(docs), "cm-postings")
-    units = found.where("unit IS NOT NULL").groupBy("unit").agg(F.sum("n_train").alias("n"))
-    units = common.materialize(units.orderBy("unit"), "cm-units")
-    total, kinds = units.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
-    rated = scored_units(units, fit(units)).select("unit", "log_p", F.log10(F.col("n") + 1).alias("log_n"), (F.col("n") > 0).cast("int").alias("known"))
-    each = found.where("unit IS NOT NULL").select("unit", "chunk", "at").join(rated, "unit")
-    each = each.select("chunk", F.explode("at").alias("at"), "known", "log_n", "log_p").select("chunk", F.col("at").bitwiseAND((1 << ROW_BITS) - 1).alias("row"), F.shiftright("at", ROW_BITS).alias("n"), "known", "log_n", "log_p")
+    units = by_part(common.materialize(counted_units(found), "cm-units"))
+    n_parts = (units.agg(F.max("part")).first()[0] or 0) + 1
+    rated = common.materialize(scored_units(units, fit(units, n_parts), n_parts), "cm-rated")
+    total, kinds = rated.where(F.octet_length("unit") > 0).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
+    word = F.octet_length("unit") > 0
+    rated = rated.select("unit", "n", "log_p", F.when(word, F.log10(F.col("n") + 1)).otherwise(0.0).alias("log_n"), (word & (F.col("n") > 0)).cast("int").alias("known"), F.map_from_arrays("nexts", "next_logs").alias("next_log"))
+    # the most frequent units, COMMON_UNITS rows with 256 next bytes at most
+    frequent = common.materialize(rated.orderBy(F.desc("n"), "unit").limit(COMMON_UNITS).drop("n"), "cm-common")
+    lists, rated = found.where("unit IS NOT NULL").select("unit", "chunk", "at"), rated.drop("n")
+    near = lists.join(F.broadcast(frequent), "unit")
+    far = lists.join(F.broadcast(frequent.select("unit")), "unit", "left_anti").join(rated, "unit")
+    at = F.col("at")
+    each = near.unionByName(far).select("chunk", F.explode("at").alias("at"), "known", "log_n", "log_p", "next_log")
+    each = each.select("chunk", at.bitwiseAND((1 << ROW_BITS) - 1).alias("row"), F.shiftright("at", NEXT_BITS).alias("n"), "known", "log_n", (F.col("log_p") + F.coalesce(F.col("next_log")[F.shiftright("at", ROW_BITS).bitwiseAND(255)].cast("double"), F.lit(0.0))).alias("log_p"))
     each = each.groupBy("chunk", "row").agg(F.sum(F.col("n") * F.col("log_p")).alias("score"), F.sum(F.col("n") * F.col("log_n")).alias("logs"), F.sum(F.col("n") * F.col("known")).alias("n_known"))
-    rows = found.where("unit IS NULL").select("chunk", "row", "doc_id", "held_out", "n_tokens").join(each, ["chunk", "row"])
+    rows = found.where("unit IS NULL").select("chunk", "row", "doc_id", "held_out", "n_tokens", "n_bytes").join(each, ["chunk", "row"])
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(total + kinds + 1)))
-    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    bits = -F.col("score") / F.col("n_bytes") * F.log2(F.lit(10.0))
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,19 +159,88 @@ def test_context_mixing_base_and_model(spark, sf):
         assert -8 * len(b" ".join(w or b"x" for w in ws)) * 0.302 < r.score < 0
 
 
-def test_units_are_a_distribution():
-    """The next byte's probabilities after any beginning add up to one."""
+def slow_slot(context, before, k):
+    """The table's place, in whole numbers."""
+    most, bits = (1 << 64) - 1, (*context_mixing.REST_BITS, *context_mixing.HEAD_BITS)[k]
+    h = (context + k + 1) * 0x9E3779B97F4A7C15 & most
+    h ^= h >> 31
+    return (((h ^ (before * 0xD6E8FEB86659FD93 & most)) * 0xFF51AFD7ED558CCD & most) >> (64 - bits)) + context_mixing.OFFSETS[k]
+
+
+def slow_bits(text):
+    """Of each bit of a text: the side, the bits before it in its byte, the bit, table places, and the exact context."""
+    cm = context_mixing
+    units = [*text.encode().lower().split(), cm.END]
+    for last, unit in zip([cm.START, *units], units):
+        for place, byte in enumerate(unit if unit == cm.END else unit + b" "):
+            before = 1
+            for k in range(7, -1, -1):
+                if place == 0:
+                    yield 1, before, byte >> k & 1, [slow_slot(int.from_bytes(last[len(last) - min(n, len(last)) :], "little"), before, len(cm.REST) + j) for j, n in enumerate(cm.HEAD)], ("whole", last, before)
+                else:
+                    begin = unit[:place]
+                    slots = [slow_slot(sum(b << 8 * i for i, b in enumerate(begin[::-1][:n])), before, j) for j, n in enumerate(cm.REST)]
+                    yield 0, before, byte >> k & 1, slots, ("begin", begin, before) if cm.LEAST_BEGINNING <= place <= cm.MOST_BEGINNING else None
+                before = before << 1 | byte >> k & 1
+
+
+def slow_score(text, model, exact):
+    from math import exp, log, log10
+
     import numpy as np
 
-    tables = np.zeros((2, context_mixing.SLOTS), np.float32)
-    rng = np.random.default_rng(1)
-    tables[:] = rng.integers(0, 5, tables.shape)
-    model = lambda: context_mixing.Model(tables, np.full((context_mixing.ORDERS, context_mixing.GATES), 0.4, np.float32), np.full((context_mixing.MAP_STEPS, 256), 0.5))
-    units = sorted([b"ab", b"abc", b"abd", b"b", context_mixing.END, b"x" * 100])
-    together, alone = model().unit_scores(units), [model().unit_scores([u])[0] for u in units]
-    assert np.allclose(together, alone, atol=1e-6)
-    contexts = context_mixing.Contexts([bytes([b]) for b in range(256) if b != 0xFF] + [context_mixing.END])
-    assert contexts.weights(np.ones(256)).sum() == 511
+    total = 0.0
+    for side, before, bit, slots, context in slow_bits(text):
+        pairs = [(float(model.tables[0][s]), float(model.tables[1][s])) for s in slots] + [exact.get(context, (0, 0))]
+        kinds = [min(int(np.log2(z + o + 1)), 7) + 8 * (z == 0 or o == 0) for z, o in pairs]
+        longest = max((k + 1 for k, kind in enumerate(kinds) if kind != 8), default=0)
+        x = sum(float(model.weights[side][k][16 * longest + kind]) * log((o + 0.2) / (z + 0.2)) for k, (kind, (z, o)) in enumerate(zip(kinds, pairs)))
+        x = max(-12.0, min(12.0, x))
+        at = (x + 12) * 32 / 24
+        low = min(int(at), 31)
+        refined = model.refine[side][low][before] * (low + 1 - at) + model.refine[side][low + 1][before] * (at - low)
+        p = min(max((1 / (1 + exp(-x)) + refined) / 2, 1e-6), 1 - 1e-6)
+        total += log10(p if bit else 1 - p)
+    return total
+
+
+def test_context_mixing_bit_by_bit(spark, sf, monkeypatch):
+    """A slow version that goes bit by bit over each text, with counts in a dictionary, agrees; parts cut words with equal beginnings."""
+    monkeypatch.setattr(context_mixing, "PART_UNITS", 150)
+    rng = random.Random(6)
+    stems = ["tokenstokens" + "".join(rng.choices("abc", k=8)) for _ in range(300)]
+    texts = [(r.doc_id, (r.text or "")[:3000]) for r in sf.select("doc_id", "text").limit(25).collect()]
+    texts += [(1000 + k, " ".join(rng.choices(stems, k=60))) for k in range(20)] + [(2000, "z" * 70 + " " + "z" * 71), (2001, "\x00a \x00 é" * 3), (2002, None)]
+    docs = frame(spark, [(i, t, None, None) for i, t in texts])
+    units = context_mixing.by_part(common.materialize(context_mixing.counted_units(context_mixing.postings(docs)), "test"))
+    n_parts = units.agg(F.max("part")).first()[0] + 1
+    assert n_parts > 3 and units.where("ghost").count() > 0
+    model = context_mixing.fit(units, n_parts)
+    exact, tables = {}, {}
+    for i, t in texts:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for _, _, bit, slots, context in slow_bits(t or ""):
+                for s in slots:
+                    tables.setdefault(s, [0, 0])[bit] += 1
+                if context:
+                    exact.setdefault(context, [0, 0])[bit] += 1
+    assert {s: [*model.tables[:, s]] for s in model.tables.any(0).nonzero()[0].tolist()} == tables
+    found = {r.doc_id: r for r in context_mixing.scores(docs).collect()}
+    for i, t in texts:
+        want = slow_score(t or "", model, exact)
+        assert found[i].score == pytest.approx(want, rel=1e-4, abs=1e-4)
+        n_bytes = len(b" ".join((t or "").encode().split())) + 1 + bool((t or "").split())
+        assert found[i].bits_per_byte == pytest.approx(-want * 3.3219281 / n_bytes, rel=1e-4)
+
+
+def test_context_mixing_order_counts(spark):
+    rng = random.Random(9)
+    texts = [" ".join(x for _ in range(60) for x in (rng.choice("abcdef") * 3, rng.choice("uvwxyz") * 3)) for _ in range(40)]
+    mixed = texts[0].split()
+    rng.shuffle(mixed)
+    docs = frame(spark, [(k, t, None, None) for k, t in enumerate([*texts, " ".join(mixed)])])
+    found = {r.doc_id: r.score for r in context_mixing.scores(docs).collect()}
+    assert found[40] < found[0] - 5
 
 
 def test_context_mixing_odd(spark, odd, none):
