@@ -114,7 +114,7 @@ def pack(pieces: list[Piece], max_tokens: int, max_segments: int, max_loss: int,
 
 
 def pack_documents(
-    docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, window: int = WINDOW_TOKENS, prompt_tokens: str | None = None
+    docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, window: int = WINDOW_TOKENS, prompt_tokens: str | None = None
 ) -> DataFrame:
     """One row for each piece. `prompt_tokens` names a column with the number of leading ids that bear no loss."""
     max_loss = max_tokens if max_loss is None else max_loss
@@ -126,7 +126,7 @@ def pack_documents(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, end = ChunkEncoder(path), END_ID.to_bytes(4, "little")
+        encoder, end = ChunkEncoder(path or vocabulary()), END_ID.to_bytes(4, "little")
         next_id = TaskContext.get().partitionId() << 32
         waiting: list[Piece] = []
         held = fresh = 0
@@ -160,4 +160,4 @@ def pack_documents(
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(common.table(spark, sf_dir, "documents"), vocabulary())
+    return pack_documents(common.table(spark, sf_dir, "documents"))

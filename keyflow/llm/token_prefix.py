@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -36,6 +37,7 @@ _LONG = 512
 
 
 def vocabulary() -> str:
+    """The default vocabulary's path on this machine; tasks that get no path ask for it where they run."""
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -60,49 +62,65 @@ class PrefixCounts(dict):
         model, self.end = parts["model"], parts["model"]["end_of_word_suffix"]
         self.tokenizer, self.letters, self.ending = encoder.tokenizer, encoder.letters, encoder.model
         self.within = BPE(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
-        self.inner = {t for t in model["vocab"] if not t.endswith(self.end)}
-        self.final = {t[: -len(self.end)] for t in model["vocab"] if t.endswith(self.end)}
-        self.longest = max(map(len, self.inner | self.final))
+        self.ids, self.tokens = {"": 0}, [""]
+        self.inner = self._finder(t for t in model["vocab"] if not t.endswith(self.end))
+        self.final = self._finder(t[: -len(self.end)] for t in model["vocab"] if t.endswith(self.end))
         specials = sorted((t["content"] for t in parts["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, specials)) or "(?!)")
         self.words: dict[str, list[int]] = {}
-        self.fits: dict[tuple[str, str, bool], bool] = {}
-
-    def fit(self, before: str, token: str, final: bool) -> bool:
-        """Whether two tokens stay as they are when they are encoded together."""
-        key = (before, token, final)
-        if (known := self.fits.get(key)) is None:
-            found = [t.value for t in (self.ending if final else self.within).tokenize(before + token)]
-            known = self.fits[key] = found == ([before] if before else []) + [token + self.end * final]
+        self.fits: dict[int, bool] = {}
+
+    def _finder(self, tokens):
+        """An automaton that finds all of the tokens that end at each place of a word, the longest first."""
+        import ahocorasick
+
+        found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for token in tokens:
+            if token:
+                if token not in self.ids:
+                    self.ids[token] = len(self.tokens)
+                    self.tokens.append(token)
+                found.add_word(token, self.ids[token] << 12 | len(token))
+        found.make_automaton()
+        return found
+
+    def fit(self, key: int) -> bool:
+        """Whether two tokens (their numbers, and whether the second ends the word) stay as they are when they are encoded together."""
+        before, token, final = self.tokens[key >> 33], self.tokens[key >> 1 & 0xFFFFFFFF], key & 1
+        found = [t.value for t in (self.ending if final else self.within).tokenize(before + token)]
+        known = self.fits[key] = found == ([before] if before else []) + [token + self.end * final]
         return known
 
     def word(self, word: str) -> list[int]:
         """The counts of a pre-token's first 1, 2, ... characters, by the recurrence."""
         if (found := self.words.get(word)) is not None:
             return found
-        letters = word.encode().decode("latin-1").translate(self.letters)
-        n, last, found, at = [0], [""], [], 0
-        fit, inner, final, fits = self.fit, self.inner, self.final, self.fits
-        for i in range(1, len(letters) + 1):
-            lengths = range(min(i, self.longest), 0, -1)
-            for k in lengths:
-                token = letters[i - k : i]
-                if token in inner and (fits.get((last[i - k], token, False)) or fit(last[i - k], token, False)):
-                    n.append(n[i - k] + 1)
-                    last.append(token)
-                    break
-            else:
-                raise AssertionError(f"no token ends at {i} of {word!r}")
-            if i == at + len(word[len(found)].encode()):
-                at = i
-                for k in lengths:
-                    token = letters[i - k : i]
-                    if token in final and (fits.get((last[i - k], token, True)) or fit(last[i - k], token, True)):
-                        found.append(n[i - k] + 1)
-                        break
-                else:
-                    raise AssertionError(f"no last token ends at {i} of {word!r}")
-        if len(word) <= _LONG:
+        raw = word.encode()
+        letters, size, fits = raw.decode("latin-1").translate(self.letters), len(raw), self.fits
+        n, last, done = [0] * (size + 1), [0] * (size + 1), 0
+        for at, value in self.inner.iter(letters):
+            if at == done:  # the token that ends here is still to be found
+                since, token = at + 1 - (value & 0xFFF), value >> 12
+                key = last[since] << 33 | token << 1
+                if (fit := fits.get(key)) is None:
+                    fit = self.fit(key)
+                if fit:
+                    done = at + 1
+                    n[done], last[done] = n[since] + 1, token
+        ends, here = [0] * (size + 1), 0
+        for at, value in self.final.iter(letters):
+            if at >= here:
+                since = at + 1 - (value & 0xFFF)
+                key = last[since] << 33 | value >> 12 << 1 | 1
+                if (fit := fits.get(key)) is None:
+                    fit = self.fit(key)
+                if fit:
+                    here = at + 1
+                    ends[here] = n[since] + 1
+        found = ends[1:] if size == len(word) else [ends[k] for k in range(1, size + 1) if k == size or raw[k] & 0xC0 != 0x80]
+        if done != size or not all(found):
+            raise AssertionError(f"no token ends at each place of {word!r}")
+        if size <= _LONG:
             self.words[word] = found
         return found
 
@@ -141,8 +159,6 @@ class PrefixCounts(dict):
         return out
 
     def __missing__(self, chunk: bytes) -> bytes:
-        import numpy as np
-
         text = chunk.decode()
         if plain := _PLAIN.fullmatch(text):
             counts = [0, *self.word(plain[1].lower())]
@@ -156,7 +172,7 @@ class PrefixCounts(dict):
                 at = found.end()
             base = counts[-1]
             counts += [base + c for c in self.ordinary(text[at:])[1:]]
-        out = np.diff(np.array(counts, np.int32)).tobytes()
+        out = array("i", [b - a for a, b in zip(counts, counts[1:])]).tobytes()
         if len(chunk) <= _LONG:
             self[chunk] = out
         return out
@@ -220,13 +236,13 @@ class PrefixTable:
         return int(np.flatnonzero(self.counts <= budget)[-1])
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFrame:
+def token_counts(docs: DataFrame, path: str | None = None, limit: int = TOKEN_LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row: the last entry of each text's prefix table."""
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        counts = shared_counts(path)
+        counts = shared_counts(path or vocabulary())
         for batch in common.slices(batches, _ROWS):
             n_bytes, n_tokens = [], []
             for text in common.utf8(batch.column(1)):
@@ -240,13 +256,13 @@ def token_counts(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
-def with_prefix_counts(docs: DataFrame, path: str) -> DataFrame:
+def with_prefix_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and prefix_tokens, the count at every prefix of the text (entry p: the first p characters)."""
 
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        counts = shared_counts(path)
+        counts = shared_counts(path or vocabulary())
         for batch in common.slices(batches, 50):
             tables = []
             for text in common.utf8(batch.column(1)):
@@ -257,13 +273,13 @@ def with_prefix_counts(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, schema)
 
 
-def truncated(docs: DataFrame, path: str, budget: int) -> DataFrame:
+def truncated(docs: DataFrame, path: str | None, budget: int) -> DataFrame:
     """doc_id and text, cut to its longest prefix of at most `budget` tokens."""
 
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        counts = shared_counts(path)
+        counts = shared_counts(path or vocabulary())
         for batch in common.slices(batches, _ROWS):
             cut = []
             for text in (x.decode() for x in common.utf8(batch.column(1))):
@@ -274,4 +290,4 @@ def truncated(docs: DataFrame, path: str, budget: int) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(common.table(spark, sf_dir, "documents"), vocabulary())
+    return token_counts(common.table(spark, sf_dir, "documents"))
