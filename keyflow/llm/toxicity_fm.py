@@ -1,12 +1,17 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text's terms (runs of letters, A-Z lowered, and their first `STEM_LETTERS` letters, which inflected forms share) are
-hashed to 2**18 buckets; the features are the buckets that tell
-the classes apart best in the labelled sample (by `MIN_Z` standard errors or more), at most `MAX_FEATURES`. The score is the logistic of
-`bias + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j`, so two terms that are harmless alone can weigh together; x_i is
-`VALUE` for a feature that the text has. The rarer class weighs as much as the other in fitting. It is fitted on a bounded sample of labelled rows (`MAX_TRAIN_ROWS`, by a hash of the id): in each round every task
-takes gradient steps over its own rows from the shared weights, and the rows' weighted mean of the tasks' weights
-starts the next round. Weights are at most MAX_FEATURES * (RANK + 1) numbers.
+hashed to 2**18 buckets, and each bucket that a text has is a feature of value `VALUE`. The score is the logistic of
+`bias + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j`, so two terms that are harmless alone can weigh together.
+
+All buckets are fitted together, by gradient steps over sparse rows; none is chosen beforehand. Penalties keep out what
+the rows don't bear out: on each |w_i| (`L1`) and on the length of each v_i (`LV`), taken off after each step, so that
+most are zero in the end. The linear weights come first, then the pairs on what they leave, from random v of size `INIT`.
+The rarer class weighs as much as the other.
+
+It is fitted on a bounded sample of labelled rows (`MAX_TRAIN_ROWS`, by a hash of the id): in each round every task takes
+steps over its own rows from the shared weights, and the rows' weighted mean of the tasks' weights starts the next round.
+Weights are BUCKETS * (RANK + 1) numbers, whatever the input.
 
 Defined results: null and empty texts score by the bias alone; with no labelled row, or labels of one class only,
 all texts score that class's smoothed share. Repeated rows each get their row; of a repeated labelled id, one text is
@@ -25,11 +30,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_TRAIN_ROWS, ROWS_PER_TASK = 20_000, 5_000
-BUCKETS, MAX_FEATURES, MIN_DOCS = 1 << 18, 2048, 4
-#: Standard errors by which a feature's shares in the two classes differ at least.
-MIN_Z = 4.5
-RANK, ROUNDS, STEPS, RATE, L2, VALUE = 8, 3, 150, 0.05, 1e-5, 0.5
+MAX_TRAIN_ROWS, ROWS_PER_TASK = 20_000, 2_500
+BUCKETS, RANK, VALUE, INIT = 1 << 18, 4, 0.5, 0.1
+#: Steps of each round, and whether it fits pairs.
+ROUNDS = ((60, False), (60, True), (40, True))
+RATE, L1, LV, L2 = 0.05, 1e-3, 2e-3, 1e-4
 STEM_LETTERS = (5, 6, 7)
 THRESHOLD = 0.7
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
@@ -38,12 +43,19 @@ _KEEP, _ROWS = 300_000, 500
 
 @dataclass
 class Model:
-    index: dict[int, int]
+    """The bias, and w and v of every bucket."""
+
     bias: float
     w: object
     v: object
 
 
+def blank(bias: float = 0.0) -> Model:
+    import numpy as np
+
+    return Model(bias, np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, RANK), np.float32))
+
+
 def term_buckets(term: bytes) -> list[int]:
     """Buckets of a run of letters and of its beginnings."""
     letters = term.decode(errors="ignore")
@@ -70,39 +82,67 @@ def _buckets(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), batch.column(1), batch.column(2)], names=["terms", "toxic", "doc_id"])
 
 
-def design(rows: list[list[int]], index: dict[int, int]):
-    """Rows of buckets as a dense matrix over the features."""
-    import numpy as np
+class Rows:
+    """Sparse rows: the features of all rows end to end, and sums over each row's or each feature's."""
+
+    def __init__(self, rows: list):
+        import numpy as np
 
-    x = np.zeros((len(rows), len(index)), np.float32)
-    for k, row in enumerate(rows):
-        x[k, [i for b in row if (i := index.get(b)) is not None]] = VALUE
-    return x
+        sizes = np.array([len(r) for r in rows], np.int64)
+        self.at = np.fromiter((b for r in rows for b in r), np.int64, int(sizes.sum()))
+        self.row, self.starts = np.repeat(np.arange(len(rows)), sizes), np.concatenate([[0], np.cumsum(sizes)])
 
+    @staticmethod
+    def sums(values, starts):
+        import numpy as np
 
-def raw_scores(x, bias: float, w, v):
-    s = x @ v
-    return bias + x @ w + 0.5 * ((s * s).sum(1) - (x * x) @ (v * v).sum(1))
+        out = np.zeros((len(starts) - 1, *values.shape[1:]), values.dtype)
+        some = np.flatnonzero(np.diff(starts))
+        if len(some):
+            out[some] = np.add.reduceat(values, starts[some], axis=0)
+        return out
 
+    def scores(self, at, bias: float, w, v):
+        """The machine's value for each row, and the sums of its features' v; `at` numbers the features in w and v."""
+        s = self.sums(v[at], self.starts) * VALUE
+        squares = self.sums((v * v).sum(1)[at], self.starts) * VALUE**2
+        return bias + self.sums(w[at], self.starts) * VALUE + 0.5 * ((s * s).sum(1) - squares), s
 
-def steps(x, y, weight, bias: float, w, v, n: int = STEPS):
-    """Adam steps over all rows of a task, which count by their weight."""
+
+def steps(rows: list, y, weight, model: Model, n: int, pairs: bool):
+    """The bias, the buckets that the rows have, and their w and v, after steps over all rows, which count by their weight."""
     import numpy as np
 
-    params = [np.array([bias], np.float32), w.copy(), v.copy()]
+    x = Rows(rows)
+    found, at = np.unique(x.at, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    row, starts = x.row[order], np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(found)))])
+    bias, w, v = np.float64(model.bias), model.w[found], model.v[found]
+    params = [w, v] if pairs else [w]
     m, s = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    squares, weight = x * x, weight / weight.sum()
+    mean = square = 0.0
+    weight = weight / weight.sum()
     for t in range(1, n + 1):
-        b, w, v = params
-        sums = x @ v
-        z = b[0] + x @ w + 0.5 * ((sums * sums).sum(1) - squares @ (v * v).sum(1))
+        first, second = 1 - 0.9**t, 1 - 0.999**t
+        z, sums = x.scores(at, bias, w, v)
         d = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight).astype(np.float32)
-        grads = [d.sum(keepdims=True), x.T @ d + L2 * w, x.T @ (d[:, None] * sums) - (squares.T @ d)[:, None] * v + L2 * v]
-        for p, g, a, q in zip(params, grads, m, s):
-            a += 0.1 * (g - a)
-            q += 0.001 * (g * g - q)
-            p -= RATE * (a / (1 - 0.9**t)) / (np.sqrt(q / (1 - 0.999**t)) + 1e-8)
-    return float(params[0][0]), params[1], params[2]
+        by_feature = Rows.sums(d[row], starts)
+        grads = [by_feature * np.float32(VALUE)]
+        if pairs:
+            grads.append(Rows.sums((d[:, None] * sums)[row], starts) * np.float32(VALUE) - (by_feature * np.float32(VALUE**2) - np.float32(L2))[:, None] * v)
+        mean, square = mean + 0.1 * (d.sum() - mean), square + 0.001 * (d.sum() ** 2 - square)
+        bias -= RATE * (mean / first) / (np.sqrt(square / second) + 1e-8)
+        for k, (p, g) in enumerate(zip(params, grads)):
+            m[k] += 0.1 * (g - m[k])
+            s[k] += 0.001 * (g * g - s[k])
+            size = (RATE / (np.sqrt(s[k] / second) + 1e-4)).astype(np.float32)
+            p -= size * m[k] / np.float32(first)
+            if k == 0:
+                np.copyto(p, np.sign(p) * np.maximum(np.abs(p) - size * np.float32(L1), 0))
+            else:
+                length = np.sqrt((p * p).sum(1, keepdims=True)) + np.float32(1e-12)
+                p *= np.maximum(1 - size.mean(1, keepdims=True) * np.float32(LV) / length, 0)
+    return float(bias), found, w, v
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model:
@@ -121,55 +161,66 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> M
     rows = common.materialize(rows.groupBy("doc_id").agg(F.min(F.struct("terms", "toxic")).alias("x")).select("doc_id", "x.terms", "x.toxic"), "fm")
     n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0.0))).first()
     if not 0 < positive < n:
-        return Model({}, math.log((positive + 1) / (n - positive + 1)), np.zeros(0, np.float32), np.zeros((0, RANK), np.float32))
-    p1, p0, p = F.col("pos") / positive, (F.col("df") - F.col("pos")) / (n - positive), F.col("df") / F.lit(float(n))
-    apart = (p1 - p0) * (p1 - p0) / (p * (F.lit(1.0) - p) * F.lit(1 / positive + 1 / (n - positive)) + F.lit(1e-12))
-    best = rows.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("pos")).where(F.col("df") >= MIN_DOCS)
-    best = best.where(apart >= MIN_Z**2).orderBy(apart.desc(), "term").limit(MAX_FEATURES).collect()
-    index = {r.term: k for k, r in enumerate(best)}
-    even = (n - positive) / positive
-    bias, w, v = 0.0, np.zeros(len(best), np.float32), np.random.default_rng(7).normal(0, 0.02, (len(best), RANK)).astype(np.float32)
+        return blank(math.log((positive + 1) / (n - positive + 1)))
+    even, model = (n - positive) / positive, blank()
     # rows are dealt by a hash of the id: reruns agree, and copies of a text spread over the tasks
     dealt = common.materialize(rows.repartition(max(1, math.ceil(n / ROWS_PER_TASK)), F.xxhash64("doc_id")).select("terms", "toxic"), "fm-dealt")
-    for _ in range(ROUNDS):
-        now = spark.sparkContext.broadcast((index, bias, w, v))
+    for k, (n_steps, pairs) in enumerate(ROUNDS):
+        if pairs and not ROUNDS[k - 1][1]:
+            model.v = np.random.default_rng(7).normal(0, INIT, model.v.shape).astype(np.float32)
+        now = spark.sparkContext.broadcast(model)
 
         def local(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
-            index, bias, w, v = now.value  # noqa: B023
             terms, toxic = [], []
             for batch in batches:
                 terms += batch.column(0).to_pylist()
                 toxic += batch.column(1).to_pylist()
             if terms:
                 y = np.array(toxic, np.float32)
-                b, w, v = steps(design(terms, index), y, np.where(y > 0, even, 1.0), bias, w, v)
-                weights = np.concatenate([[b], w, v.ravel()]).astype(np.float64).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([len(toxic)], pa.int64()), pa.array([weights], pa.binary())], names=["n", "weights"])
+                bias, found, w, v = steps(terms, y, np.where(y > 0, even, 1.0), now.value, n_steps, pairs)  # noqa: B023
+                parts = [found.astype(np.int32), w, v.ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((len(toxic), bias, *(p.tobytes() for p in parts)), kinds)], names=names)
+
+        import pyarrow as pa
 
-        found = sorted(dealt.mapInArrow(local, "n long, weights binary").collect())
-        mean = sum(np.frombuffer(bytes(x.weights)) * x.n for x in found) / sum(x.n for x in found)
-        bias, w, v = float(mean[0]), mean[1 : 1 + len(best)].astype(np.float32), mean[1 + len(best) :].reshape(-1, RANK).astype(np.float32)
+        kinds, names = [pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()], ["n", "bias", "found", "w", "v"]
+        tasks = sorted(dealt.mapInArrow(local, "n long, bias double, found binary, w binary, v binary").collect())  # BUCKETS * (RANK + 2) numbers a task at most
+        total = sum(x.n for x in tasks)
+        # a bucket that a task hasn't met keeps there what it was
+        w, v = model.w.astype(float), model.v.astype(float)
+        for x in tasks:
+            found, share = np.frombuffer(bytes(x.found), np.int32), x.n / total
+            w[found] += share * (np.frombuffer(bytes(x.w), np.float32) - model.w[found])
+            v[found] += share * (np.frombuffer(bytes(x.v), np.float32).reshape(-1, RANK) - model.v[found])
         now.unpersist()
-    return Model(index, bias, w, v)
+        model = Model(sum(x.bias * x.n for x in tasks) / total, w.astype(np.float32), v.astype(np.float32))
+    # v of buckets that no row has are still what they began as
+    seen = np.zeros(BUCKETS, bool)
+    for x in tasks:
+        seen[np.frombuffer(bytes(x.found), np.int32)] = True
+    model.v[~seen] = 0
+    return model
 
 
 def _rated(batches: Iterator, model: Model, column: str) -> Iterator:
     """Slices of the batches and their rows' probabilities."""
     import numpy as np
 
-    known: dict[bytes, list[int]] = {}  # the buckets of each term that are features
+    known: dict[bytes, list[int]] = {}  # the buckets of each term that weigh
+    weighs = (model.w != 0) | model.v.any(1)
     for batch in common.slices(batches, _ROWS):
         lists = []
         for text in common.utf8(batch.column(column)):
             terms = set(_TERM.findall(text.lower()))
             for t in terms.difference(known):
-                known[t] = [b for b in term_buckets(t) if b in model.index]
-            lists.append({b for t in terms for b in known[t]})
+                known[t] = [b for b in term_buckets(t) if weighs[b]]
+            lists.append(sorted({b for t in terms for b in known[t]}))
             if len(known) > _KEEP:
                 known.clear()
-        z = raw_scores(design(lists, model.index), model.bias, model.w, model.v).astype(np.float64)
+        rows = Rows(lists)
+        z = rows.scores(rows.at, model.bias, model.w, model.v)[0].astype(np.float64)
         yield batch, 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 

@@ -458,6 +458,40 @@ def test_pairs_that_a_linear_model_misses(spark):
     assert sum(a == b for a, b in found) / len(found) > 0.95
 
 
+@pytest.mark.parametrize("rule", [lambda a, b: a == b, lambda a, b: a != b])
+def test_pairs_without_effect_of_their_own(spark, rule):
+    """Toxic with both or neither of two words, or with one of them: each word alone is as common in both classes."""
+    rng = random.Random(5)
+    rows, labels = [], []
+    for k in range(900):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((k, " ".join([*rng.choices(["tree", "river", "stone", "cloud", "lamp"], k=6)] + ["insult"] * a + ["group"] * b), "en", "s"))
+        labels.append((k, int(rule(a, b))))
+    docs = frame(spark, rows)
+    model = toxicity_fm.fit(docs, spark.createDataFrame(labels[:600], "doc_id long, toxic int"))
+    truth = dict(labels)
+    found = [(truth[r.doc_id], r.score > 0.5) for r in toxicity_fm.score(docs, model).where("doc_id >= 600").collect()]
+    assert sum(a == b for a, b in found) / len(found) > 0.95
+
+
+def test_toxicity_scores_by_brute_force(spark, sf):
+    """The sum over all pairs of buckets, one by one."""
+    from itertools import combinations as pairs
+    from math import exp
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    model = toxicity_fm.blank(-0.4)
+    model.w[:], model.v[:] = rng.normal(0, 0.2, model.w.shape), rng.normal(0, 0.1, model.v.shape)
+    some = sf.limit(12)
+    found = {r.doc_id: r.score for r in toxicity_fm.score(some, model).collect()}
+    for r in some.collect():
+        own = sorted({b for t in toxicity_fm._TERM.findall((r.text or "").encode().lower()) for b in toxicity_fm.term_buckets(t)})
+        z = -0.4 + sum(0.5 * float(model.w[b]) for b in own) + sum(0.25 * float(model.v[a].astype(float) @ model.v[b]) for a, b in pairs(own, 2))
+        assert found[r.doc_id] == pytest.approx(1 / (1 + exp(-max(-500, min(500, z)))), abs=1e-3)
+
+
 def test_toxicity_odd(spark, odd, none):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     found = toxicity_fm.score(odd, toxicity_fm.fit(odd, empty)).collect()
@@ -492,9 +526,8 @@ def test_stages_decide_by_row(spark):
     assert texts(line_quality.kept_documents(docs)) == sorted([*good, good[0]])
     assert texts(simhash.one_row_of_each(docs)) == sorted([*good, "too short", "short too"])
     bad = zlib.crc32(b"vile") % toxicity_fm.BUCKETS
-    import numpy as np
-
-    model = toxicity_fm.Model({bad: 0}, -5.0, np.full(1, 40, np.float32), np.zeros((1, toxicity_fm.RANK), np.float32))
+    model = toxicity_fm.blank(-5.0)
+    model.w[bad] = 40
     both = frame(spark, [*rows, (None, "vile words", "en", "a"), (7, "so vile", "en", "b")])
     assert texts(toxicity_fm.not_toxic(both, model)) == sorted(good)
     assert source_mix.mixed_documents(frame(spark, [(None, f"{own()} {k}", "en", "a") for k in range(5)])).distinct().count() == 5
