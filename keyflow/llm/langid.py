@@ -4,9 +4,12 @@ Fitting counts words and the n-grams of `_word_` by language over a bounded samp
 `rows_per_language` of each language, chosen by a hash of the id). A word is known when it is in `WORD_SHARE` of a
 language's sampled documents, an n-gram when it is `GRAM_SHARE` of the language's n-grams of its length; so at most
 (mean distinct words of a document) / WORD_SHARE words and 1 / GRAM_SHARE n-grams of a length are known by language,
-which bounds what is broadcast. A known word scores its log frequency in each language; any other word scores the
+for each of its languages, which bounds what is broadcast; a language that hasn't a known word or n-gram has one default
+for the length. A known word scores its log frequency in each language; any other word scores the
 mean log frequency of its known n-grams of the greatest length that has some. A text's language has the greatest sum.
 
+Letters are those of Unicode's categories L; digits, other numerals (such as the superscript two) and marks aren't.
+
 Defined results: `und` with score 0 where the text is null or has no letter; rows without a language aren't learned
 from; with nothing to learn from, all is `und`. Repeated rows each get their row; other columns are not read.
 """
@@ -14,6 +17,7 @@ from; with nothing to learn from, all is `und`. Repeated rows each get their row
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,10 +27,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ROWS_PER_LANGUAGE, MAX_LANGUAGES = 5000, 512
+ROWS_PER_LANGUAGE = 5000
 LONGEST, WORD_SHARE, GRAM_SHARE = 5, 1e-3, 1e-5
-_WORD = re.compile(r"[^\W\d_]+")
-_KEEP, _ROWS = 200_000, 500
+#: Word characters that are neither digits nor letters: other numerals.
+_NUMERALS = "".join(re.escape(c) for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("Nl", "No"))
+_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+#: Scores that a task keeps, whatever the number of languages.
+_KEEP, _ROWS = 800_000, 500
+#: Language tables of up to so many rows are broadcast.
+_BROADCAST = 10_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -36,18 +45,23 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies by language: of words under length 0, of n-grams under their length."""
+    """Log frequencies by language: of words under length 0, of n-grams under their length. `known` has, for a word or
+    n-gram, (language number, difference from that language's default) where it was seen; `default` what unseen ones have."""
 
     languages: list[str]
     prior: list[float]
-    known: dict[int, dict[str, tuple[float, ...]]]
+    default: dict[int, list[float]]
+    known: dict[int, dict[str, list[tuple[int, float]]]]
 
     def word(self, word: str) -> list[float]:
-        if found := self.known[0].get(word):
-            return list(found)
-        for n in range(LONGEST, 0, -1):
-            if hits := [x for g in grams(word, n) if (x := self.known[n].get(g))]:
-                return [sum(x) / len(hits) for x in zip(*hits)]
+        for n in (0, *range(LONGEST, 0, -1)):
+            known = self.known[n]
+            if hits := [x for g in (grams(word, n) if n else [word]) if (x := known.get(g))]:
+                out = list(self.default[n])
+                for x in hits:
+                    for k, d in x:
+                        out[k] += d / len(hits)
+                return out
         return [0.0] * len(self.languages)
 
 
@@ -91,30 +105,33 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Mode
     import math
 
     labelled = labelled.select("doc_id", "text", "lang").where("lang IS NOT NULL")
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     languages = sorted(sizes)
     if not languages:
-        return Model([], [], {n: {} for n in range(LONGEST + 1)})
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, rows_per_language / sizes[lang]))])[F.col("lang")]
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
+        return Model([], [], {n: [] for n in range(LONGEST + 1)}, {n: {} for n in range(LONGEST + 1)})
+    drawn = labelled.sparkSession.createDataFrame([(lang, float(min(rows_per_language, n)), min(1.0, rows_per_language / n)) for lang, n in sizes.items()], "lang string, drawn double, share double")
+    small = (lambda df: F.broadcast(df)) if len(languages) <= _BROADCAST else (lambda df: df)
+    sample = labelled.join(small(drawn), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * F.lit(float(1 << 30)))
     counted = common.materialize(
         sample.select("text", "lang").mapInArrow(_count, "lang string, n int, gram string, count long, docs long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")), "lid"
     )
     totals = counted.groupBy("lang", "n").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("kinds"))
-    drawn = F.create_map(*[F.lit(x) for lang in languages for x in (lang, float(min(rows_per_language, sizes[lang])))])[F.col("lang")]
-    often = F.when(F.col("n") == 0, F.col("docs") >= F.greatest(F.lit(2.0), drawn * WORD_SHARE)).otherwise(F.col("count") >= F.greatest(F.lit(3.0), F.col("total") * GRAM_SHARE))
-    known = counted.join(F.broadcast(totals), ["lang", "n"]).where(often).select("n", "gram").distinct()
-    rows = counted.join(known, ["n", "gram"]).groupBy("n", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by_lang"))
+    often = F.when(F.col("n") == 0, F.col("docs") >= F.greatest(F.lit(2.0), F.col("drawn") * WORD_SHARE)).otherwise(F.col("count") >= F.greatest(F.lit(3.0), F.col("total") * GRAM_SHARE))
+    known = counted.join(small(totals), ["lang", "n"]).join(small(drawn), "lang").where(often).select("n", "gram").distinct()
+    rows = counted.join(known, ["n", "gram"]).groupBy("n", "gram").agg(F.collect_list(F.struct("lang", "count")).alias("by_lang"))
     total = {(r.lang, r.n): (r.total, r.kinds) for r in totals.collect()}
-    tables: dict[int, dict[str, tuple[float, ...]]] = {n: {} for n in range(LONGEST + 1)}
+    number = {lang: k for k, lang in enumerate(languages)}
+
+    def log(lang: str, n: int, count: int) -> float:
+        seen, kinds = total.get((lang, n), (0, 0))
+        return math.log((count + 0.5) / (seen + 0.5 * kinds + 1))
+
+    default = {n: [log(lang, n, 0) for lang in languages] for n in range(LONGEST + 1)}
+    tables: dict[int, dict[str, list[tuple[int, float]]]] = {n: {} for n in range(LONGEST + 1)}
     for r in rows.toLocalIterator():
-        logs = []
-        for lang in languages:
-            seen, kinds = total.get((lang, r.n), (0, 0))
-            logs.append(math.log((r.by_lang.get(lang, 0) + 0.5) / (seen + 0.5 * kinds + 1)))
-        tables[r.n][r.gram] = tuple(logs)
+        tables[r.n][r.gram] = sorted((k := number[x.lang], log(x.lang, r.n, x["count"]) - default[r.n][k]) for x in r.by_lang)
     n = sum(sizes.values())
-    return Model(languages, [math.log(sizes[lang] / n) for lang in languages], tables)
+    return Model(languages, [math.log(sizes[lang] / n) for lang in languages], default, tables)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -127,7 +144,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
         model = shared.value
         width, used, index = len(model.languages), 0, {}
-        scores = np.zeros((_KEEP, width))
+        keep = max(4096, _KEEP // max(1, width))
+        scores = np.zeros((keep, width))
         prior = np.array(model.prior)
         for batch in common.slices(batches, _ROWS):
             langs, shares = [], []
@@ -138,9 +156,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     shares.append(0.0)
                     continue
                 total = prior.copy()
-                for at in range(0, len(words), 50_000):
-                    part = words[at : at + 50_000]
-                    if used + len(part) > _KEEP:
+                for at in range(0, len(words), 4096):
+                    part = words[at : at + 4096]
+                    if used + len(part) > keep:
                         index.clear()
                         used = 0
                     for w in set(part).difference(index):

@@ -63,8 +63,60 @@ def test_language_held_out(spark):
 
 
 def test_language_backs_off():
-    model = langid.Model(["a", "b"], [-0.7, -0.7], {0: {"word": (-1.0, -5.0)}, 1: {"z": (-9.0, -2.0)}, 2: {"xy": (-3.0, -8.0)}, 3: {}, 4: {}, 5: {}})
-    assert model.word("word") == [-1.0, -5.0] and model.word("xyz") == [-3.0, -8.0] and model.word("zz") == [-9.0, -2.0] and model.word("q") == [0.0, 0.0]
+    known = {0: {"word": [(0, 4.0)]}, 1: {"z": [(1, 3.0)]}, 2: {"xy": [(0, 1.0), (1, 2.0)], "yz": [(0, 3.0)]}, 3: {}, 4: {}, 5: {}}
+    model = langid.Model(["a", "b"], [-0.7, -0.7], {n: [-5.0, -6.0] for n in range(6)}, known)
+    assert model.word("word") == [-1.0, -6.0] and model.word("xyz") == [-3.0, -5.0] and model.word("zz") == [-5.0, -3.0] and model.word("q") == [0.0, 0.0]
+
+
+def test_language_scores_by_brute_force(spark, sf):
+    """Log frequencies from plain counts, and each word of each text by itself."""
+    from collections import Counter, defaultdict
+    from math import exp, log
+
+    rows = [(r.doc_id, r.text or "", r.lang) for r in sf.collect()]
+    learnt = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 4 != 2 and x[2]]
+    langs = sorted({x[2] for x in learnt})
+    counts, docs = defaultdict(Counter), Counter()
+    words = lambda t: ["".join(g) for k, g in __import__("itertools").groupby(t.lower(), lambda c: __import__("unicodedata").category(c)[0] == "L") if k]
+    for _, text, lang in learnt:
+        for w in words(text):
+            counts[lang, 0][w] += 1
+            for n in range(1, 6):
+                counts[lang, n].update(langid.grams(w, n))
+        docs.update((lang, w) for w in set(words(text)))
+    drawn = Counter(x[2] for x in learnt)
+    known = {0: {w for (lang, w), k in docs.items() if k >= max(2, drawn[lang] * 1e-3)}}
+    known |= {n: {g for lang in langs for g, k in counts[lang, n].items() if k >= max(3, sum(counts[lang, n].values()) * 1e-5)} for n in range(1, 6)}
+    size = {k: sum(c.values()) + 0.5 * len(c) + 1 for k, c in counts.items()}
+
+    def word(w):
+        for n in (0, 5, 4, 3, 2, 1):
+            if hits := [g for g in (langid.grams(w, n) if n else [w]) if g in known[n]]:
+                return [sum(log((counts[lang, n][g] + 0.5) / size[lang, n]) for g in hits) / len(hits) for lang in langs]
+        return [0.0] * len(langs)
+
+    found = {r.doc_id: r for r in langid.query(spark, SF).collect()}
+    for i, text, _ in rows:
+        if not words(text):
+            assert (found[i].lang_pred, found[i].score) == ("und", 0.0)
+            continue
+        total = [log(drawn[lang] / len(learnt)) + sum(x) for lang, x in zip(langs, zip(*map(word, words(text))))]
+        best = max(total)
+        assert found[i].lang_pred == langs[total.index(best)] and found[i].score == pytest.approx(1 / sum(exp(x - best) for x in total), rel=1e-6)
+
+
+def test_six_hundred_languages(spark):
+    """No language is dropped."""
+    rows = [(k, f"common lang{'abcdefghij'[k // 100]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k % 10]}x " * 4, f"l{k:03d}", None) for k in range(600)] 
+    docs = frame(spark, rows + [(1000 + i, *r) for i, *r in rows])
+    found = langid.predict(docs, langid.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id")
+    assert found.where("lang = lang_pred").count() == 1200
+
+
+def test_numerals_are_no_letters(spark):
+    docs = frame(spark, [(1, "the cat", "en", None), (2, "² ½ ① Ⅷ 7", None, None), (3, "x²y", None, None)])
+    found = {r.doc_id: r for r in langid.predict(docs, langid.fit(docs)).collect()}
+    assert (found[2].lang_pred, found[2].score) == ("und", 0.0) and found[3].lang_pred == "en"
 
 
 def test_language_odd(spark, odd, none):
