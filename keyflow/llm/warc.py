@@ -6,8 +6,11 @@ them end to end: its separator is the zero byte with which a member's stored len
 more is followed by an empty one. The files are thus committed like any other output of Spark, on any file system.
 
 Reading: the files' listing is cut into byte ranges. A task looks for gzip's magic bytes from its range's start,
-takes a candidate for a member only if its first bytes decode to a WARC version line, reads records one after another from
-there (past the range's end if the last needs it), and owns those that start inside.
+takes a candidate for a member only if it decodes to a WARC version line and headers that name a type, an id and a
+length, reads records one after another from there (past the range's end if the last needs it), and owns those that
+start inside. A member with such headers that then ends early, doesn't inflate, or is shorter than its length says, is a
+row of type `broken` with what its headers say, without payload and digest; the search goes on behind its first byte.
+Empty members hold no record.
 
 Defined results: null html is an empty payload; ids that repeat with equal payloads are responses if they are the
 largest; a null id is smaller than any other; other columns are not read.
@@ -15,8 +18,10 @@ largest; a null id is smaller than any other; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +31,10 @@ from . import common
 
 REVISIT_BYTES, RANGE_BYTES = 1000, 4 << 20
 MAGIC = b"\x1f\x8b\x08"
-_READ = 1 << 18
+#: Bytes read at a time, those inflated at a time before the headers are whole, and the most that headers may have.
+_READ, _FIRST, _HEAD = 1 << 18, 512, 1 << 16
+_VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
+NEEDED = ("warc-type", "warc-record-id", "content-length")
 
 
 def member(data: bytes) -> bytes:
@@ -39,13 +47,14 @@ def member(data: bytes) -> bytes:
     return out[:-1]
 
 
-def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
+def record(page_id, url, payload: bytes, digest: str, refers_to, date: str = "1970-01-01T00:00:00Z") -> bytes:
     uri = quote(url or "", safe="%/:=&?~#+!$,;'@()*[]")
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload if refers_to is None else b"")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha1:{digest}",
         *([] if refers_to is None else [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]),
@@ -55,8 +64,9 @@ def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def write(pages: DataFrame, path: str) -> None:
-    """Archive page_id, url, html under `path`."""
+def write(pages: DataFrame, path: str, date: str | None = None) -> None:
+    """Archive page_id, url, html under `path`; all records have one date, by default the present."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     pages = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).alias("size"), F.sha1(payload).alias("digest"))
     # payloads are equal if their lengths and both digests are
@@ -69,7 +79,7 @@ def write(pages: DataFrame, path: str) -> None:
         import pyarrow as pa
 
         for batch in common.slices(batches, 200):
-            out = [member(record(*x)) for x in zip(*(c.to_pylist() for c in batch.columns))]
+            out = [member(record(*x, date)) for x in zip(*(c.to_pylist() for c in batch.columns))]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
 
     packed = pages.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(members, "member binary")
@@ -104,27 +114,41 @@ class Window:
         self.data, self.at = self.data[n:], self.at + n
 
 
-def inflate(window: Window) -> tuple[bytes, int] | None:
-    """The member at the window's start and its length; None if none that begins with a WARC version line is there."""
-    unpack, out, fed = zlib.decompressobj(31), [], 0
-    size = 0
+def headers(data: bytes) -> dict[str, str] | None:
+    """The fields of a record's headers, names lowered; None if they aren't whole or lack what all records have."""
+    head, end, _ = data.partition(b"\r\n\r\n")
+    if not end or not _VERSION.match(data):
+        return None
+    lines = head.decode("utf-8", "replace").split("\r\n")[1:]
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    return fields if all(fields.get(k) for k in NEEDED) and fields["content-length"].isdecimal() else None
+
+
+def inflate(window: Window) -> tuple[dict[str, str], bytes | None, int] | None:
+    """Of the member at the window's start: the record's headers, its block, and the member's length. The block is None
+    and the length 1 if the member is broken; None if no member with a record's headers is there."""
+    unpack, out, fed, size, head = zlib.decompressobj(31), [], 0, 0, None
     try:
-        while not unpack.eof:
-            if fed == len(window.data) and not window.more():
-                return None
-            part = window.data[fed : fed + _READ]
+        while not unpack.eof and (fed < len(window.data) or window.more()):
+            part = window.data[fed : fed + (_FIRST if head is None else _READ)]
             out.append(unpack.decompress(part))
             fed += len(part)
             size += len(out[-1])
-            if 5 <= size and b"".join(out[:2])[:5] != b"WARC/":
-                return None
+            if head is None and (size >= 5 or unpack.eof):
+                begun = b"".join(out)
+                if not begun.startswith(b"WARC/") or (head := headers(begun)) is None and (unpack.eof or size > _HEAD):
+                    return None
     except zlib.error:
+        pass
+    if head is None:
         return None
-    return b"".join(out), fed - len(unpack.unused_data)
+    block = b"".join(out).partition(b"\r\n\r\n")[2]
+    n = int(head["content-length"])
+    return (head, block[:n], fed - len(unpack.unused_data)) if unpack.eof and len(block) >= n else (head, None, 1)
 
 
-def records(file, start: int, end: int) -> Iterator[bytes]:
-    """The records that start in [start, end)."""
+def records(file, start: int, end: int) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Headers and blocks of the records that start in [start, end)."""
     window = Window(file, start)
     while window.at < end:
         while (k := window.data.find(MAGIC)) < 0 and window.at + len(window.data) < end + 2 and window.more():
@@ -133,21 +157,12 @@ def records(file, start: int, end: int) -> Iterator[bytes]:
             return
         window.drop(k)
         if found := inflate(window):
-            yield found[0]
-            window.drop(found[1])
+            yield found[:2]
+            window.drop(found[2])
         else:
             window.drop(1)
 
 
-def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
-    """A record's headers, names lowered, and its HTTP payload."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-    fields = {k.lower(): v for k, v in fields.items()}
-    body = rest[: int(fields.get("content-length", len(rest)))]
-    return fields, body.partition(b"\r\n\r\n")[2]
-
-
 def read(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """record_type, record_id, refers_to, url, payload, payload_digest (as computed, or a revisit's header)."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")  # the listing: contents aren't read
@@ -163,11 +178,16 @@ def read(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> Data
             for path, start in zip(*(c.to_pylist() for c in batch.columns)):
                 out: list[tuple] = []
                 with opened(path) as file:
-                    for data in records(file, start, start + range_bytes):
-                        head, payload = parsed(data)
-                        revisit = head.get("warc-type") == "revisit"
-                        digest = head.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else hashlib.sha1(payload).hexdigest()
-                        out.append((head.get("warc-type"), head.get("warc-record-id"), head.get("warc-refers-to"), head.get("warc-target-uri"), None if revisit else payload, digest))
+                    for head, block in records(file, start, start + range_bytes):
+                        kind, payload, digest = head["warc-type"], None, None
+                        if block is None:
+                            kind = "broken"
+                        elif kind == "revisit":
+                            digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
+                        else:
+                            payload = block.partition(b"\r\n\r\n")[2]
+                            digest = hashlib.sha1(payload).hexdigest()
+                        out.append((kind, head["warc-record-id"], head.get("warc-refers-to"), head.get("warc-target-uri"), payload, digest))
                         if len(out) == 200:
                             yield batch_of(out)
                             out = []

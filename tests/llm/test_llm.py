@@ -435,10 +435,46 @@ def test_warc_false_magic(tmp_path):
     got = []
     for start in range(0, len(data), 50):
         with warc.opened(str(tmp_path / "x.gz")) as f:
-            got += [warc.parsed(r)[0]["warc-record-id"] for r in warc.records(f, start, start + 50)]
+            got += [head["warc-record-id"] for head, _ in warc.records(f, start, start + 50)]
     assert got == ["<urn:page:1>", "<urn:page:2>"]
 
 
+def test_warc_large_member(spark, tmp_path):
+    """A member of 16 MiB or more, and the empty one behind it, are one record."""
+    noise = random.Random(3).randbytes(9 << 20).hex()
+    warc.write(spark.createDataFrame([(1, "a", noise), (2, "b", "small")], "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    for range_bytes in (1 << 20, 1 << 30):
+        found = warc.read(spark, str(tmp_path / "w"), range_bytes).select("record_id", "record_type", F.octet_length("payload").alias("n")).collect()
+        assert sorted(map(tuple, found)) == [("<urn:page:1>", "response", 18 << 20), ("<urn:page:2>", "response", 5)]
+
+
+def test_warc_broken_members(spark, tmp_path):
+    """Cut and damaged members are rows of their own; what lacks a record's headers is none."""
+    import gzip
+
+    whole = [gzip.compress(warc.record(k, "u", random.Random(k).randbytes(4000), "d", None)) for k in range(4)]
+    damaged = bytearray(whole[1])
+    damaged[-300:-200] = bytes(100)
+    other = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\n\r\nno id, no length")
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "x.gz").write_bytes(whole[0] + bytes(damaged) + other + gzip.compress(b"") + whole[2] + whole[3][:-700])
+    for range_bytes in (100, 1 << 22):
+        found = warc.read(spark, str(tmp_path / "w"), range_bytes).select("record_id", "record_type", F.octet_length("payload").alias("n")).collect()
+        assert sorted(map(tuple, found), key=lambda x: x[0]) == [("<urn:page:0>", "response", 4000), ("<urn:page:1>", "broken", None), ("<urn:page:2>", "response", 4000), ("<urn:page:3>", "broken", None)]
+
+
+def test_warc_odd_rows(spark, tmp_path):
+    """Null and repeated ids, ties, columns with clashing names."""
+    big = "ä" * 600
+    rows = [(None, None, big, "x", "y"), (1, "u", big, None, None), (2, "u", big, "x", "y"), (2, "v", big, "x", "y"), (3, None, None, "x", "y"), (3, None, "", "x", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, record_type string, refers_to string")
+    found = sorted((tuple(r) for r in warc.archived(pages).select("page_id", "payload_bytes", "record_type", "refers_to").collect()), key=str)
+    assert found == sorted([(None, 1200, "revisit", 2), (1, 1200, "revisit", 2), (2, 1200, "response", None), (2, 1200, "response", None), (3, 0, "response", None), (3, 0, "response", None)], key=str)
+    warc.write(pages, str(tmp_path / "w"), "2024-05-06T07:08:09Z")
+    with warc.opened(str(next((tmp_path / "w").glob("part-*")))) as f:
+        assert next(warc.records(f, 0, 1 << 30))[0]["warc-date"] == "2024-05-06T07:08:09Z"
+
+
 def test_warc_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archived(pages).count() == 0
