@@ -1,10 +1,11 @@
 """Quality rules with the cross-document frequency of lines.
 
 Lines are normalised (A-Z lowered, white space runs to one space) and hashed. For each host (the source), a line's
-frequency is the number of different texts that have it; a line over the host's limit, max(`LEAST_LIMIT`,
-`LIMIT_SHARE` of the host's different texts), is boilerplate. It is removed from all of the host's texts but its
-first (of the smallest id), so that of many copies one stays whole; exact copies of a text count once and share its
-verdict, and are left to deduplication. A document is rejected when less than `LEAST_KEPT` of its words remain, or
+frequency is the number of its documents that have it; a line over the host's limit, `LIMIT_SHARE` of the host's
+documents but `LEAST_LIMIT` at least and `MOST_LIMIT` at most, is boilerplate. Exact copies of a text are one document
+here, share its verdict, and are left to deduplication (`count_copies` counts each). A frequent line is removed from all
+of the host's texts but its first (of the smallest id), so that of many near copies one stays whole (`keep_first=False`
+removes it there too). A document is rejected when less than `LEAST_KEPT` of its words remain, or
 when a base rule fails.
 
 Frequencies are counted with partial sums before the shuffle, and only lines over a limit are joined back: broadcast
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_WORDS, MAX_REPEATED, WINDOW = 10, 20, 5
-LEAST_LIMIT, LIMIT_SHARE, LEAST_KEPT = 20, 0.01, 0.3
+LEAST_LIMIT, MOST_LIMIT, LIMIT_SHARE, LEAST_KEPT = 20, 200, 0.01, 0.3
 BROADCAST_LINES = 250_000
 SYMBOLS = b"#*$%&|<>"
 _ROWS = 300
@@ -108,18 +109,24 @@ def verdicts(docs: DataFrame, *limits, **named) -> DataFrame:
     return _verdicts(docs, *limits, **named).drop("text_key", "host")
 
 
-def _verdicts(docs: DataFrame, least_limit: int = LEAST_LIMIT, limit_share: float = LIMIT_SHARE, least_kept: float = LEAST_KEPT, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def _verdicts(
+    docs: DataFrame, least_limit: int = LEAST_LIMIT, limit_share: float = LIMIT_SHARE, least_kept: float = LEAST_KEPT, broadcast_lines: int = BROADCAST_LINES, most_limit: int = MOST_LIMIT, count_copies: bool = False, keep_first: bool = True
+) -> DataFrame:
     """What `verdicts` has, with text_key and host."""
-    found = common.materialize(measure(docs), "lines")
-    found = found.withColumn("host", _host("host"))
-    # one document for each different text of a host: the first
-    texts = common.materialize(found.groupBy("host", "content").agg(F.min(F.struct("doc_id", "row_no", "lines")).alias("first")).select("host", "content", "first.doc_id", "first.row_no", "first.lines"), "lines-texts")
-    limits = texts.groupBy("host").agg(F.greatest(F.lit(float(least_limit)), F.count(F.lit(1)) * limit_share).alias("limit"))
-    counted = texts.select("host", F.explode("lines").alias("line"), F.struct("doc_id", "row_no", "content").alias("at")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    found = common.materialize(measure(docs), "lines").withColumn("host", _host("host"))
+    # one document for each different text of a host: the first, with the number of its copies
+    firsts = found.groupBy("host", "content").agg(F.min(F.struct("doc_id", "row_no")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    firsts = firsts.select(F.col("first.row_no").alias("first_no"), F.col("copies") if count_copies else F.lit(1).alias("copies"))
+    texts = common.materialize(found.join(firsts, found["row_no"] == F.col("first_no")).select("host", "content", "doc_id", "row_no", "lines", "copies"), "lines-texts")
+    limits = texts.groupBy("host").agg(F.least(F.lit(float(most_limit)), F.greatest(F.lit(float(least_limit)), F.sum("copies") * limit_share)).alias("limit"))
+    counted = texts.select("host", F.explode("lines").alias("line"), "copies", F.struct("doc_id", "row_no", "content").alias("at")).groupBy("host", "line").agg(F.sum("copies").alias("n"), F.min("at").alias("first"))
     over = common.materialize(counted.join(limits, "host").where("n > limit").select("host", "line", F.col("first.content").alias("stays_in")), "lines-over")
     side = F.broadcast(over) if over.count() <= broadcast_lines else over
     lines = found.select("row_no", "host", "content", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row_no", "host", "content", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    removed = lines.join(side, ["host", "line"]).where("content <> stays_in").groupBy("row_no").agg(F.sum("words").alias("removed"))
+    removed = lines.join(side, ["host", "line"])
+    if keep_first:
+        removed = removed.where("content <> stays_in")
+    removed = removed.groupBy("row_no").agg(F.sum("words").alias("removed"))
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED)
     kept = ~failed & (left >= F.col("n_words") * least_kept)
@@ -148,7 +155,7 @@ lw AS (SELECT doc_id, host, text, line, len(lw) AS words,
        translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM l WHERE len(lw) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY doc_id),
 texts AS (SELECT host, text, min(doc_id) AS first_id FROM d GROUP BY host, text),
-limits AS (SELECT host, greatest(20.0, 0.01 * count(*)) AS lim FROM texts GROUP BY host),
+limits AS (SELECT host, least(200.0, greatest(20.0, 0.01 * count(*))) AS lim FROM texts GROUP BY host),
 freq AS (SELECT host, norm, count(*) AS n, min(first_id) AS stays FROM
          (SELECT DISTINCT x.host, x.norm, t.first_id FROM lw x JOIN texts t ON x.host = t.host AND x.text = t.text) GROUP BY host, norm),
 frequent AS (SELECT f.host, f.norm, t.text AS stays_in FROM freq f JOIN limits m ON f.host = m.host AND f.n > m.lim
