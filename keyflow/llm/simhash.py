@@ -1,12 +1,14 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
 Two 64-bit fingerprints that differ in at most 4 bits differ in at most 4 of their 8 bytes: they share the bytes of
-at least 4 positions. That is the guaranteed minimum of the count filter, so the index posts each different
-fingerprint under its bytes at every 4 of the 8 positions (70 posting lists, each of four positional bytes): exactly
-the pairs whose tally of shared positional bytes reaches 4 meet. A task reads its posting lists in key order, tallies
-and verifies pairs in blocks, and passes on only as many links as connect a list's fingerprints: a group of copies
-yields links in proportion to its fingerprints, not to its pairs. Within a long list the fingerprints' other four
-bytes are indexed again, by five runs of bits of which two similar ones share at least one.
+at least 4 positions. That is the guaranteed minimum of the count filter. A plain index of (position, byte) has lists of
+a 256th of all fingerprints; so the index posts each different fingerprint under its bytes at every 4 of the 8 positions
+(70 posting lists, each of four positional bytes), in which exactly the pairs that share those meet. For each pair that
+is met in a list, the shared positional bytes are tallied over all 8 positions; a pair is retained where the tally is 4
+or more, by the one list of the first 4 positions that it shares, and verified by its differing bits. A task reads its
+lists in key order and passes on only as many links as connect a list's fingerprints: a group of copies yields links in
+proportion to its fingerprints, not to its pairs. Within a list of over `_LONG` fingerprints the other four bytes are
+indexed again, by five runs of bits of which two similar ones share at least one.
 
 Exact copies share one fingerprint and are one row of the index, whatever their number.
 
@@ -18,6 +20,7 @@ other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,8 +71,25 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", common.text_key().alias("text_key")).mapInArrow(rows, "doc_id long, text_key long, fp long")
 
 
-def _spanning(values) -> list[tuple[int, int]]:
-    """Links that connect all of the values that chains of at most 4 differing bits connect."""
+@cache
+def _owners():
+    """For each set of shared positions, as bits: the list of its first four, or -1 where the tally is below four."""
+    import numpy as np
+
+    sets = ([p for p in range(BYTES) if k >> p & 1] for k in range(1 << BYTES))
+    return np.array([POSITIONS.index(tuple(s[:LEAST_SHARED])) if len(s) >= LEAST_SHARED else -1 for s in sets])
+
+
+def _similar(differ, which):
+    """Of pairs, by their differing bits, that a list (or an array of lists) has met: those that it retains and that are similar."""
+    import numpy as np
+
+    shared = np.packbits(differ.reshape(-1, 1).view(np.uint8).reshape(-1, BYTES) == 0, axis=1, bitorder="little")[:, 0]
+    return (_owners()[shared] == which) & (np.bitwise_count(differ) <= MAX_BITS)
+
+
+def _spanning(values, which: int) -> list[tuple[int, int]]:
+    """Links that connect all of the values that chains of similar pairs connect, of those that the list retains."""
     import numpy as np
 
     out: list[tuple[int, int]] = []
@@ -79,8 +99,7 @@ def _spanning(values) -> list[tuple[int, int]]:
         while len(front) and len(rest):
             reached = []
             for value in front:
-                # the tally of shared positional bytes is at least 4 for all of a posting list; verify
-                near = np.bitwise_count(rest ^ value) <= MAX_BITS
+                near = _similar(rest ^ value, which)
                 if near.any():
                     reached.append(rest[near])
                     out += [(int(value), int(x)) for x in rest[near]]
@@ -107,7 +126,7 @@ def _links(batches: Iterator) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
-    held = None
+    held: list = []  # pieces of the list that is still open
 
     def of(lists, keys, values):
         cut = np.flatnonzero((np.diff(keys) != 0) | (np.diff(lists) != 0)) + 1
@@ -116,33 +135,36 @@ def _links(batches: Iterator) -> Iterator:
         out = []
         two = edges[:-1][sizes == 2]
         a, b = values[two], values[two + 1]
-        near = np.bitwise_count(a ^ b) <= MAX_BITS
+        near = _similar(a ^ b, lists[two])
         out += zip(a[near].tolist(), b[near].tolist())
         for k in np.flatnonzero(sizes > 2):
-            part = values[edges[k] : edges[k + 1]]
+            part, which = values[edges[k] : edges[k + 1]], int(lists[edges[k]])
             if len(part) <= _LONG:
-                out += _spanning(part)
+                out += _spanning(part, which)
             else:
-                for again in _runs(part, POSITIONS[int(lists[edges[k]])]):
+                for again in _runs(part, POSITIONS[which]):
                     if len(again) > 1:
-                        out += _spanning(again)
+                        out += _spanning(again, which)
         found = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
         now = [np.array(c) for c in batch.columns]
         now[2] = now[2].view(np.uint64)
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now)]
+        if held and (now[0][0], now[1][0]) != (held[-1][0][0], held[-1][1][0]):
+            yield of(*[np.concatenate(x) for x in zip(*held)])
+            held = []
         last = np.flatnonzero((np.diff(now[1]) != 0) | (np.diff(now[0]) != 0))
         if not len(last):  # one list so far: as many fingerprints as share four bytes
-            held = now
+            held.append(now)
             continue
         end = int(last[-1]) + 1
-        held = [c[end:] for c in now]
-        yield of(*[c[:end] for c in now])
-    if held is not None and len(held[0]):
-        yield of(*held)
+        yield of(*[np.concatenate(x) for x in zip(*held, [c[:end] for c in now])])
+        held = [[c[end:] for c in now]]
+    if held:
+        yield of(*[np.concatenate(x) for x in zip(*held)])
 
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
@@ -157,8 +179,9 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
         return out
 
     postings = F.explode(F.array(*[F.struct(F.lit(k).alias("list"), key(p).alias("key")) for k, p in enumerate(POSITIONS)]))
-    rows = distinct.select("fp", postings.alias("posting")).select("posting.list", "posting.key", "fp")
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt anew before they multiply: a few files would be a few tasks
+    rows = distinct.repartition(n, "fp").select("fp", postings.alias("posting")).select("posting.list", "posting.key", "fp")
     return rows.repartition(n, "list", "key").sortWithinPartitions("list", "key").mapInArrow(_links, "a long, b long").distinct()
 
 
@@ -192,17 +215,6 @@ def one_row_of_each(docs: DataFrame) -> DataFrame:
     return once.unionByName(repeated.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, with their columns, of which none is reached by a smaller id; a repeated id stays once and a
-    null id never. `one_row_of_each` decides by row."""
-    stays = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    stays = common.materialize(stays.select(F.col("doc_id").alias("stays_id"), "n"), "simhash-stays")
-    columns = [docs[c] for c in docs.columns]
-    once = docs.join(stays.where("n = 1"), docs["doc_id"] == F.col("stays_id")).select(*columns)
-    repeated = docs.join(stays.where("n > 1"), docs["doc_id"] == F.col("stays_id")).select(*columns)
-    return once.unionByName(repeated.dropDuplicates(["doc_id"]))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

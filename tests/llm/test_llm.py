@@ -166,12 +166,29 @@ def test_fingerprint_links_keep_every_class(spark, monkeypatch):
     assert got == union_find(fps, list(range(len(fps))))
 
 
+def test_tally_gives_each_pair_one_list():
+    """Of the lists in which a pair meets, one retains it, if and only if it shares four positional bytes."""
+    import numpy as np
+
+    rng = random.Random(8)
+    for _ in range(300):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), rng.randint(0, 8)):
+            b ^= 1 << bit
+        shared = [p for p in range(8) if (a ^ b) >> 8 * p & 255 == 0]
+        differ = np.full(len(simhash.POSITIONS), a ^ b, np.uint64)
+        retained = np.flatnonzero(simhash._similar(differ, np.arange(len(simhash.POSITIONS)))).tolist()
+        similar = bin(a ^ b).count("1") <= 4
+        assert len(retained) == similar and all(set(simhash.POSITIONS[k]) <= set(shared) for k in retained)
+
+
 def test_simhash_odd(spark, odd, none):
     found = simhash.near_duplicates(odd).collect()
     assert len(found) == 8 and {r.component_id for r in found if r.doc_id in (2, 3, 5)} == {2}
     assert simhash.near_duplicates(none).count() == 0
-    stays = simhash.one_of_each(odd)
-    assert stays.columns == odd.columns and sorted(r.doc_id for r in stays.collect()) == [1, 2, 4, 6]
+    stays = simhash.one_row_of_each(odd)
+    assert stays.columns == odd.columns and sorted((r.doc_id for r in stays.collect()), key=str) == [1, 2, 4, 6, None]
 
 
 # -- 3 --------------------------------------------------------------------------------------------------------------
@@ -188,6 +205,20 @@ def test_lines_removed_and_documents_rejected(spark):
     assert found[0].words_left == 51 and found[1].words_left == 40 and found[100].words_left == 1
 
 
+def test_line_limits(spark):
+    """Copies count on demand, the first text is spared or not, and the limit stops rising with the host."""
+    banner, own = "Accept all cookies to read on with this fine site today", lambda k: " ".join(f"w{k}x{j}" for j in range(4))
+    rows = [(k, f"{banner}\n{own(k % 3)}", "en", "h") for k in range(30)]
+    kept = lambda df: {r.doc_id for r in df.where("kept").collect()}
+    docs = frame(spark, rows)
+    assert kept(line_quality.verdicts(docs, least_limit=5)) == set(range(30))
+    assert kept(line_quality.verdicts(docs, least_limit=5, least_kept=0.5, count_copies=True)) == set(range(0, 30, 3))
+    assert kept(line_quality.verdicts(docs, least_limit=2, least_kept=0.5, keep_first=False)) == set()
+    many = frame(spark, [(k, f"{banner}\n{own(k)}", "en", "h") for k in range(60)])
+    assert kept(line_quality.verdicts(many, least_limit=1, limit_share=1.0, least_kept=0.5)) == set(range(60))
+    assert kept(line_quality.verdicts(many, least_limit=1, limit_share=1.0, least_kept=0.5, most_limit=50)) == {0}
+
+
 def test_line_quality_odd(spark, odd, none):
     found = {r.doc_id: r for r in line_quality.verdicts(odd).collect()}
     assert found[2].n_words == 0 and found[2].base_failed and found[1].n_dup_lines == 1 and found[1].word_chars == 20 and found[6].n_words == 7
