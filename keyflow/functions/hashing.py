@@ -35,16 +35,25 @@ def fraction(seed: int, *keys: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) / float(1 << 52)
 
 
-def poisson(mean: float, u: Column, most: int = 64) -> Column:
-    """A Poisson number from a uniform one, by inversion."""
+def poisson(mean: float, u: Column) -> Column:
+    """A Poisson number from a uniform one, by inversion: how many of the distribution's steps lie at or below it. Steps
+    are listed where they are told apart from 0 and 1 in double precision, which grows with the root of the mean."""
     import math
 
-    out, below, mass = F.lit(most), [], math.exp(-mean)
-    total = mass
-    for k in range(most):
-        below.append((k, total))
-        mass *= mean / (k + 1)
-        total += mass
-    for k, bound in reversed(below):
-        out = F.when(u < bound, k).otherwise(out)
-    return out.cast("int")
+    mass = lambda k: math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) if mean > 0 else float(k == 0)
+    spread = 12 * math.sqrt(mean) + 40
+    low = max(0, int(mean - spread))
+    total, steps = 0.0, []
+    for k in range(low, int(mean + spread) + 1):
+        total += mass(k)
+        steps.append(min(total, 1.0))
+    return (F.size(F.filter(F.array(*map(F.lit, steps)), lambda step: step <= u)) + low).cast("int")
+
+
+def string_hash(text: Column) -> Column:
+    """The 32-bit hash of a string that sums its UTF-16 units, each times 31 to the number of units after it; signed."""
+    code = lambda c: F.ascii(c).cast("long")
+    pair = lambda c: ((code(c) - 0x10000) / 1024).cast("long") + 0xD800
+    step = lambda h, x: (h * 31 + x).bitwiseAND(0xFFFFFFFF)
+    summed = F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda h, c: F.when(c == "", h).when(code(c) < 0x10000, step(h, code(c))).otherwise(step(step(h, pair(c)), (code(c) - 0x10000) % 1024 + 0xDC00)))
+    return F.when(summed >= 1 << 31, summed - (1 << 32)).otherwise(summed)

@@ -3,6 +3,9 @@
 Operators: none, add, multiply, mean, max, min. States are rows (part, column); a partition without a row has no state.
 As the algebra has it, a value that a map or array lacks counts as zero (`absent="zero"`): the product or the maximum
 of something that one partition lacks is taken with 0. `absent="skip"` leaves lacking values out.
+Maps and arrays are merged as rows: map keys and positions become columns, nested ones further columns. An array is
+merged by position, or as a list, end to end, where the caller says so. Results keep the states' types; whole numbers
+that don't fit them are an error, as Spark's casts have it. Means of whole numbers are cut at each node of the merge tree.
 Partial sums run before the shuffle; only per-partition states, which are few, are spread over the partition grid.
 """
 
@@ -14,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NUMERIC = (T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+NUMERIC = (*WHOLE, T.FloatType, T.DoubleType)
 
 
 class UnsupportedMerge(TypeError):
@@ -22,14 +26,18 @@ class UnsupportedMerge(TypeError):
 
 
 def scalar(op: str, column: str, kind: T.DataType) -> Column:
-    """The aggregate of a scalar column."""
+    """The aggregate of a scalar column, of its own type (means: double)."""
     c = F.col(column)
     if op == "none":
         return F.min_by(c, F.when(c.isNotNull(), F.col("part")))
     if isinstance(kind, T.BooleanType):
         found = {"add": F.bool_or(c), "multiply": F.bool_and(c), "max": F.max(c), "min": F.min(c)}
+    elif isinstance(kind, WHOLE):
+        # as many factors as there are partitions; a product of doubles wouldn't be exact
+        product = F.aggregate(F.collect_list(c), F.lit(1).cast("long"), lambda x, y: x * y)
+        found = {"add": F.sum(c).cast(kind), "multiply": F.when(F.count(c) > 0, product).cast(kind), "mean": F.avg(c), "max": F.max(c), "min": F.min(c)}
     elif isinstance(kind, NUMERIC):
-        found = {"add": F.sum(c), "multiply": F.product(c), "mean": F.avg(c), "max": F.max(c), "min": F.min(c)}
+        found = {"add": F.sum(c).cast(kind), "multiply": F.product(c).cast(kind), "mean": F.avg(c), "max": F.max(c), "min": F.min(c)}
     else:
         found = {"max": F.max(c), "min": F.min(c)}
     if op not in found:
@@ -37,43 +45,65 @@ def scalar(op: str, column: str, kind: T.DataType) -> Column:
     return found[op]
 
 
-def _filled(op: str, kind: T.DataType, n_parts: Column, absent: str) -> Column:
-    """The aggregate of `value` over the partitions that have one, then with zeros for the `n_parts - n` that lack it."""
-    value, zero = F.col("value"), F.lit(False) if isinstance(kind, T.BooleanType) else F.lit(0).cast(kind)
+def tree_mean(values: list[Column]) -> Column:
+    """The mean of whole numbers, one for each partition, cut at each node of the merge tree."""
+
+    def merge(a: tuple[Column, int], b: tuple[Column, int]) -> tuple[Column, int]:
+        n = a[1] + b[1]
+        return (a[0] * F.lit(a[1] / n) + b[0] * F.lit(b[1] / n)).cast("long"), n
+
+    return tree([(v, 1) for v in values], merge)[0]
+
+
+def _filled(op: str, kind: T.DataType, parts: int, absent: str) -> Column:
+    """The aggregate of `value` over the partitions that have one, then with zeros for those of `parts` that lack it."""
+    value, zero, n_parts = F.col("value"), F.lit(False) if isinstance(kind, T.BooleanType) else F.lit(0).cast(kind), F.lit(parts)
+    if op == "mean" and isinstance(kind, WHOLE) and absent != "skip":
+        of = F.map_from_entries(F.collect_list(F.struct("part", "value")))
+        return tree_mean([F.coalesce(of[F.lit(p)], F.lit(0)).cast("long") for p in range(parts)]).cast(kind)
     plain = scalar(op, "value", kind)
-    if absent == "skip" or op in ("none",):
+    if absent == "skip" or op in ("none", "add"):
         return plain
     lacking = F.count(value) < n_parts
-    if op == "add":
-        return plain
     if op == "multiply":
-        return F.when(lacking, F.lit(False) if isinstance(kind, T.BooleanType) else F.lit(0.0)).otherwise(plain)
+        return F.when(lacking, zero).otherwise(plain)
     if op == "mean":
         return F.sum(value) / n_parts
     return F.when(lacking, F.greatest(plain, zero) if op == "max" else F.least(plain, zero)).otherwise(plain)
 
 
+def merged(states: DataFrame, column: str, op: str, parts: int, absent: str = "zero") -> DataFrame:
+    """Maps and arrays of any nesting: key or pos (then key_2, pos_2 ...), value: merged by map key and position."""
+    kind, items, path = states.schema[column].dataType, states.select("part", F.col(column).alias("value")), []
+    while isinstance(kind, (T.MapType, T.ArrayType)):
+        is_map = isinstance(kind, T.MapType)
+        name = ("key" if is_map else "pos") + (f"_{len(path) + 1}" if path else "")
+        inner = F.explode("value").alias(name, "value") if is_map else F.posexplode("value").alias(name, "value")
+        items, path = items.select("part", *path, inner), [*path, name]
+        kind = kind.valueType if is_map else kind.elementType
+    if not path:
+        raise UnsupportedMerge(f"{kind.simpleString()} is neither a map nor an array")
+    return items.groupBy(*path).agg(_filled(op, kind, parts, absent).alias("value"))
+
+
 def arrays(states: DataFrame, column: str, op: str, parts: int, absent: str = "zero") -> DataFrame:
     """pos, value: the arrays merged by position."""
-    kind = states.schema[column].dataType.elementType
-    items = states.select("part", F.posexplode(column).alias("pos", "value"))
-    return items.groupBy("pos").agg(_filled(op, kind, F.lit(parts), absent).alias("value"))
+    return merged(states, column, op, parts, absent)
 
 
 def maps(states: DataFrame, column: str, op: str, parts: int, absent: str = "zero") -> DataFrame:
-    """key, value: the maps merged by key."""
-    kind = states.schema[column].dataType.valueType
-    items = states.select("part", F.explode(column).alias("key", "value"))
-    if isinstance(kind, T.ArrayType):  # lists in maps
-        if op != "add":
-            raise UnsupportedMerge(f"{op} of lists")
-        return items.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "value"))), lambda e: e["value"])).alias("value"))
-    return items.groupBy("key").agg(_filled(op, kind, F.lit(parts), absent).alias("value"))
+    """key, value: the maps merged by key; what their values hold, likewise."""
+    return merged(states, column, op, parts, absent)
 
 
 def lists(states: DataFrame, column: str) -> DataFrame:
-    """value: the lists end to end, in the order of partitions."""
-    return states.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", column))), lambda e: e[column])).alias("value"))
+    """seq (a partition and a place), value: the lists end to end, in the order of partitions, a row for each member."""
+    return states.select("part", F.posexplode(column).alias("at", "value")).select(F.struct("part", "at").alias("seq"), "value")
+
+
+def map_lists(states: DataFrame, column: str) -> DataFrame:
+    """key, seq, value: of maps of lists, the lists of each key end to end, a row for each member."""
+    return states.select("part", F.explode(column).alias("key", "items")).select("key", "part", F.posexplode("items").alias("at", "value")).select("key", F.struct("part", "at").alias("seq"), "value")
 
 
 def sets(states: DataFrame, column: str) -> DataFrame:
@@ -121,3 +151,10 @@ def every_part(states: DataFrame, parts: int, **initial) -> DataFrame:
     grid = states.sparkSession.range(parts).select(F.col("id").cast("int").alias("part"))
     joined = grid.join(states, "part", "left")
     return joined.select("part", *[F.coalesce(c, F.lit(initial[c])).alias(c) if c in initial else F.col(c) for c in states.columns if c != "part"])
+
+
+def copies(spark, parts: int, copied: dict, merge_only: dict | None = None, restored: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """A state for each partition: `copied` from the original, `merge_only` fields as they are at first (they are merged,
+    but not copied), and then what the hook `restored` makes of them."""
+    grid = spark.range(parts).select(F.col("id").cast("int").alias("part"), *[F.lit(v).alias(k) for k, v in {**copied, **(merge_only or {})}.items()])
+    return restored(grid) if restored else grid

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordering import fresh, numbered
+
 
 def fold(rows: DataFrame, *aggregates: Column, least: int | None = None) -> DataFrame:
     """One row for each key by built-in aggregates, which combine before the shuffle; `least`: keys with fewer values are left out."""
@@ -16,28 +18,46 @@ def fold(rows: DataFrame, *aggregates: Column, least: int | None = None) -> Data
     return rows.groupBy("key").agg(*aggregates, F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).drop("_n")
 
 
-def reduce(rows: DataFrame, functions: Sequence[Callable], value_type: T.DataType, least: int = 0) -> DataFrame:
+def reduce(rows: DataFrame, functions: Sequence[Callable], value_type: T.DataType, least: int = 0, chunk: int | None = None, run: int | str | None = None) -> DataFrame:
     """key, idx, value: what each of the functions (key, values) -> values in turn makes of a key's ordered values.
 
-    An empty list ends a key's chain. Functions that Python alone can express run on Arrow batches, one key at a time;
-    built-in aggregates (`fold`) are the better way for all others.
+    An empty list ends a key's chain. Functions that Python alone can express run on Arrow batches; built-in aggregates
+    (`fold`) are the better way for all others. With `chunk`, every `chunk` values of a key are reduced by themselves
+    first, and then their results together: right for functions that may be applied in parts and to their own results, as
+    a reduction's may, and a task then holds a chunk or the results alone, not a whole key.
     """
     import pandas as pd
 
     schema = T.StructType([rows.schema["key"], T.StructField("idx", T.IntegerType()), T.StructField("value", value_type)])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        key, values = pdf["key"].iloc[0], list(pdf["value"])
-        if len(values) < least:
-            values = []
-        for f in functions:
-            if not values:
-                break
-            values = list(f(key, values))
-        return pd.DataFrame({"key": [key] * len(values), "idx": range(len(values)), "value": values})
+    def chained(order: str, fewest: int):
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(order.split())
+            key, values = pdf["key"].iloc[0], list(pdf["value"])
+            if len(values) < fewest:
+                values = []
+            for f in functions:
+                if not values:
+                    break
+                values = list(f(key, values))
+            return pd.DataFrame({"key": [key] * len(values), "idx": range(len(values)), "value": values})
+
+        return one
+
+    if chunk is None:
+        return rows.select("key", "seq", "value").groupBy("key").applyInPandas(chained("seq", least), schema)
+    placed = numbered(rows.select("key", "seq", "value"), ["key"], ["seq"], run=run).withColumn("chunk", F.expr(f"(pos - 1) div {chunk}"))
+    if least > 1:
+        enough = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(F.col("key").alias("enough"))
+        placed = placed.join(enough, F.col("key").eqNullSafe(F.col("enough")), "left_semi")
+    parts = T.StructType([*schema.fields, T.StructField("chunk", T.LongType())])
+    first = chained("seq", 0)
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        return first(pdf).assign(chunk=pdf["chunk"].iloc[0])
 
-    return rows.select("key", "seq", "value").groupBy("key").applyInPandas(one, schema)
+    reduced = placed.groupBy("key", "chunk").applyInPandas(part, parts)
+    return reduced.groupBy("key").applyInPandas(chained("chunk idx", 0), schema)
 
 
 def fold_python(rows: DataFrame, function: Callable, value_type: T.DataType) -> DataFrame:
@@ -67,20 +87,23 @@ def ordered_emit(rows: DataFrame, part: Column) -> DataFrame:
     return keys.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("key")))
 
 
-def debounced(rows: DataFrame, ts: str, gap_seconds: int, run_seconds: int = 86_400) -> DataFrame:
-    """Add `gap`: the number of pauses longer than `gap_seconds` before a row, over all keys (a global timer).
+def debounced(rows: DataFrame, ts: str, gap_seconds: int, run_buckets: int = 1 << 16) -> DataFrame:
+    """Add `gap`: the number of pauses longer than `gap_seconds` before a row, over all keys (a global timer). Rows
+    without a time have none.
 
-    The pauses are found in runs of `run_seconds`: a run's first row is compared with the last of the latest run before, and
-    the runs' numbers of pauses are summed, so that no task orders all rows.
+    Within a bucket of time as long as the gap there is no pause; so rows are first reduced to their buckets, with the
+    first and last time of each. Pauses are found and numbered over the buckets, in runs of `run_buckets`, and joined back.
     """
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    runs = rows.withColumn("_at", at).withColumn("_run", F.floor(F.col("_at") / (run_seconds * 1_000_000)))
-    ends = runs.groupBy("_run").agg(F.max("_at").alias("_last"))
-    ends = ends.withColumn("_previous", F.lag("_last").over(Window.orderBy("_run"))).drop("_last")
-    order = Window.partitionBy("_run").orderBy("_at", "seq")
-    before = F.coalesce(F.lag("_at").over(order), F.col("_previous"))
-    runs = runs.join(ends, "_run").withColumn("_new", F.coalesce((F.col("_at") - before > gap_seconds * 1_000_000).cast("int"), F.lit(0)))
-    sums = runs.groupBy("_run").agg(F.sum("_new").alias("_n"))
-    sums = sums.withColumn("_earlier", F.coalesce(F.sum("_n").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    within = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return runs.withColumn("_within", within).join(sums, "_run").withColumn("gap", F.col("_earlier") + F.col("_within")).drop("_at", "_run", "_new", "_previous", "_within", "_earlier")
+    at, bucket, other, first, last, gap = fresh(rows, "at", "bucket", "of_bucket", "first", "last", "gap")
+    rows = rows.withColumn(at, F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(bucket, F.floor(F.col(at) / (gap_seconds * 1_000_000)))
+    ends = rows.where(F.col(bucket).isNotNull()).groupBy(F.col(bucket).alias(other)).agg(F.min(at).alias(first), F.max(at).alias(last))
+    ends = ends.withColumn("run", F.floor(F.col(other) / run_buckets))
+    runs = ends.groupBy("run").agg(F.max(last).alias("end"))
+    runs = runs.select("run", F.lag("end").over(Window.orderBy("run")).alias("previous"))
+    order = Window.partitionBy("run").orderBy(other)
+    pause = F.col(first) - F.coalesce(F.lag(last).over(order), F.col("previous")) > gap_seconds * 1_000_000
+    ends = ends.join(runs, "run").withColumn("new", F.coalesce(pause.cast("long"), F.lit(0)))
+    sums = ends.groupBy("run").agg(F.sum("new").alias("n"))
+    sums = sums.select("run", F.coalesce(F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    numbers = ends.join(sums, "run").select(other, (F.col("earlier") + F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias(gap))
+    return rows.join(numbers, F.col(bucket) == F.col(other), "left").drop(at, bucket, other)
