@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import match, reduce, routing
 from ..operators.match import KeyedInput
+from ..sources.config import FlowConfig
 
 
 @dataclass(frozen=True)
@@ -19,7 +20,7 @@ class KeyMatch:
     inputs: tuple[KeyedInput, ...]
     router: Callable[[DataFrame], DataFrame] | None = None
     canonical: Callable[[Column], Column] | None = None
-    run: int | None = None
+    run: int | str | None = None
 
     def or_(self, df: DataFrame, key: Column, seq: Column, value: Column | None = None) -> "KeyMatch":
         """One more input; without `value`, the record itself."""
@@ -32,8 +33,8 @@ class KeyMatch:
         """Keys with the same canonical form are one key."""
         return replace(self, canonical=canonical)
 
-    def in_runs(self, run: int) -> "KeyMatch":
-        """Number the records of a key in runs of the order column, for keys with very many."""
+    def in_runs(self, run: int | str = "ranked") -> "KeyMatch":
+        """Number the records of a key in runs of the order column, for keys with very many: of a length, or by rank."""
         return replace(self, run=run)
 
     def _inputs(self) -> tuple[KeyedInput, ...]:
@@ -52,20 +53,32 @@ class KeyMatch:
         return self._routed(match.zip_match(self._inputs(), run=self.run))
 
     def for_each_list(self, size: int | None = None) -> DataFrame:
-        rows = self._rows().withColumn("seq", F.struct("seq", "kind")) if size is None else self._rows()
-        return self._routed(match.key_lists(rows) if size is None else match.key_batches(rows, size, run=self.run))
+        """A key's values in order, those of equal order by input: whole, or every `size`."""
+        rows = self._rows()
+        if size is None:
+            return self._routed(match.key_lists(rows.withColumn("seq", F.struct("seq", "kind"))))
+        return self._routed(match.key_batches(rows, size, run=self.run, order=("seq", "kind")))
+
+    def for_each_chunk(self, size: int) -> DataFrame:
+        """A key's whole list in rows of `size` values."""
+        return self._routed(match.key_chunks(self._rows(), size, run=self.run, order=("seq", "kind")))
 
     def fold(self, *aggregates: Column, least: int | None = None) -> DataFrame:
         return self._routed(reduce.fold(self._rows(), *aggregates, least=least))
 
-    def reduce(self, *functions: Callable, value_type, least: int = 0) -> DataFrame:
-        return self._routed(reduce.reduce(self._rows(), functions, value_type, least))
+    def reduce(self, *functions: Callable, value_type, least: int = 0, chunk: int | None = None) -> DataFrame:
+        return self._routed(reduce.reduce(self._rows(), functions, value_type, least, chunk, self.run))
 
 
 def keyed(df: DataFrame, key: Column, seq: Column, value: Column | None = None) -> KeyedInput:
     return KeyedInput(df, key, F.struct(*[df[c] for c in df.columns]) if value is None else value, seq)
 
 
+def configured(found: KeyMatch, config: FlowConfig) -> KeyMatch:
+    """By the settings: keys go to `partitions` partitions by hash, and are numbered in runs of `batch_run`."""
+    return found.dispatch(by_hash(config.partitions)).in_runs(config.batch_run)
+
+
 def match_key(df: DataFrame, key: Column, seq: Column, value: Column | None = None) -> KeyMatch:
     return KeyMatch((keyed(df, key, seq, value),))
 
