@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions.stats import key_stats, split_point
+from .functions.hashing import folded_part, string_hash
+from .functions.stats import key_stats, merged_trees, split_point
 from .operators import match, merge, reduce, routing, stage
 from .operators.match import KeyedInput
+from .operators.ordering import numbered
 from .plans.builder import by_hash, match_key
 from .sources.lines import read_table, split_lines
+from .sources.shared import shared_dir
 
 PARTS, RUN = 8, 4096
 QUERIES: dict = {}
@@ -59,6 +65,14 @@ def folded_sql(key: str, parts: int = PARTS) -> str:
     return f"CAST(abs(({x}) % {parts}) AS INTEGER)"
 
 
+def folded_signed_sql(key: str, parts: int = PARTS) -> str:
+    """The folded partition of an unsigned 32-bit number, which is signed in the end."""
+    width, x = parts.bit_length() - 1, key
+    for s in range(width, 32, width):
+        x = f"xor({x}, {key} >> {s})"
+    return f"CAST(abs((CASE WHEN {x} >= 2147483648 THEN {x} - 4294967296 ELSE {x} END) % {parts}) AS INTEGER)"
+
+
 S = "s AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events)"
 P = folded_sql("user_id")
 
@@ -146,9 +160,38 @@ def batch_tail(spark, sf_dir):
     return rows.where(F.size("values") < 5).select("key", F.size("values").cast("long").alias("tail"))
 
 
-@query("SELECT user_id AS key, string_agg(event_type, ',' ORDER BY event_id) AS kinds FROM events GROUP BY 1")
+CHUNK = 1000
+CH = f"ch AS (SELECT user_id AS key, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // {CHUNK} AS batch, * FROM events)"
+
+
+@query(f"WITH {CH} SELECT key, batch, string_agg(event_type, ',' ORDER BY event_id) AS kinds FROM ch GROUP BY 1, 2")
 def key_list(spark, sf_dir):
-    return match.key_lists(user_rows(spark, sf_dir, "event_type")).select("key", F.array_join("values", ",").alias("kinds"))
+    """A key's list in order, in rows of bounded size."""
+    found = match.key_chunks(user_rows(spark, sf_dir, "event_type"), CHUNK, run=RUN)
+    return found.select("key", F.col("batch").cast("long").alias("batch"), F.array_join("values", ",").alias("kinds"))
+
+
+FIVE = "f AS (SELECT user_id AS key, list_position(['view', 'click', 'purchase', 'error', 'signup'], event_type) - 1 AS kind, event_id FROM events), n AS (SELECT *, (row_number() OVER (PARTITION BY key ORDER BY event_id) - 1) // 6 AS batch FROM f)"
+
+
+@query(f"WITH {FIVE} SELECT key, batch, string_agg(kind || ':' || event_id, ',' ORDER BY event_id) AS items FROM n GROUP BY 1, 2 HAVING count(*) = 6")
+def five_inputs(spark, sf_dir):
+    """Five inputs have no tuples; their union goes on as batches that say where each value is from."""
+    rows = match.key_union([of_kind(spark, sf_dir, k) for k in ("view", "click", "purchase", "error", "signup")])
+    found = match.key_batches(rows.withColumn("value", F.concat_ws(":", "kind", "value")), 6, run=RUN, order=("seq", "kind"))
+    return found.select("key", F.col("batch").cast("long").alias("batch"), F.array_join("values", ",").alias("items"))
+
+
+@query("SELECT CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'any' END AS branch, user_id AS sender, count(*) AS n FROM events GROUP BY 1, 2")
+def match_sender(spark, sf_dir):
+    rows = match.with_sender(events(spark, sf_dir), F.col("user_id"))
+    return match.typed_match(rows, [("even", F.col("sender") % 2 == 0)], "any").groupBy("branch", "sender").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH a AS (SELECT user_id AS key, event_id, CASE event_type WHEN 'view' THEN 0 ELSE 1 END AS side FROM events WHERE event_type IN ('view', 'click')) SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY side, event_id) AS INTEGER) AS pos, event_id AS value FROM a")
+def tree_merge(spark, sf_dir):
+    view, click = (match.key_each(of_kind(spark, sf_dir, k)) for k in ("view", "click"))
+    return merged_trees(view, click, run=RUN)
 
 
 # -- reductions ----------------------------------------------------------------------------------------------------
@@ -164,9 +207,17 @@ def fold_minmax(spark, sf_dir):
     return reduce.fold(user_rows(spark, sf_dir), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
-@query("SELECT user_id AS key, string_agg(left(event_type, 1), '' ORDER BY event_id) AS value FROM events GROUP BY 1")
+@query(f"WITH {CH} SELECT key, batch, string_agg(left(event_type, 1), '' ORDER BY event_id) AS value FROM ch GROUP BY 1, 2")
 def fold_concat(spark, sf_dir):
-    return reduce.fold_python(user_rows(spark, sf_dir, "event_type"), lambda key, values: "".join(v[0] for v in values), T.StringType())
+    """A key's letters end to end, in rows of bounded size."""
+    found = match.key_chunks(user_rows(spark, sf_dir, "event_type").withColumn("value", F.substring("value", 1, 1)), CHUNK, run=RUN)
+    return found.select("key", F.col("batch").cast("long").alias("batch"), F.array_join("values", "").alias("value"))
+
+
+@query("SELECT user_id AS key, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS INTEGER) AS idx, event_id AS value FROM events QUALIFY idx < 5")
+def reduce_python(spark, sf_dir):
+    """A Python reduction of lists to lists, in chunks and then of their results: a key's five latest."""
+    return reduce.reduce(user_rows(spark, sf_dir, "event_id"), [lambda key, values: sorted(values, reverse=True)[:5]], T.LongType(), chunk=CHUNK, run=RUN)
 
 
 @query("SELECT user_id AS key, CAST(rn AS INTEGER) AS idx, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM events) WHERE rn <= 3")
@@ -193,8 +244,6 @@ def eventually_min(spark, sf_dir):
 
 @query(f"SELECT part, key, CAST(row_number() OVER (PARTITION BY part ORDER BY key) AS INTEGER) AS rank FROM (SELECT DISTINCT {P} AS part, user_id AS key FROM events)")
 def ordered_emit(spark, sf_dir):
-    from .functions.hashing import folded_part
-
     return reduce.ordered_emit(user_rows(spark, sf_dir), folded_part(F.col("key"), PARTS))
 
 
@@ -225,24 +274,53 @@ def route_all(spark, sf_dir):
 
 @query(f"SELECT {folded_sql('user_id')} AS part, event_type, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1, 2 UNION ALL SELECT CAST(p AS INTEGER), event_type, count(*) FROM events, range({PARTS}) AS r(p) WHERE event_type = 'error' GROUP BY 1, 2")
 def route_selective(spark, sf_dir):
-    hashed = lambda df: routing.to_hash(df, F.col("user_id"), PARTS, exact=True)
-    rows = routing.selective(events(spark, sf_dir), [(F.col("event_type") == "view", hashed), (F.col("event_type") == "error", lambda df: routing.to_all(df, PARTS))], hashed)
+    hashed = routing.hash_part(F.col("user_id"), PARTS, exact=True)
+    rows = routing.selective(events(spark, sf_dir), [(F.col("event_type") == "view", hashed), (F.col("event_type") == "error", routing.all_parts(PARTS))], hashed)
     return rows.groupBy("part", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _near(rows: DataFrame, n, mean: float, variance: float, spark, sf_dir) -> DataFrame:
+    """part, near: whether each partition's number is within six standard deviations of what the distribution says."""
+    total = events(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"))
+    found = stage.one_row(rows.groupBy("part").agg(n.alias("n")), total)
+    return found.select("part", (F.abs(F.col("n") - F.col("total") * mean) <= 6 * F.sqrt(F.col("total") * variance)).alias("near"))
+
+
+NEAR = f"SELECT CAST(p AS INTEGER) AS part, true AS near FROM range({PARTS}) AS r(p)"
+
+
+@query(NEAR)
 def route_random(spark, sf_dir):
-    return routing.to_random_one(events(spark, sf_dir), PARTS, 1, F.col("event_id")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    rows = routing.to_random_one(events(spark, sf_dir), PARTS, 1, F.col("event_id"))
+    return _near(rows, F.count(F.lit(1)), 1 / PARTS, (1 - 1 / PARTS) / PARTS, spark, sf_dir)
 
 
-@query()
+@query(NEAR)
 def route_bagging(spark, sf_dir):
-    return routing.to_bagged(events(spark, sf_dir), PARTS, 1, F.col("event_id")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    rows = routing.to_bagged(events(spark, sf_dir), PARTS, 1, F.col("event_id"))
+    return _near(rows, F.count(F.lit(1)), 1 - math.exp(-1), math.exp(-1) * (1 - math.exp(-1)), spark, sf_dir)
 
 
-@query()
+@query(NEAR)
 def route_poisson(spark, sf_dir):
-    return routing.to_poisson(events(spark, sf_dir), PARTS, 1.0, 1, F.col("event_id")).groupBy("part").agg(F.sum("times").alias("n"))
+    rows = routing.to_poisson(events(spark, sf_dir), PARTS, 3.0, 1, F.col("event_id"))
+    return _near(rows, F.sum("times"), 3.0, 3.0, spark, sf_dir)
+
+
+def _string_hash_sql(text: str) -> str:
+    signed = f"list_reduce(list_transform(string_split({text}, ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda h, c: (h * 31 + c) & 4294967295)"
+    return f"(CASE WHEN {signed} >= 2147483648 THEN {signed} - 4294967296 ELSE {signed} END)"
+
+
+@query(f"WITH h AS (SELECT event_id, event_type || event_id AS t FROM events), k AS (SELECT event_id, {_string_hash_sql('t')} & 4294967295 AS h FROM h) SELECT event_id, {folded_signed_sql('h')} AS part FROM k")
+def route_hash_string(spark, sf_dir):
+    key = string_hash(F.concat("event_type", F.col("event_id").cast("string")))
+    return events(spark, sf_dir).select("event_id", folded_part(key.bitwiseAND(0xFFFFFFFF), PARTS).alias("part"))
+
+
+@query(f"SELECT CAST(p AS INTEGER) AS part, p * 10 AS start FROM range({PARTS}) AS r(p)")
+def route_each_part(spark, sf_dir):
+    return routing.for_each_part(spark, PARTS, (F.col("id") * 10).alias("start"))
 
 
 @query("SELECT event_id, CAST(p AS INTEGER) AS part FROM (SELECT event_id, unnest([event_id % 4, event_id % 4 + 4]) AS p FROM events)")
@@ -277,7 +355,7 @@ def merge_add_scalar(spark, sf_dir):
     return st.agg(merge.scalar("add", "n", T.LongType()).alias("n"), F.round(merge.scalar("add", "v", T.DoubleType()), 2).alias("v"), merge.scalar("add", "any", T.BooleanType()).alias("any"))
 
 
-@query(f"WITH {ST} SELECT product(users % 7 + 1) AS p, bool_and(\"all\") AS \"all\" FROM st")
+@query(f"WITH {ST} SELECT CAST(product(users % 7 + 1) AS BIGINT) AS p, bool_and(\"all\") AS \"all\" FROM st")
 def merge_mul_scalar(spark, sf_dir):
     st = scalars(spark, sf_dir).withColumn("u", (F.col("users") % 7 + 1))
     return st.agg(merge.scalar("multiply", "u", T.LongType()).alias("p"), merge.scalar("multiply", "all", T.BooleanType()).alias("all"))
@@ -289,11 +367,76 @@ def merge_mean_double(spark, sf_dir):
     return st.agg(F.round(merge.scalar("mean", "v", T.DoubleType()), 4).alias("v"))
 
 
-@query()
+def tree_mean_sql(values: list[str]) -> str:
+    """The mean of whole numbers that aren't negative, cut at each node of the merge tree."""
+    return merge.tree([(v, 1) for v in values], lambda a, b: (f"floor({a[0]} * {a[1] / (a[1] + b[1])!r} + {b[0]} * {b[1] / (a[1] + b[1])!r})", a[1] + b[1]))[0]
+
+
+@query(f"WITH {ST} SELECT CAST({tree_mean_sql([f'coalesce(max(n) FILTER (part = {p}), 0)' for p in range(PARTS)])} AS BIGINT) AS value FROM st")
 def merge_mean_int(spark, sf_dir):
     return merge.whole_mean(merge.every_part(scalars(spark, sf_dir).select("part", "n"), PARTS, n=0), "n")
 
 
+@query(f"WITH r AS (SELECT {P} AS part, hour(ts) AS pos, count(*) * 7 AS n FROM events GROUP BY 1, 2) SELECT CAST(pos AS INTEGER) AS pos, CAST({tree_mean_sql([f'coalesce(max(n) FILTER (part = {p}), 0)' for p in range(PARTS)])} AS BIGINT) AS value FROM r GROUP BY pos")
+def merge_mean_int_array(spark, sf_dir):
+    return merge.arrays(hourly(spark, sf_dir, F.count(F.lit(1)) * 7, F.lit(0).cast("long")), "state", "mean", PARTS)
+
+
+def hourly(spark, sf_dir, aggregate, empty) -> DataFrame:
+    """part, state: an array of a value for each hour of the day."""
+    rows = routed(spark, sf_dir).groupBy("part", F.hour("ts").alias("pos")).agg(aggregate.alias("v"))
+    found = rows.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("m"))
+    return found.select("part", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.coalesce(F.col("m")[h], empty)).alias("state"))
+
+
+HR = f"hr AS (SELECT {P} AS part, hour(ts) AS pos, bool_or(value > 90) AS b FROM events GROUP BY 1, 2), hg AS (SELECT p AS part, h AS pos, coalesce(b, false) AS b FROM (SELECT DISTINCT {P} AS p FROM events) CROSS JOIN range(24) AS t(h) LEFT JOIN hr ON hr.part = p AND hr.pos = h)"
+
+
+@query(f"WITH {HR} SELECT CAST(pos AS INTEGER) AS pos, bool_or(b) AS value FROM hg GROUP BY pos")
+def merge_or_array(spark, sf_dir):
+    return merge.arrays(hourly(spark, sf_dir, F.bool_or(F.col("value") > 90), F.lit(False)), "state", "add", PARTS)
+
+
+@query(f"WITH {HR} SELECT CAST(pos AS INTEGER) AS pos, bool_and(b) AND count(*) = {PARTS} AS value FROM hg GROUP BY pos")
+def merge_and_array(spark, sf_dir):
+    return merge.arrays(hourly(spark, sf_dir, F.bool_or(F.col("value") > 90), F.lit(False)), "state", "multiply", PARTS)
+
+
+@query(f"WITH r AS (SELECT event_type AS key, {P} AS part, hour(ts) AS pos, count(*) AS n FROM events GROUP BY 1, 2, 3) SELECT key, CAST(pos AS INTEGER) AS pos_2, CAST(sum(n) AS BIGINT) AS value FROM r GROUP BY 1, 2")
+def merge_map_of_arrays(spark, sf_dir):
+    """Maps of arrays, added by key and position."""
+    rows = routed(spark, sf_dir).groupBy("part", "event_type", F.hour("ts").alias("pos")).agg(F.count(F.lit(1)).alias("v"))
+    rows = rows.groupBy("part", "event_type").agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("m"))
+    rows = rows.select("part", "event_type", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.coalesce(F.col("m")[h], F.lit(0))).alias("v"))
+    states = rows.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("state"))
+    return merge.maps(states, "state", "add", PARTS).where("value > 0")
+
+
+@query(f"WITH r AS (SELECT event_type AS key, {P} AS part, hour(ts) AS key_2, count(*) AS n FROM events GROUP BY 1, 2, 3) SELECT key, CAST(key_2 AS INTEGER) AS key_2, greatest(max(n), CASE WHEN count(*) < {PARTS} THEN 0 END) AS high FROM r GROUP BY 1, 2")
+def merge_map_of_maps(spark, sf_dir):
+    """Maps of maps: the greatest by both keys."""
+    rows = routed(spark, sf_dir).groupBy("part", "event_type", F.hour("ts").alias("pos")).agg(F.count(F.lit(1)).alias("v"))
+    rows = rows.groupBy("part", "event_type").agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("v"))
+    states = rows.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("state"))
+    return merge.maps(states, "state", "max", PARTS).select("key", "key_2", F.col("value").alias("high"))
+
+
+@query(f"WITH {ST} SELECT CAST(product(users % 5 + 2) AS BIGINT) AS p FROM st")
+def merge_mul_long(spark, sf_dir):
+    """Whole numbers' product is a whole number."""
+    st = scalars(spark, sf_dir).withColumn("u", F.col("users") % 5 + 2)
+    return st.agg(merge.scalar("multiply", "u", T.LongType()).alias("p"))
+
+
+@query(f"WITH {ST} SELECT CAST(10 * {PARTS} + sum(n) AS BIGINT) AS total, CAST(sum(n) AS BIGINT) AS seen FROM st")
+def state_copies(spark, sf_dir):
+    """Copies begin with the original's `total`; `seen` is merged only."""
+    begun = merge.copies(spark, PARTS, {"total": 10}, {"seen": 0})
+    st = begun.join(scalars(spark, sf_dir).select("part", "n"), "part", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    st = st.select((F.col("total") + F.col("n")).alias("total"), (F.col("seen") + F.col("n")).alias("seen"))
+    return st.agg(merge.scalar("add", "total", T.LongType()).alias("total"), merge.scalar("add", "seen", T.LongType()).alias("seen"))
+
+
 @query(f"WITH {ST} SELECT max(n) AS high, min(n) AS low, max(last) AS last, min(last) AS first FROM st")
 def merge_max_min_scalar(spark, sf_dir):
     st = scalars(spark, sf_dir)
@@ -317,14 +460,13 @@ def merge_custom(spark, sf_dir):
 
 
 def array_states(spark, sf_dir) -> DataFrame:
-    """part, state: sums of the embeddings' first 8 entries; partition 7 has the first 4 alone."""
+    """part, state: sums of the embeddings' entries by position."""
     e = routing.to_hash(read_table(spark, sf_dir, "embeddings"), F.col("vec_id"), PARTS, exact=True)
-    items = e.select("part", F.posexplode("embedding").alias("pos", "x")).where("pos < IF(part = 7, 4, 8)")
-    sums = items.groupBy("part", "pos").agg(F.sum(F.col("x").cast("double")).alias("x"))
+    sums = e.select("part", F.posexplode("embedding").alias("pos", "x")).groupBy("part", "pos").agg(F.sum(F.col("x").cast("double")).alias("x"))
     return sums.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("state"))
 
 
-AR = f"a AS (SELECT {folded_sql('vec_id')} AS part, pos - 1 AS pos, CAST(embedding[pos] AS DOUBLE) AS x FROM embeddings, range(1, 9) AS g(pos)), sm AS (SELECT part, pos, sum(x) AS x FROM a WHERE part <> 7 OR pos < 4 GROUP BY 1, 2), gr AS (SELECT p AS part, q AS pos, x FROM range({PARTS}) AS g(p), range(8) AS h(q) LEFT JOIN sm ON sm.part = p AND sm.pos = q)"
+AR = f"a AS (SELECT {folded_sql('vec_id')} AS part, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings), sm AS (SELECT part, pos, sum(CAST(x AS DOUBLE)) AS x FROM a GROUP BY 1, 2), gr AS (SELECT p AS part, q.pos, x FROM range({PARTS}) AS g(p) CROSS JOIN (SELECT DISTINCT pos FROM sm) q LEFT JOIN sm ON sm.part = p AND sm.pos = q.pos)"
 
 
 def _array(op: str, digits: int = 4):
@@ -339,42 +481,53 @@ for _op, _sql in (("add", "sum(coalesce(x, 0))"), ("mul", "product(coalesce(x, 0
     ORACLES[f"merge_{_op}_array"] = f"WITH {AR} SELECT CAST(pos AS INTEGER) AS pos, round({_sql}, 4) + 0.0 AS value FROM gr GROUP BY pos"
 
 
-MP = f"r AS (SELECT *, {P} AS part FROM events WHERE NOT (event_type = 'error' AND {P} = 3)), m AS (SELECT part, event_type AS key, count(*) % 9 + 1 AS n FROM r GROUP BY 1, 2), mk AS (SELECT DISTINCT key FROM m), mg AS (SELECT p AS part, mk.key, n FROM range({PARTS}) AS g(p) CROSS JOIN mk LEFT JOIN m ON m.part = p AND m.key = mk.key)"
+MP = f"r AS (SELECT *, {P} AS part FROM events), m AS (SELECT part, event_type AS key, count(*) % 9 + 1 AS n FROM r GROUP BY 1, 2), mk AS (SELECT DISTINCT key FROM m), mg AS (SELECT p AS part, mk.key, n FROM range({PARTS}) AS g(p) CROSS JOIN mk LEFT JOIN m ON m.part = p AND m.key = mk.key)"
 
 
 def _map(op: str):
     def run(spark, sf_dir):
-        rows = routed(spark, sf_dir).where("NOT (event_type = 'error' AND part = 3)")
-        rows = rows.groupBy("part", "event_type").agg((F.count(F.lit(1)) % 9 + 1).alias("v"))
+        rows = routed(spark, sf_dir).groupBy("part", "event_type").agg((F.count(F.lit(1)) % 9 + 1).alias("v"))
         states = rows.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("state"))
         return merge.maps(states, "state", op, PARTS).select("key", F.col("value").cast("double").alias("value"))
 
     return run
 
 
-for _op, _sql in (("add", "sum"), ("mul", "product"), ("mean", "avg"), ("max", "max"), ("min", "min")):
+MEAN = tree_mean_sql([f"coalesce(max(n) FILTER (part = {p}), 0)" for p in range(PARTS)])
+for _op, _sql in (("add", "sum(coalesce(n, 0))"), ("mul", "product(coalesce(n, 0))"), ("mean", MEAN), ("max", "max(coalesce(n, 0))"), ("min", "min(coalesce(n, 0))")):
     QUERIES[f"merge_{_op}_map"] = _map({"mul": "multiply"}.get(_op, _op))
-    ORACLES[f"merge_{_op}_map"] = f"WITH {MP} SELECT key, CAST({_sql}(coalesce(n, 0)) AS DOUBLE) AS value FROM mg GROUP BY key"
+    ORACLES[f"merge_{_op}_map"] = f"WITH {MP} SELECT key, CAST({_sql} AS DOUBLE) AS value FROM mg GROUP BY key"
 
 
-@query(f"SELECT string_agg(event_id, ',' ORDER BY {P}, event_id) AS ids FROM events WHERE event_type = 'signup'")
+@query(f"WITH r AS (SELECT event_id, (row_number() OVER (ORDER BY {P}, event_id) - 1) // {CHUNK} AS batch, {P} AS part FROM events) SELECT batch, string_agg(event_id, ',' ORDER BY part, event_id) AS ids FROM r GROUP BY 1")
 def merge_add_list(spark, sf_dir):
-    rows = routed(spark, sf_dir).where("event_type = 'signup'")
-    states = rows.groupBy("part").agg(F.array_sort(F.collect_list("event_id")).alias("state"))
-    return merge.lists(states, "state").select(F.array_join("value", ",").alias("ids"))
+    """Lists end to end, in the order of partitions, in rows of bounded size."""
+    rows = routed(spark, sf_dir).withColumn("one", F.lit(0)).select(F.col("part").alias("one"), "part", F.col("event_id").alias("seq"), F.col("event_id").alias("value"))
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    placed = numbered(rows, ["part"], ["seq"], run=RUN).join(F.broadcast(before), "part").withColumn("batch", F.expr(f"(before + pos - 1) div {CHUNK}"))
+    lists = placed.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("part", "seq", "value"))).alias("x"))
+    return lists.select("batch", F.array_join(F.transform("x", lambda e: e["value"]), ",").alias("ids"))
 
 
-@query("SELECT DISTINCT user_id AS value FROM events WHERE event_type = 'purchase'")
+@query("SELECT DISTINCT user_id AS value FROM events")
 def merge_add_set(spark, sf_dir):
-    states = routed(spark, sf_dir).where("event_type = 'purchase'").groupBy("part").agg(F.collect_set("user_id").alias("state"))
+    states = routed(spark, sf_dir).groupBy("part").agg(F.collect_set("user_id").alias("state"))
     return merge.sets(states, "state")
 
 
-@query(f"SELECT event_type AS key, string_agg(event_id, ',' ORDER BY {P}, event_id) AS ids FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1")
+@query(f"WITH r AS (SELECT event_type AS key, event_id, {P} AS part FROM events), n AS (SELECT *, (row_number() OVER (PARTITION BY key ORDER BY part, event_id) - 1) // {CHUNK} AS batch FROM r) SELECT key, batch, string_agg(event_id, ',' ORDER BY part, event_id) AS ids FROM n GROUP BY 1, 2")
 def merge_add_map_of_lists(spark, sf_dir):
-    rows = routed(spark, sf_dir).where("event_type IN ('error', 'signup')").groupBy("part", "event_type").agg(F.array_sort(F.collect_list("event_id")).alias("v"))
-    states = rows.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("state"))
-    return merge.maps(states, "state", "add", PARTS).select("key", F.array_join("value", ",").alias("ids"))
+    """Maps of lists: a key's lists end to end, in the order of partitions, in rows of bounded size."""
+    rows = routed(spark, sf_dir).select(F.col("event_type").alias("key"), "part", F.col("event_id").alias("seq"), F.col("event_id").alias("value"))
+    found = match.key_chunks(rows.withColumn("at", F.col("part").cast("long") * (1 << 40) + F.col("seq")), CHUNK, run=RUN, order=("at",))
+    return found.select("key", F.col("batch").cast("long").alias("batch"), F.array_join("values", ",").alias("ids"))
+
+
+@query("WITH v AS (SELECT unnest(['a b', 'b c']) AS m, unnest([0, 1]) AS part) SELECT unnest(string_split(m, ' ')) AS value FROM v")
+def merge_lists_small(spark, sf_dir):
+    states = spark.createDataFrame([(0, ["a", "b"]), (1, ["b", "c"])], "part int, state array<string>")
+    return merge.lists(states, "state").select("value")
 
 
 # -- stages --------------------------------------------------------------------------------------------------------
@@ -396,18 +549,11 @@ def _half(name: str, src: str) -> str:
 
 @query(f"WITH {ST}, s0 AS (SELECT part, CAST(n AS DOUBLE) AS x FROM st), {_half('s1', 's0')}, {_half('s2', 's1')}, {_half('s3', 's2')} SELECT part, round(x, 4) AS x FROM s3")
 def share_state(spark, sf_dir):
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(_temporary())
     states = scalars(spark, sf_dir).select("part", F.col("n").cast("double").alias("x"))
-    step = lambda s, m: s.crossJoin(F.broadcast(m)).select("part", (F.col("x") / 2 + F.col("m") / 2).alias("x"))
+    step = lambda s, m: stage.one_row(s, m).select("part", (F.col("x") / 2 + F.col("m") / 2).alias("x"))
     return stage.share_state(states, lambda s: s.agg(F.avg("x").alias("m")), step, 3).select("part", F.round("x", 4).alias("x"))
 
 
-def _temporary() -> str:
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="keyflow-")
-
-
 @query("WITH c AS (SELECT vec_id AS k, embedding AS e FROM embeddings WHERE vec_id < 10), d AS (SELECT v.vec_id, c.k, list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: abs(CAST(v.embedding[i] AS DOUBLE) - CAST(c.e[i] AS DOUBLE)))) / len(v.embedding) AS dist FROM embeddings v, c), a AS (SELECT vec_id, arg_min(k, (dist, k)) AS k FROM d GROUP BY vec_id), x AS (SELECT a.k, pos - 1 AS pos, avg(CAST(v.embedding[pos] AS DOUBLE)) AS m FROM a JOIN embeddings v USING (vec_id), range(1, 65) AS g(pos) WHERE pos <= len(v.embedding) GROUP BY 1, 2) SELECT k, CAST(pos AS INTEGER) AS pos, round(m, 4) + 0.0 AS m FROM x")
 def kmeans_step(spark, sf_dir):
     """One step of k-means by mean absolute distance: the 10 centroids, not the rows, are broadcast."""
@@ -428,7 +574,8 @@ def vec_sum(spark, sf_dir):
 @query("SELECT event_type AS key, count(*) AS n, round(count(*) / (SELECT count(*) FROM events), 6) AS ratio FROM events GROUP BY 1")
 def dist(spark, sf_dir):
     counts = events(spark, sf_dir).groupBy(F.col("event_type").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("ratio", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+    total = counts.agg(F.sum("n").alias("total"))
+    return stage.one_row(counts, total).select("key", "n", F.round(F.col("n") / F.col("total"), 6).alias("ratio"))
 
 
 @query("SELECT o_orderpriority AS key, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY 1")
@@ -443,6 +590,32 @@ def pipeline2(spark, sf_dir):
     return first.plan(read_table(spark, sf_dir, "lineitem"))["fold"]
 
 
+@query("SELECT 'count' AS what, CAST(count(*) AS DOUBLE) AS x FROM events WHERE value > 10 UNION ALL SELECT 'sum', round(sum(value), 2) FROM events WHERE value > 10 UNION ALL SELECT 'kinds', count(DISTINCT event_type) FROM events WHERE value > 10")
+def stage_fan_out(spark, sf_dir):
+    """One stage with three followers: its result is computed once and written."""
+    first = stage.Stage(lambda df: df.where("value > 10"), "filter", key=F.col("user_id"), parts=PARTS)
+    for name, aggregate in (("count", F.count(F.lit(1)).cast("double")), ("sum", F.round(F.sum("value"), 2)), ("kinds", F.countDistinct("event_type").cast("double"))):
+        first.connects(stage.Stage(lambda df, a=aggregate, n=name: df.agg(a.alias("x")).select(F.lit(n).alias("what"), "x"), name))
+    found = first.sync(events(spark, sf_dir))
+    return found["count"].unionByName(found["sum"]).unionByName(found["kinds"])
+
+
+@query(f"WITH {ST} SELECT CAST(sum(n) AS BIGINT) AS n, max(n) AS high FROM st")
+def merged_by(spark, sf_dir):
+    """The merged state by a function of two states."""
+    states = scalars(spark, sf_dir).select("part", "n", F.col("n").alias("high"))
+    return stage.merged_by(states, lambda a, b: {"n": a["n"] + b["n"], "high": max(a["high"], b["high"])}, "n long, high long")
+
+
+@query(r"WITH l AS (SELECT unnest(regexp_split_to_array('x' || coalesce(text, ''), '\n\r|\n|\r')) AS line FROM documents) SELECT CAST(length(line) % 16 AS INTEGER) AS bucket, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS letters FROM l GROUP BY 1")
+def line_files(spark, sf_dir):
+    """Files of lines, read in ranges of 64 KiB by the pairs dialect in a stage that starts from their path."""
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    read_table(spark, sf_dir, "documents").select(F.concat(F.lit("x"), F.coalesce("text", F.lit(""))).alias("value")).write.text(path)
+    first = stage.Stage(lambda df: df.groupBy((F.length("line") % 16).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("letters")), "lengths")
+    return first.start_reading(spark, path, newline="pairs", split_bytes=1 << 16)["lengths"]
+
+
 @query(r"SELECT word AS key, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\W+')) AS word FROM documents) WHERE word <> '' GROUP BY 1")
 def word_count(spark, sf_dir):
     words = read_table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\W+")).alias("key")).where("key <> ''")
