@@ -335,36 +335,214 @@ def test_context_mixing_odd(spark, odd, none):
 # -- 5 --------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("text", [b"", b"a", b"\xff" * 500, bytes(range(256)) * 40])
-def test_media_round_trip(text):
+@pytest.mark.parametrize("text", [b"", b"a", b"\xff" * 500, bytes(range(256)) * 40, b"\x6d\x6c" * 40_000])
+def test_media_round_trip(text, monkeypatch):
     media = avi_mjpeg.store(text)
-    payload, frames = avi_mjpeg.payload_of(media)
-    assert payload == avi_mjpeg.padded(text) and len(payload) % 192 == 0 and len(avi_mjpeg.parse(media)["frames"]) == len(frames)
+    monkeypatch.setattr(avi_mjpeg, "AT_A_TIME", 64)  # several steps
+    assert avi_mjpeg.store(text) == media and avi_mjpeg.store_all([b"x", text])[1] == media
+    payload, shares, step = avi_mjpeg.read_all([media])[0]
+    assert payload == avi_mjpeg.padded(text) and len(payload) % 192 == 0 and len(avi_mjpeg.parse(media)["frames"]) == len(shares) and step == 40_000
+
+
+class SlowBits:
+    """A scan read bit by bit."""
+
+    def __init__(self, data):
+        self.bits = "".join(f"{b:08b}" for b in data)
+        self.at = 0
+
+    def take(self, n):
+        self.at += n
+        return int(self.bits[self.at - n : self.at] or "0", 2)
+
+    def symbol(self, table):
+        code = 0
+        for length in range(1, 17):
+            code = code << 1 | self.take(1)
+            if (length, code) in table:
+                return table[length, code]
+        raise ValueError
+
+    def value(self, size):
+        v = self.take(size)
+        return v if not size or v >> (size - 1) else v - (1 << size) + 1
+
+
+def slow_coefficients(head, scan):
+    """Units of blocks of coefficients, one symbol after another."""
+    parts, at = [bytearray()], 0
+    while at < len(scan):
+        if scan[at] == 0xFF and scan[at + 1] == 0:
+            parts[-1].append(0xFF)
+            at += 2
+        elif scan[at] == 0xFF and 0xD0 <= scan[at + 1] <= 0xD7:
+            parts.append(bytearray())
+            at += 2
+        else:
+            parts[-1].append(scan[at])
+            at += 1
+    out, tables = [], [[avi_mjpeg.huffman(*t) for t in c["tables"]] for c in head["components"]]
+    for u in range(head["across"] * head["down"]):
+        if u == 0 or head["restart"] and u % head["restart"] == 0:
+            bits, before = SlowBits(parts[u // head["restart"] if head["restart"] else 0]), [0] * len(tables)
+        unit = []
+        for k in head["blocks"]:
+            before[k] += bits.value(bits.symbol(tables[k][0]))
+            block, i = [before[k]] + [0] * 63, 1
+            while i < 64:
+                s = bits.symbol(tables[k][1])
+                if s == 0:
+                    break
+                i += s >> 4
+                if s & 15:
+                    block[i] = bits.value(s & 15)
+                i += 1
+            unit.append(block)
+        out.append(unit)
+    return out
+
+
+def coded(rng, width, height, sampling, restart, own_tables):
+    """A frame of random sparse coefficients, and those."""
+    seg = avi_mjpeg.segment
+    tables = {0x00: avi_mjpeg.DC_LUMA, 0x10: avi_mjpeg.AC_LUMA, 0x01: avi_mjpeg.DC_CHROMA, 0x11: avi_mjpeg.AC_CHROMA}
+    if own_tables:  # all symbols alike long
+        symbols = bytes(sorted(avi_mjpeg.AC_LUMA[1]))
+        tables[0x10] = (bytes([0] * 7 + [len(symbols)] + [0] * 8), symbols)
+    comps = [(1, sampling, 0x00), (2, 0x11, 0x11), (3, 0x11, 0x11)]
+    head = b"\xff\xd8" + seg(0xDB, b"\0" + bytes(rng.randint(1, 60) for _ in range(64)))
+    head += seg(0xC0, (8).to_bytes(1) + height.to_bytes(2) + width.to_bytes(2) + b"\x03" + b"".join(bytes([i, h, 0]) for i, h, _ in comps))
+    if own_tables:
+        head += seg(0xC4, b"\x10" + tables[0x10][0] + tables[0x10][1])
+    head += (seg(0xDD, restart.to_bytes(2)) if restart else b"") + seg(0xDA, b"\x03" + b"".join(bytes([i, t]) for i, _, t in comps) + b"\x00\x3f\x00")
+    codes = {k: {v: key for key, v in avi_mjpeg.huffman(*t).items()} for k, t in tables.items()}
+    h, v = sampling >> 4, sampling & 15
+    units, blocks = -(-width // (8 * h)) * -(-height // (8 * v)), [0] * (h * v) + [1, 2]
+    put = lambda k, s: f"{codes[k][s][1]:0{codes[k][s][0]}b}"
+    extra = lambda x: f"{x if x > 0 else x + (1 << abs(x).bit_length()) - 1:0{abs(x).bit_length()}b}" if x else ""
+    truth, parts, bits, before = [], [], "", [0, 0, 0]
+    for u in range(units):
+        if restart and u and u % restart == 0:
+            parts.append(bits)
+            bits, before = "", [0, 0, 0]
+        truth.append([])
+        for k in blocks:
+            block = [rng.randint(-200, 200)] + [rng.randint(-90, 90) if rng.random() < 0.12 else 0 for _ in range(63)]
+            truth[-1].append(block)
+            d, before[k] = block[0] - before[k], block[0]
+            bits += put(0x00 if k == 0 else 0x01, abs(d).bit_length()) + extra(d)
+            t, run = 0x10 if k == 0 else 0x11, 0
+            last = max((i for i in range(64) if block[i]), default=0)
+            for i in range(1, last + 1):
+                if block[i] == 0:
+                    run += 1
+                    continue
+                while run > 15:
+                    bits, run = bits + put(t, 0xF0), run - 16
+                bits, run = bits + put(t, run << 4 | abs(block[i]).bit_length()) + extra(block[i]), 0
+            if last < 63:
+                bits += put(t, 0)
+    scan = b""
+    for k, part in enumerate([*parts, bits]):
+        part += "1" * (-len(part) % 8)
+        scan += (bytes([0xFF, 0xD0 + (k - 1) % 8]) if k else b"") + bytes(int(part[i : i + 8], 2) for i in range(0, len(part), 8)).replace(b"\xff", b"\xff\0")
+    return head + scan + b"\xff\xd9", truth
+
+
+@pytest.mark.parametrize("sampling, restart, own_tables", [(0x11, 0, False), (0x22, 0, True), (0x21, 3, False), (0x11, 1, True)])
+def test_decoder_by_brute_force(sampling, restart, own_tables):
+    """Frames of any tables, sampling and restart intervals against a decoder that goes bit by bit."""
+    rng = random.Random(sampling + restart)
+    made = [coded(rng, 37, 29, sampling, restart, own_tables) for _ in range(3)] + [coded(rng, 64, 8, sampling, restart, own_tables)]
+    got = []
+    for _, head, found in avi_mjpeg.decode([m[0] for m in made]):
+        got += [x.tolist() for x in found]
+        assert avi_mjpeg.planes(head, found, 0).shape[1] >= head["height"]
+    for (frame, truth), found in zip(made, got):
+        head_bytes = avi_mjpeg._head_of(frame)
+        assert found == truth == slow_coefficients(avi_mjpeg.header(head_bytes), frame[len(head_bytes) : -2])
 
 
-def test_general_decoder_agrees():
-    """The symbol-by-symbol decoder reads what the fast one reads, and a flat block is a flat plane."""
+def test_inverse_transform():
+    """Against the sum that defines it, in floats; a flat block is a flat plane."""
     import numpy as np
 
-    frame_bytes = avi_mjpeg.frames_of(bytes(range(192)) * 20)[0]
-    fast = avi_mjpeg.decode(frame_bytes)
-    slow = avi_mjpeg.decode(frame_bytes.replace(b"\xff\xc4\x00\x14\x10\x01", b"\xff\xc4\x00\x15\x10\x01", 1).replace(bytes([0x10, 1, *[0] * 15, 8]), bytes([0x10, 1, 1, *[0] * 14, 8, 0]), 1))
-    assert (fast["units"] == slow["units"]).all()
-    flat = {"coefficients": np.zeros((1, 1, 64), int), "quant": np.ones(64, int)}
-    flat["coefficients"][0, 0, 0] = 80
-    assert (avi_mjpeg.plane(flat) == 138).all()
+    head = {"components": [{"quant": np.ones(64, int), "h": 1, "v": 1}], "blocks": [0], "across": 1, "down": 1}
+    zigzag = sorted(((y, x) for y in range(8) for x in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))
+    rng = np.random.default_rng(2)
+    for block in [np.array([80] + [0] * 63), *rng.integers(-60, 60, (4, 64))]:
+        c = lambda k: 0.5**0.5 if k == 0 else 1.0
+        want = [[sum(block[i] * c(v) * c(u) / 4 * np.cos((2 * y + 1) * v * np.pi / 16) * np.cos((2 * x + 1) * u * np.pi / 16) for i, (v, u) in enumerate(zigzag)) for x in range(8)] for y in range(8)]
+        found = avi_mjpeg.planes(head, block.reshape(1, 1, 1, 64), 0)[0].astype(int)
+        assert np.abs(found - np.clip(np.array(want) + 128, 0, 255)).max() <= 0.6
+    assert (avi_mjpeg.planes(head, np.array([80] + [0] * 63).reshape(1, 1, 1, 64), 0) == 138).all()
 
 
 def test_shots():
     import numpy as np
 
-    def frame_of(level):
-        c = np.zeros((4, 4, 64), int)
-        c[..., 0] = level
-        return {"components": [{"coefficients": c, "quant": np.ones(64, int)}]}
-
-    shots = avi_mjpeg.clips([frame_of(x) for x in [0] * 5 + [800] * 5 + [-800] * 2], 40_000)
-    assert [(a, b) for a, b, *_ in shots] == [(0, 4), (5, 9), (10, 11)] and shots[1][2] == 0.2
+    shares = np.zeros((12, 16))
+    shares[:5, 3] = shares[5:10, 9] = shares[10:, 1] = 1
+    found = avi_mjpeg.clips(shares, 40_000)
+    assert [(a, b) for a, b, *_ in found] == [(0, 4), (5, 9), (10, 11)] and found[1][2] == 0.2
+    # a shot that changes by half all the time is cut only where it changes by more
+    uneasy = np.zeros((20, 16))
+    uneasy[:, 0], uneasy[::2, 1], uneasy[1::2, 2] = 0.65, 0.35, 0.35
+    uneasy[15:] = np.roll(uneasy[15:], 5, axis=1)
+    assert [a for a, *_ in avi_mjpeg.clips(uneasy, 40_000)] == [0, 15]
+
+
+def test_indexes_and_lists():
+    """Nested lists without an index, and the two-level index of larger files, find the same frames."""
+    import struct
+
+    frames = avi_mjpeg.frames_of(bytes(range(256)) * 12)
+    plain = avi_mjpeg.avi(frames)
+    chunk = avi_mjpeg.chunk
+    of = lambda m: [m[a:b] for a, b in avi_mjpeg.parse(m)["frames"]]
+    nested = chunk(b"RIFF", b"AVI " + chunk(b"LIST", b"movi" + chunk(b"LIST", b"rec " + b"".join(chunk(b"00dc", f) for f in frames[:2])) + b"".join(chunk(b"00dc", f) for f in frames[2:])))
+    assert of(plain) == of(nested) == frames
+    half = len(frames) // 2
+    strh, size = b"vidsMJPG" + bytes(48), 24 + 16 * 2
+
+    def build(offsets):
+        indx = struct.pack("<HBBI4s12x", 4, 0, 0, 2, b"00dc") + b"".join(struct.pack("<QII", o, 0, 0) for o in offsets)
+        head = chunk(b"LIST", b"hdrl" + chunk(b"LIST", b"strl" + chunk(b"strh", strh) + chunk(b"indx", indx)))
+        out, places = b"", []
+        for k, part in enumerate((frames[:half], frames[half:])):
+            start, movi, entries = len(out) + 12 + (len(head) if k == 0 else 0) + 8 + 4, b"", []
+            for f in part:
+                entries.append((start + len(movi) + 8, len(f)))
+                movi += chunk(b"00dc", f)
+            places.append(start + len(movi))
+            movi += chunk(b"ix00", struct.pack("<HBBI4sQI", 2, 0, 1, len(part), b"00dc", 0, 0) + b"".join(struct.pack("<II", *e) for e in entries))
+            out += chunk(b"RIFF", (b"AVI " + head if k == 0 else b"AVIX") + chunk(b"LIST", b"movi" + movi))
+        return out, places
+
+    assert size == 56 and of(build(build([0, 0])[1])[0]) == frames
+
+
+def test_media_null_and_broken(spark):
+    good = avi_mjpeg.store(b"some text " * 300)
+    rows = [(1, None), (2, b"no media"), (3, good[:-3000].replace(b"idx1", b"junk")), (4, good), (None, good)]
+    found = avi_mjpeg.clip_rows(spark.createDataFrame(rows, "media_id long, media binary")).collect()
+    assert {r.media_id: r.clip for r in found if r.error} .keys() <= {1, 2, 3} and {r.media_id for r in found if r.error} >= {1, 2}
+    assert {r.media_id for r in found if r.clip == 0} >= {4, None}
+
+
+def test_media_digests_by_brute_force(spark, sf):
+    from hashlib import sha256
+
+    some = sf.limit(60)
+    found = {r.doc_id: r for r in avi_mjpeg.digests(some).collect()}
+    for r in some.collect():
+        raw = (r.text or "").encode()
+        pad = raw + b" " * (192 - len(raw) % 192 if len(raw) % 192 or not raw else 0)
+        media, x = avi_mjpeg.store(raw), found[r.doc_id]
+        assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(raw), len(pad), sha256(pad).hexdigest(), zlib.crc32(pad[-16:]))
+        assert (x.media_bytes, x.media_sha256) == (len(media), sha256(media).hexdigest())
+        spans = [f"{a * 0.04:.2f}" for a in [c[0] for c in avi_mjpeg.shots(media)[0]]]
+        assert x.feature.split(";")[0] == f"frames={-(-len(pad) // 768)}" and [c.split("-")[0] for c in x.feature.split("clips=")[1].split(",")] == spans
 
 
 def test_media_odd(spark, odd, none):
@@ -373,6 +551,11 @@ def test_media_odd(spark, odd, none):
     assert avi_mjpeg.digests(none).count() == 0 and avi_mjpeg.clip_rows(avi_mjpeg.stored_media(odd)).where("clip = 0").count() == 8
 
 
+def test_media_of_a_long_text(spark):
+    found = avi_mjpeg.digests(frame(spark, [(1, "long text, " * 900_000, None, None), (2, "b", None, None)])).orderBy("doc_id").first()
+    assert found.n_bytes == 9_900_000 and found.payload_bytes == 9_900_096
+
+
 # -- 6 --------------------------------------------------------------------------------------------------------------
 
 
