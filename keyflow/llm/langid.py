@@ -29,15 +29,29 @@ from . import common
 
 ROWS_PER_LANGUAGE = 5000
 LONGEST, WORD_SHARE, GRAM_SHARE = 5, 1e-3, 1e-5
-#: Word characters that are neither digits nor letters: other numerals.
-_NUMERALS = "".join(re.escape(c) for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("Nl", "No"))
-_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_WORD = re.compile(r"[^\W\d_]+")
+#: Word characters that are neither digits nor letters: other numerals. Sets of characters beyond 16 bits are slow to
+#: look through, so those are looked for only where a text has some.
+_OTHERS = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("Nl", "No")]
+_NUMERAL, _FAR_NUMERAL = (re.compile("[" + "".join(re.escape(c) for c in _OTHERS if (c > "\uffff") == far) + "]") for far in (False, True))
+_FAR = re.compile("[\U00010000-\U0010ffff]")
 #: Scores that a task keeps, whatever the number of languages.
 _KEEP, _ROWS = 800_000, 500
 #: Language tables of up to so many rows are broadcast.
 _BROADCAST = 10_000
 
 
+def words_of(text: str | None) -> list[str]:
+    """The lower-cased runs of letters."""
+    text = (text or "").lower()
+    if not text.isascii():
+        if _NUMERAL.search(text):
+            text = _NUMERAL.sub(" ", text)
+        if _FAR.search(text):
+            text = _FAR_NUMERAL.sub(" ", text)
+    return _WORD.findall(text)
+
+
 def grams(word: str, n: int) -> list[str]:
     padded = f"_{word}_"
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
@@ -91,7 +105,7 @@ def _count(batches: Iterator) -> Iterator:
 
     for batch in common.slices(batches, _ROWS):
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = Counter(_WORD.findall((text or "").lower()))
+            words = Counter(words_of(text))
             for w, k in words.items():
                 counts[lang, w] += k
                 docs[lang, w] += 1
@@ -150,7 +164,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in common.slices(batches, _ROWS):
             langs, shares = [], []
             for text in batch.column(1).to_pylist():
-                words = _WORD.findall((text or "").lower())
+                words = words_of(text)
                 if not words or not width:
                     langs.append("und")
                     shares.append(0.0)
