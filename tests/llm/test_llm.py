@@ -651,13 +651,50 @@ def test_packing(spark, sf):
 
 def test_packing_limits():
     rng = random.Random(1)
-    pieces = [packing.Piece(k, b"\0\0\0\0" * n, 0, n, m) for k, (n, m) in enumerate((rng.randint(1, 300), rng.randint(0, 200)) for _ in range(400))]
+    pieces = [packing.Piece(k, b"\0\0\0\0" * n, 0, n, bytes(rng.random() < 0.5 for _ in range(n)) if k % 3 else None) for k, n in enumerate(rng.randint(1, 300) for _ in range(400))]
     done, left = packing.pack(pieces, 128, 3, 60, True)
     assert not left and sum(len(p) for s in done for p in s) == sum(map(len, pieces))
     for s in done:
         assert sum(map(len, s)) <= 128 and len(s) <= 3 and sum(p.loss() for p in s) <= 60
 
 
+def test_piece_within_by_brute_force():
+    rng = random.Random(2)
+    for _ in range(200):
+        n = rng.randint(1, 20)
+        p = packing.Piece(1, bytes(4 * n), 0, n, rng.choice([None, bytes(rng.random() < 0.6 for _ in range(n))]))
+        for loss in range(6):
+            want = max(m for m in range(1, n + 1) if p.cut(m)[0].loss() <= loss)
+            assert p.within(loss) == want
+
+
+def test_prompts_bear_no_loss(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", 3), (2, "f g", None), (3, "h", 50), (None, None, 1)], "doc_id long, text string, prompt int")
+    found = {r.doc_id: r for r in packing.pack_documents(docs.coalesce(1), max_tokens=64, prompt_tokens="prompt").collect()}
+    assert sum(r.loss_tokens for r in found.values()) <= 5 and found[3].loss_tokens == 0 and found[None].doc_tokens == 1
+
+
+def test_conversations_bind_all_limits(spark, monkeypatch):
+    """Every id once, answers alone bear loss, and none of the three limits is passed, though each is reached."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "TURNS", 5)
+    turns = common.table(spark, SF, "conversations").unionByName(spark.createDataFrame([(10**6, t, "assistant" if t % 2 else None, None if t == 3 else "word " * 40) for t in range(12)], "conv_id long, turn long, role string, text string"))
+    found = packing.pack_conversations(turns.coalesce(1), max_tokens=128, max_segments=3, max_loss=60).collect()
+    t, total, bears = Tokenizer.from_file(VOCABULARY), {}, {}
+    for r in turns.collect():
+        n = len(t.encode(r.text or "", add_special_tokens=False).ids) + 1
+        total[r.conv_id] = total.get(r.conv_id, 0) + n
+        bears[r.conv_id] = bears.get(r.conv_id, 0) + n * (r.role == "assistant")
+    got, sequences = {}, {}
+    for r in found:
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+        sequences.setdefault(r.sequence_id, []).append(r)
+    assert got == total and sum(r.loss_tokens for r in found) <= sum(bears.values())
+    tokens, segments, loss = zip(*((sum(r.length for r in s), len(s), sum(r.loss_tokens for r in s)) for s in sequences.values()))
+    assert max(tokens) == 128 and max(segments) == 3 and max(loss) == 60
+
+
 def test_packing_odd(spark, odd, none):
     rows = packing.pack_documents(odd, VOCABULARY).collect()
     assert {r.doc_tokens for r in rows if r.doc_id in (2, 3, 5)} == {1} and packing.pack_documents(none, VOCABULARY).count() == 0
