@@ -929,3 +929,58 @@ def test_pipeline(spark):
         docs = common.materialize(out, "test")
         assert docs.count() > 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
+
+
+@pytest.fixture(scope="module")
+def odd_corpus(spark, tmp_path_factory):
+    """Clean texts of two sources, toxic ones, exact and near copies, short, null and empty ones, null and repeated ids,
+    and columns with the names of the stages' own."""
+    rng, base = random.Random(21), tmp_path_factory.mktemp("corpus")
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    text = lambda n=120: " ".join("".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(n))
+    clean = [text() for _ in range(60)]
+    toxic = [f"{text(60)} vileword {text(20)}" for _ in range(60)]
+    rows = [(k, t, "xx", "a" if k % 3 else "b") for k, t in enumerate(clean)]
+    rows += [(100 + k, t, "xx", "a") for k, t in enumerate(toxic)]
+    rows += [(200 + k, clean[k], "xx", "b") for k in range(5)] + [(300 + k, clean[k] + " end", None, "a") for k in range(5)]
+    rows += [(None, text(), "xx", "a"), (None, text(), "xx", None), (None, None, None, None), (7, text(), "xx", "b"), (401, "", "xx", "a"), (402, "too short", "xx", "a")]
+    rows += [rows[0]] * 3
+    columns = "doc_id long, text string, lang string, source string, size long, kept boolean, fp long, copies long, score double, row_no long, host string"
+    spark.createDataFrame([(*r, 1, False, 2, 9, 0.5, 4, "h") for r in rows], columns).write.parquet(str(base / "documents.parquet"))
+    spark.createDataFrame([(k, 0) for k in range(60)] + [(100 + k, 1) for k in range(60)], "doc_id long, toxic int").write.parquet(str(base / "labels.parquet"))
+    return str(base), clean, toxic, rows
+
+
+def test_pipeline_of_odd_rows(spark, odd_corpus):
+    """Each stage does what it says, on what the one before left."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    base, clean, toxic, rows = odd_corpus
+    docs = common.table(spark, base, "documents")
+    kept = []
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        docs = common.materialize(f(spark, docs, base), "test")
+        assert docs.columns == common.table(spark, base, "documents").columns, name
+        kept.append([(r.doc_id, r.text) for r in docs.collect()])
+    after_toxic, after_rules, after_dedup, mixed = kept
+    assert not [t for _, t in after_toxic if t and "vileword" in t] and len(after_toxic) == len(rows) - len(toxic)
+    assert sorted(after_rules, key=str) == sorted(((i, t) for i, t in after_toxic if len((t or "").split()) >= 10), key=str)
+    # one of each class of fingerprints within four bits; the texts that are unlike all others stay, whatever their ids
+    fps = [slow_fingerprint(t) for _, t in after_rules]
+    classes = union_find(fps, list(range(len(fps))))
+    assert len(after_dedup) == len(set(classes.values())) and set(clean) <= {t for _, t in after_dedup} | {c + " end" for c in clean}
+    assert len([1 for i, _ in after_dedup if i is None]) == 2 and len([1 for i, _ in after_dedup if i == 7]) == 2
+    assert set(mixed) <= set(after_dedup) and max(mixed.count(x) for x in set(mixed)) <= 3
+    found = corpus_pipeline.run(spark, base).collect()
+    t = Tokenizer.from_file(VOCABULARY)
+    assert sum(r.length for r in found) == sum(len(t.encode(x, add_special_tokens=False).ids) + 1 for _, x in mixed)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], docs).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
