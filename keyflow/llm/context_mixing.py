@@ -5,10 +5,14 @@ which no UTF-8 text has, as its end. Words and the end are its units. Each byte
 
 - a unit's first byte from the unit before it: from that whole unit (the empty unit before the first), from its last two
   bytes, and from nothing; so the order of a text's words counts;
-- a word's other bytes and its space from the word so far: from its last 2, 3 and 5 bytes, and from its whole beginning
-  of `LEAST_BEGINNING` to `MOST_BEGINNING` bytes (shorter ones are those of the last 5 bytes).
+- a word's other bytes and its space from the word so far: from its last 2, 3 and 4 bytes, and from its whole beginning
+  of `LEAST_BEGINNING` to `MOST_BEGINNING` bytes (shorter ones are those of the last 4 bytes).
 
-Each context counts the zeros and ones that came after it and the byte's bits so far. The counts' logits are summed with
+Where the two units before a unit came before in the same text, one bit more says first whether what then followed
+follows again; if it does, the unit has no other bits. It is predicted from how many units in a row did so: by the rate in
+training texts, adapted to what the text has shown so far (`MATCH_WEIGHT`).
+
+Each other context counts the zeros and ones that came after it and the byte's bits so far. The counts' logits are summed with
 gated weights, chosen by the longest context that has been seen and by how much each one has seen, and learnt online, by
 gradient steps. An adaptive probability map then refines the sum by the bits of the byte so far. A text's score is the
 sum over its bits, as log10; `bits_per_byte` is the same over its units' bytes.
@@ -38,21 +42,43 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Last bytes of the hashed contexts within a word and at a unit's first byte, and the bits of their slot numbers.
-REST, REST_BITS, HEAD, HEAD_BITS = (2, 3, 5), (18, 20, 21), (0, 2), (8, 18)
+REST, REST_BITS, HEAD, HEAD_BITS = (2, 3, 4), (18, 20, 21), (0, 2), (8, 18)
 OFFSETS = [sum(1 << b for b in (*REST_BITS, *HEAD_BITS)[:k]) for k in range(len(REST + HEAD) + 1)]
 SLOTS, SEEN_KINDS, MAP_STEPS = OFFSETS[-1], 16, 33
-LEAST_BEGINNING, MOST_BEGINNING = 6, 48
+LEAST_BEGINNING, MOST_BEGINNING = 5, 48
 PART_UNITS, COMMON_UNITS, STEP_NODES, PARTS_A_TASK = 50_000, 4096, 1 << 14, 8
 RATE, CHUNK_DOCS, CHUNK_BYTES = 0.1, 1 << 14, 32 << 20
 START, END = b"", b"\xff"
-#: A posting is a document's number within its chunk, in the lower bits, the next unit's first byte, and how often.
-ROW_BITS, NEXT_BITS = 14, 22
-_MOST = (1 << 31 - NEXT_BITS) - 1
+#: Kinds of matches, by the logarithm of how many there were in a row, and the weight of their rate in training texts.
+MATCHES, MATCH_WEIGHT = 8, 4.0
+#: A posting is whether the unit and the next one were matched, in the lowest bits, then its document's number within
+#: its chunk, the next unit's first byte, and how often: where these begin.
+ROW_AT, NEXT_AT, TIMES_AT = 2, 16, 24
+_MOST = (1 << 31 - TIMES_AT) - 1
 _FOLLOW = 40
-_ROWS = "unit binary, follow array<long>, at array<int>, chunk long, row int, doc_id long, held_out boolean, n_tokens long, n_bytes long"
+_ROWS = "unit binary, follow array<long>, at array<int>, chunk long, row int, doc_id long, held_out boolean, n_tokens long, n_bytes long, asked array<int>, matched array<int>"
 _PART = "part int, unit binary, ghost boolean, nexts array<int>, counts array<long>"
 
 
+def matches(units, text):
+    """Of texts' units, end to end, with their texts' numbers: the places where the two units before came before in the
+    text, whether what then followed follows again, and the kind, by how many places in a row it did."""
+    import numpy as np
+
+    place = np.flatnonzero((text[2:] == text[1:-1]) & (text[2:] == text[:-2])) + 2
+    wide = lambda x: x.astype(np.uint64)
+    key = (wide(units[place - 2]) * np.uint64(0x9E3779B97F4A7C15) + wide(units[place - 1])) * np.uint64(0xD6E8FEB86659FD93) + wide(text[place]) * np.uint64(0xFF51AFD7ED558CCD)
+    order = np.argsort(key, kind="stable")
+    again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    now, before = place[order[again + 1]], place[order[again]]
+    back = np.argsort(now)
+    now, hit = now[back], (units[now] == units[before])[back]
+    hits = np.zeros(len(units) + 1, bool)
+    hits[now[hit]] = True
+    last_miss = np.maximum.accumulate(np.where(hits, -1, np.arange(len(hits))))
+    return now, hit, np.minimum(np.frexp(now - last_miss[now - 1])[1] - 1, MATCHES - 1)
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """For chunks of documents: a row for each different unit, with its numbers in training text by the next unit's
     first byte, and the documents that have it, with next bytes and how often; and a row for each document."""
@@ -63,7 +89,7 @@ def postings(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 24
-        kinds = [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+        kinds = [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         names = [x.split()[0] for x in _ROWS.split(", ")]
         index: dict[bytes, int] = {}
         ids, sizes, docs, size = [], [], [], 0
@@ -76,19 +102,26 @@ def postings(docs: DataFrame) -> DataFrame:
             flat = np.concatenate(ids).astype(np.int64)
             after = np.append(heads[flat[1:]], 0)
             after[np.cumsum(sizes) - 1] = 0  # nothing follows the end
-            keys = np.sort(flat << NEXT_BITS | after << ROW_BITS | np.repeat(np.arange(len(sizes)), sizes))
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            now, hit, kind = matches(flat, text)
+            which = text[now] * MATCHES + kind
+            asked, matched = (np.bincount(w, minlength=len(sizes) * MATCHES).reshape(-1, MATCHES) for w in (which, which[hit]))
+            keys = flat << TIMES_AT | after << NEXT_AT | text << ROW_AT
+            keys[now[hit]] |= 1
+            keys[now[hit] - 1] |= 2
+            keys.sort()
             first = np.flatnonzero(np.diff(keys, prepend=-1))
             ns = np.diff(np.append(first, len(keys)))
             keys = keys[first]
-            row, pair = keys & (1 << ROW_BITS) - 1, keys >> ROW_BITS
+            row, pair = keys >> ROW_AT & CHUNK_DOCS - 1, keys >> NEXT_AT
             train = np.array([not d[1] for d in docs], bool)
             start = np.flatnonzero(np.diff(pair, prepend=-1))
             follow = (pair[start] & 255) << _FOLLOW | np.add.reduceat(ns * train[row], start)
-            follow_cuts = np.searchsorted(pair[start] >> NEXT_BITS - ROW_BITS, np.arange(len(index) + 1))
+            follow_cuts = np.searchsorted(pair[start] >> TIMES_AT - NEXT_AT, np.arange(len(index) + 1))
             parts = (ns + _MOST - 1) // _MOST  # a number that is too large for one posting is in several
             nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            unit = np.repeat(keys >> NEXT_BITS, parts)
-            packed = (np.minimum(np.repeat(ns, parts) - nth * _MOST, _MOST) << NEXT_BITS | np.repeat(keys & (1 << NEXT_BITS) - 1, parts)).astype(np.int32)
+            unit = np.repeat(keys >> TIMES_AT, parts)
+            packed = (np.minimum(np.repeat(ns, parts) - nth * _MOST, _MOST) << TIMES_AT | np.repeat(keys & (1 << TIMES_AT) - 1, parts)).astype(np.int32)
             cuts = np.searchsorted(unit, np.arange(len(index) + 1))
             names_of = list(index)
             for at in range(0, len(names_of), 20_000):
@@ -96,7 +129,8 @@ def postings(docs: DataFrame) -> DataFrame:
                 own = [lists(follow_cuts, at, to, follow), lists(cuts, at, to, packed), pa.array([chunk] * (to - at), pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(names_of[at:to], pa.binary()), *own, *(pa.nulls(to - at, t) for t in kinds[4:])], names=names)
             k = len(docs)
-            own = [pa.array([chunk] * k, pa.int64()), pa.array(range(k), pa.int32()), *(pa.array(c, t) for c, t in zip(zip(*docs), kinds[5:]))]
+            own = [pa.array([chunk] * k, pa.int64()), pa.array(range(k), pa.int32()), *(pa.array(c, t) for c, t in zip(zip(*docs), kinds[5:9]))]
+            own += [pa.array(list(x), pa.list_(pa.int32())) for x in (asked, matched)]
             yield pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in kinds[:3]), *own], names=names)
 
         for batch in common.slices(batches, 200):
@@ -248,7 +282,7 @@ class Rest(Nodes):
         self.count_exact(parent, *(zip(*more) if more else ()))
 
     def spine(self) -> list[tuple[bytes, int, int]]:
-        """(beginning, byte, number) of all beginnings of the first and the last word."""
+        """(beginning, byte, number) of all beginnings of the first and the last word; one with number 0 at least for each."""
         import numpy as np
 
         out = {}
@@ -259,8 +293,8 @@ class Rest(Nodes):
                     differ = np.flatnonzero(self.shared < k)
                     a, b = differ[differ <= w].max(initial=0), differ[differ > w].min(initial=len(self.sizes))
                     inside = (self.unit >= a) & (self.unit < b) & (self.place == k)
-                    out[begin] = np.bincount(self.bytes[inside], weights=self.ns[inside])
-        return [(begin, byte, int(n)) for begin, ns in out.items() for byte, n in enumerate(ns.tolist()) if n > 0]
+                    out[begin] = np.bincount(self.bytes[inside], weights=self.ns[inside], minlength=1)
+        return [(begin, byte, int(n)) for begin, ns in out.items() for byte, n in enumerate(ns.tolist()) if n > 0 or byte == 0]
 
     def sums(self, values):
         """The sum of the values of a word's nodes, for each word."""
@@ -436,8 +470,21 @@ class Model:
 
 def by_part(units: DataFrame) -> DataFrame:
     """unit, nexts, counts cut into parts in order: with `part`, and the rows of beginnings that other parts have."""
-    n_parts = max(1, -(-units.count() // PART_UNITS))
-    cut = units.repartitionByRange(n_parts, "unit").sortWithinPartitions("unit").select(F.spark_partition_id().alias("part"), "unit", F.lit(False).alias("ghost"), "nexts", "counts")
+    # one unit in PART_UNITS, by its hash, begins a part: reruns cut alike
+    bounds = [bytes(r.unit) for r in units.where(F.pmod(F.xxhash64("unit"), F.lit(PART_UNITS)) == 0).select("unit").orderBy("unit").collect()]
+    n_parts = len(bounds) + 1
+
+    def placed(batches: Iterator) -> Iterator:
+        from bisect import bisect_right
+
+        import pyarrow as pa
+
+        for batch in batches:
+            part = pa.array([bisect_right(bounds, u) for u in batch.column(0).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([part, *batch.columns], names=["part", "unit", "nexts", "counts"])
+
+    cut = units.select("unit", "nexts", "counts").mapInArrow(placed, "part int, unit binary, nexts array<int>, counts array<long>")
+    cut = dealt(cut, n_parts).sortWithinPartitions("part", "unit").select("part", "unit", F.lit(False).alias("ghost"), "nexts", "counts")
     cut = common.materialize(cut, "cm-parts")
 
     def spine(table):
@@ -518,6 +565,40 @@ def counted_units(found: DataFrame) -> DataFrame:
     return each.select("unit", F.col("x.next").alias("nexts"), F.col("x.n").alias("counts"))
 
 
+def match_rates(rows: DataFrame) -> list[float]:
+    """Of each kind, the share of matches that held in training texts."""
+    sums = [F.coalesce(F.sum(F.col(c)[k]), F.lit(0)) for c in ("asked", "matched") for k in range(MATCHES)]
+    found = rows.where("NOT held_out").agg(*[x.alias(str(k)) for k, x in enumerate(sums)]).first()
+    return [(found[MATCHES + k] + 0.5) / (found[k] + 1.0) for k in range(MATCHES)]
+
+
+def match_score(asked: list[int], matched: list[int], rates: list[float]) -> float:
+    """log10 probability of a text's match bits, each predicted from the rate and the text's bits of that kind before it;
+    the order of the bits of a kind doesn't matter."""
+    from math import lgamma, log
+
+    total = 0.0
+    for n, h, rate in zip(asked, matched, rates):
+        if n:
+            a, b = MATCH_WEIGHT * rate, MATCH_WEIGHT * (1 - rate)
+            total += lgamma(h + a) - lgamma(a) + lgamma(n - h + b) - lgamma(b) - lgamma(n + a + b) + lgamma(a + b)
+    return total / log(10)
+
+
+def with_match_scores(rows: DataFrame) -> DataFrame:
+    """The documents' rows with `match_score` in place of the numbers of matches."""
+    rates, kept = match_rates(rows), [f for f in rows.schema.fields if f.name not in ("asked", "matched")]
+
+    def score(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [match_score(a, m, rates) for a, m in zip(batch.column("asked").to_pylist(), batch.column("matched").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(found, pa.float64())], names=[*(f.name for f in kept), "match_score"])
+
+    return rows.mapInArrow(score, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", match_score double")
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row."""
     found = common.materialize(postings(docs), "cm-postings")
@@ -534,12 +615,15 @@ def scores(docs: DataFrame) -> DataFrame:
     far = lists.join(F.broadcast(frequent.select("unit")), "unit", "left_anti").join(rated, "unit")
     at = F.col("at")
     each = near.unionByName(far).select("chunk", F.explode("at").alias("at"), "known", "log_n", "log_p", "next_log")
-    each = each.select("chunk", at.bitwiseAND((1 << ROW_BITS) - 1).alias("row"), F.shiftright("at", NEXT_BITS).alias("n"), "known", "log_n", (F.col("log_p") + F.coalesce(F.col("next_log")[F.shiftright("at", ROW_BITS).bitwiseAND(255)].cast("double"), F.lit(0.0))).alias("log_p"))
-    each = each.groupBy("chunk", "row").agg(F.sum(F.col("n") * F.col("log_p")).alias("score"), F.sum(F.col("n") * F.col("log_n")).alias("logs"), F.sum(F.col("n") * F.col("known")).alias("n_known"))
-    rows = found.where("unit IS NULL").select("chunk", "row", "doc_id", "held_out", "n_tokens", "n_bytes").join(each, ["chunk", "row"])
+    rest = F.when(at.bitwiseAND(1) == 0, F.col("log_p")).otherwise(0.0)
+    head = F.when(at.bitwiseAND(2) == 0, F.coalesce(F.col("next_log")[F.shiftright("at", NEXT_AT).bitwiseAND(255)].cast("double"), F.lit(0.0))).otherwise(0.0)
+    each = each.select("chunk", F.shiftright("at", ROW_AT).bitwiseAND(CHUNK_DOCS - 1).alias("row"), F.shiftright("at", TIMES_AT).alias("n"), "known", "log_n", (rest + head).alias("log_p"))
+    each = each.groupBy("chunk", "row").agg(F.sum(F.col("n") * F.col("log_p")).alias("spelled"), F.sum(F.col("n") * F.col("log_n")).alias("logs"), F.sum(F.col("n") * F.col("known")).alias("n_known"))
+    rows = with_match_scores(found.where("unit IS NULL").select("chunk", "row", "doc_id", "held_out", "n_tokens", "n_bytes", "asked", "matched")).join(each, ["chunk", "row"])
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(total + kinds + 1)))
-    bits = -F.col("score") / F.col("n_bytes") * F.log2(F.lit(10.0))
-    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
+    score = F.col("spelled") + F.col("match_score")
+    bits = -score / F.col("n_bytes") * F.log2(F.lit(10.0))
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"), bits.alias("bits_per_byte"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,11 +250,27 @@ def slow_slot(context, before, k):
     return (((h ^ (before * 0xD6E8FEB86659FD93 & most)) * 0xFF51AFD7ED558CCD & most) >> (64 - bits)) + context_mixing.OFFSETS[k]
 
 
-def slow_bits(text):
-    """Of each bit of a text: the side, the bits before it in its byte, the bit, table places, and the exact context."""
+def slow_matches(text):
+    """Of each unit: None, or the kind of match that is asked for and whether it holds."""
+    cm, seen, run, out = context_mixing, {}, 0, [None]
+    units = [cm.START, *text.encode().lower().split(), cm.END]
+    for t in range(2, len(units)):
+        last = seen.get((units[t - 2], units[t - 1]))
+        holds = last == units[t]
+        out.append(None if last is None else (min(7, (run + 1).bit_length() - 1), holds))
+        run = run + 1 if holds else 0
+        seen[units[t - 2], units[t - 1]] = units[t]
+    return out
+
+
+def slow_bits(text, skip=False):
+    """Of each bit of a text: the side, the bits before it in its byte, the bit, table places, and the exact context;
+    with `skip`, units whose match holds are left out."""
     cm = context_mixing
     units = [*text.encode().lower().split(), cm.END]
-    for last, unit in zip([cm.START, *units], units):
+    for last, unit, match in zip([cm.START, *units], units, slow_matches(text)):
+        if skip and match and match[1]:
+            continue
         for place, byte in enumerate(unit if unit == cm.END else unit + b" "):
             before = 1
             for k in range(7, -1, -1):
@@ -267,13 +283,18 @@ def slow_bits(text):
                 before = before << 1 | byte >> k & 1
 
 
-def slow_score(text, model, exact):
+def slow_score(text, model, exact, rates):
     from math import exp, log, log10
 
     import numpy as np
 
-    total = 0.0
-    for side, before, bit, slots, context in slow_bits(text):
+    total, shown = 0.0, {}
+    for kind, holds in filter(None, slow_matches(text)):
+        h, n = shown.get(kind, (0, 0))
+        p = (h + context_mixing.MATCH_WEIGHT * rates[kind]) / (n + context_mixing.MATCH_WEIGHT)
+        total += log10(p if holds else 1 - p)
+        shown[kind] = (h + holds, n + 1)
+    for side, before, bit, slots, context in slow_bits(text, skip=True):
         pairs = [(float(model.tables[0][s]), float(model.tables[1][s])) for s in slots] + [exact.get(context, (0, 0))]
         kinds = [min(int(np.log2(z + o + 1)), 7) + 8 * (z == 0 or o == 0) for z, o in pairs]
         longest = max((k + 1 for k, kind in enumerate(kinds) if kind != 8), default=0)
@@ -293,14 +314,17 @@ def test_context_mixing_bit_by_bit(spark, sf, monkeypatch):
     rng = random.Random(6)
     stems = ["tokenstokens" + "".join(rng.choices("abc", k=8)) for _ in range(300)]
     texts = [(r.doc_id, (r.text or "")[:3000]) for r in sf.select("doc_id", "text").limit(25).collect()]
-    texts += [(1000 + k, " ".join(rng.choices(stems, k=60))) for k in range(20)] + [(2000, "z" * 70 + " " + "z" * 71), (2001, "\x00a \x00 é" * 3), (2002, None)]
+    texts += [(1000 + k, " ".join(rng.choices(stems, k=60))) for k in range(20)] + [(2000, "z" * 70 + " " + "z" * 71), (2003, "one two three four five six " * 40), (2004, "one two three four five six " * 30 + "else " + "one two " * 300), (2001, "\x00a \x00 é" * 3), (2002, None)]
     docs = frame(spark, [(i, t, None, None) for i, t in texts])
     units = context_mixing.by_part(common.materialize(context_mixing.counted_units(context_mixing.postings(docs)), "test"))
     n_parts = units.agg(F.max("part")).first()[0] + 1
     assert n_parts > 3 and units.where("ghost").count() > 0
     model = context_mixing.fit(units, n_parts)
-    exact, tables = {}, {}
+    exact, tables, asked, held = {}, {}, [0] * 8, [0] * 8
     for i, t in texts:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for kind, holds in filter(None, slow_matches(t or "")):
+                asked[kind], held[kind] = asked[kind] + 1, held[kind] + holds
         if zlib.crc32(str(i).encode()) % 7 != 2:
             for _, _, bit, slots, context in slow_bits(t or ""):
                 for s in slots:
@@ -308,9 +332,11 @@ def test_context_mixing_bit_by_bit(spark, sf, monkeypatch):
                 if context:
                     exact.setdefault(context, [0, 0])[bit] += 1
     assert {s: [*model.tables[:, s]] for s in model.tables.any(0).nonzero()[0].tolist()} == tables
+    rates = [(h + 0.5) / (n + 1) for n, h in zip(asked, held)]
+    assert sum(held) > 50
     found = {r.doc_id: r for r in context_mixing.scores(docs).collect()}
     for i, t in texts:
-        want = slow_score(t or "", model, exact)
+        want = slow_score(t or "", model, exact, rates)
         assert found[i].score == pytest.approx(want, rel=1e-4, abs=1e-4)
         n_bytes = len(b" ".join((t or "").encode().split())) + 1 + bool((t or "").split())
         assert found[i].bits_per_byte == pytest.approx(-want * 3.3219281 / n_bytes, rel=1e-4)
