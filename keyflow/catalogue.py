@@ -502,7 +502,7 @@ for _op, _sql in (("add", "sum(coalesce(n, 0))"), ("mul", "product(coalesce(n, 0
 @query(f"WITH r AS (SELECT event_id, (row_number() OVER (ORDER BY {P}, event_id) - 1) // {CHUNK} AS batch, {P} AS part FROM events) SELECT batch, string_agg(event_id, ',' ORDER BY part, event_id) AS ids FROM r GROUP BY 1")
 def merge_add_list(spark, sf_dir):
     """Lists end to end, in the order of partitions, in rows of bounded size."""
-    rows = routed(spark, sf_dir).withColumn("one", F.lit(0)).select(F.col("part").alias("one"), "part", F.col("event_id").alias("seq"), F.col("event_id").alias("value"))
+    rows = routed(spark, sf_dir).select("part", F.col("event_id").alias("seq"), F.col("event_id").alias("value"))
     sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
     placed = numbered(rows, ["part"], ["seq"], run=RUN).join(F.broadcast(before), "part").withColumn("batch", F.expr(f"(before + pos - 1) div {CHUNK}"))

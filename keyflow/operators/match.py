@@ -16,6 +16,7 @@ from functools import reduce as fold_left
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ordering import numbered
 
@@ -78,9 +79,17 @@ def zip_match(sources: Sequence[KeyedInput], run: int | str | None = None) -> Da
     rows = fold_left(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides)
     # without runs a key is one task's: dealing by key once serves both the numbering and the grouping
     placed = numbered(rows if run else rows.repartition("key"), ["key", "kind"], ["seq"], run=run)
-    values = [F.first(F.when(F.col("kind") == k, F.struct(f"value_{k}")), ignorenulls=True).alias(f"value_{k}") for k in range(len(sources))]
+    values = [_only(rows, k) for k in range(len(sources))]
     tuples = placed.groupBy("key", "pos").agg(F.count(F.lit(1)).alias("kinds"), *values).where(F.col("kinds") == len(sources))
-    return tuples.select("key", "pos", *[F.col(f"value_{k}.value_{k}").alias(f"value_{k}") for k in range(len(sources))])
+    return tuples.select("key", "pos", *[F.col(f"value_{k}") for k in range(len(sources))])
+
+
+def _only(rows: DataFrame, kind: int) -> Column:
+    """The value of the one row of a kind; an aggregate that hashes where the type allows it."""
+    name = f"value_{kind}"
+    if isinstance(rows.schema[name].dataType, T.AtomicType):
+        return F.max(name).alias(name)  # null in the other kinds' rows
+    return F.first(F.when(F.col("kind") == kind, F.struct(name)), ignorenulls=True)[name].alias(name)
 
 
 def zip_leftover(sources: Sequence[KeyedInput]) -> DataFrame:
