@@ -13,7 +13,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round links every node's larger neighbours, then its smaller ones, to its smallest neighbour; a node keeps
     one link for each star it is in, and sums of links only fall. Rounds are written to the shared folder, which cuts
-    the lineage; the driver sees counts alone.
+    the lineage; the driver sees counts alone. Links with a null end link nothing; repeated ones and loops change nothing.
     """
     edges = common.materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
