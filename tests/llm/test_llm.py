@@ -310,10 +310,10 @@ def slow_score(text, model, exact, rates):
 
 def test_context_mixing_bit_by_bit(spark, sf, monkeypatch):
     """A slow version that goes bit by bit over each text, with counts in a dictionary, agrees; parts cut words with equal beginnings."""
-    monkeypatch.setattr(context_mixing, "PART_UNITS", 150)
+    monkeypatch.setattr(context_mixing, "PART_UNITS", 90)
     rng = random.Random(6)
     stems = ["tokenstokens" + "".join(rng.choices("abc", k=8)) for _ in range(300)]
-    texts = [(r.doc_id, (r.text or "")[:3000]) for r in sf.select("doc_id", "text").limit(25).collect()]
+    texts = [(r.doc_id, (r.text or "")[:1500]) for r in sf.select("doc_id", "text").limit(12).collect()]
     texts += [(1000 + k, " ".join(rng.choices(stems, k=60))) for k in range(20)] + [(2000, "z" * 70 + " " + "z" * 71), (2003, "one two three four five six " * 40), (2004, "one two three four five six " * 30 + "else " + "one two " * 300), (2001, "\x00a \x00 é" * 3), (2002, None)]
     docs = frame(spark, [(i, t, None, None) for i, t in texts])
     units = context_mixing.by_part(common.materialize(context_mixing.counted_units(context_mixing.postings(docs)), "test"))
