@@ -51,6 +51,8 @@ RATE, CHUNK_DOCS, CHUNK_BYTES = 0.1, 1 << 14, 32 << 20
 START, END = b"", b"\xff"
 #: Kinds of matches, by the logarithm of how many there were in a row, and the weight of their rate in training texts.
 MATCHES, MATCH_WEIGHT = 8, 4.0
+#: Units in which matches are looked for at a time.
+MATCHED_UNITS = 1 << 18
 #: A posting is whether the unit and the next one were matched, in the lowest bits, then its document's number within
 #: its chunk, the next unit's first byte, and how often: where these begin.
 ROW_AT, NEXT_AT, TIMES_AT = 2, 16, 24
@@ -103,16 +105,30 @@ def postings(docs: DataFrame) -> DataFrame:
             after = np.append(heads[flat[1:]], 0)
             after[np.cumsum(sizes) - 1] = 0  # nothing follows the end
             text = np.repeat(np.arange(len(sizes)), sizes)
-            now, hit, kind = matches(flat, text)
-            which = text[now] * MATCHES + kind
-            asked, matched = (np.bincount(w, minlength=len(sizes) * MATCHES).reshape(-1, MATCHES) for w in (which, which[hit]))
-            keys = flat << TIMES_AT | after << NEXT_AT | text << ROW_AT
-            keys[now[hit]] |= 1
-            keys[now[hit] - 1] |= 2
+            keys = flat << TIMES_AT
+            keys |= after << NEXT_AT
+            keys |= text << ROW_AT
+            del after
+            asked, matched = np.zeros((2, len(sizes) * MATCHES), np.int64)
+            ends, a = np.cumsum(sizes), 0
+            while a < len(sizes):  # some texts at a time
+                start = int(ends[a]) - sizes[a]
+                b = max(a + 1, int(np.searchsorted(ends, start + MATCHED_UNITS, side="right")))
+                now, hit, kind = matches(flat[start : ends[b - 1]], text[start : ends[b - 1]])
+                now += start
+                which = text[now] * MATCHES + kind
+                np.add.at(asked, which, 1)
+                np.add.at(matched, which[hit], 1)
+                keys[now[hit]] |= 1
+                keys[now[hit] - 1] |= 2
+                a = b
+            asked, matched = asked.reshape(-1, MATCHES), matched.reshape(-1, MATCHES)
+            del flat, text
             keys.sort()
-            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             ns = np.diff(np.append(first, len(keys)))
             keys = keys[first]
+            del first
             row, pair = keys >> ROW_AT & CHUNK_DOCS - 1, keys >> NEXT_AT
             train = np.array([not d[1] for d in docs], bool)
             start = np.flatnonzero(np.diff(pair, prepend=-1))
