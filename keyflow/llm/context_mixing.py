@@ -101,14 +101,17 @@ def postings(docs: DataFrame) -> DataFrame:
 
         def flush():
             heads = np.array([u[0] if u else 0 for u in index], np.int64)
-            flat = np.concatenate(ids).astype(np.int64)
+            flat = np.concatenate(ids)
+            ids.clear()
             after = np.append(heads[flat[1:]], 0)
             after[np.cumsum(sizes) - 1] = 0  # nothing follows the end
-            text = np.repeat(np.arange(len(sizes)), sizes)
-            keys = flat << TIMES_AT
-            keys |= after << NEXT_AT
-            keys |= text << ROW_AT
+            text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            keys = flat.astype(np.int64)
+            keys <<= TIMES_AT
+            after <<= NEXT_AT
+            keys |= after
             del after
+            keys |= text << ROW_AT
             asked, matched = np.zeros((2, len(sizes) * MATCHES), np.int64)
             ends, a = np.cumsum(sizes), 0
             while a < len(sizes):  # some texts at a time
@@ -126,19 +129,27 @@ def postings(docs: DataFrame) -> DataFrame:
             del flat, text
             keys.sort()
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            ns = np.diff(np.append(first, len(keys)))
+            ns = np.diff(np.append(first, len(keys))).astype(np.int32)
             keys = keys[first]
             del first
-            row, pair = keys >> ROW_AT & CHUNK_DOCS - 1, keys >> NEXT_AT
             train = np.array([not d[1] for d in docs], bool)
-            start = np.flatnonzero(np.diff(pair, prepend=-1))
-            follow = (pair[start] & 255) << _FOLLOW | np.add.reduceat(ns * train[row], start)
-            follow_cuts = np.searchsorted(pair[start] >> TIMES_AT - NEXT_AT, np.arange(len(index) + 1))
-            parts = (ns + _MOST - 1) // _MOST  # a number that is too large for one posting is in several
-            nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            unit = np.repeat(keys >> TIMES_AT, parts)
-            packed = (np.minimum(np.repeat(ns, parts) - nth * _MOST, _MOST) << TIMES_AT | np.repeat(keys & (1 << TIMES_AT) - 1, parts)).astype(np.int32)
-            cuts = np.searchsorted(unit, np.arange(len(index) + 1))
+            learnt = np.where(train[keys >> ROW_AT & CHUNK_DOCS - 1], ns, 0)
+            pair = keys >> NEXT_AT
+            start = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+            pair = pair[start]
+            follow = (pair & 255) << _FOLLOW | np.add.reduceat(learnt, start, dtype=np.int64)
+            follow_cuts = np.searchsorted(pair >> TIMES_AT - NEXT_AT, np.arange(len(index) + 1))
+            del learnt, pair, start
+            if (ns > _MOST).any():  # a number that is too large for one posting is in several
+                parts = (ns + (_MOST - 1)) // _MOST
+                which = np.repeat(np.arange(len(ns), dtype=np.int32), parts)
+                nth = np.arange(len(which)) - (np.cumsum(parts) - parts)[which]
+                keys, ns = keys[which], np.minimum(ns[which] - nth * _MOST, _MOST).astype(np.int32)
+                del parts, which, nth
+            cuts = np.searchsorted(keys, np.arange(len(index) + 1) << TIMES_AT)
+            keys &= (1 << TIMES_AT) - 1
+            packed = keys.astype(np.int32) | ns << TIMES_AT
+            del keys, ns
             names_of = list(index)
             for at in range(0, len(names_of), 20_000):
                 to = min(len(names_of), at + 20_000)
