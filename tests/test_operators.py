@@ -375,3 +375,23 @@ def test_streams_equal_batch(spark, tmp_path):
     zipped = match.zip_match([KeyedInput(df.where(f"kind = {k}"), F.col("key"), F.col("value"), F.col("seq")) for k in (0, 1)])
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/z").collect())) == sorted((r.key, r.value_0, r.value_1) for r in zipped.collect())
     assert spark.read.parquet(f"{tmp_path}/b").count() == match.key_batches(df.select("key", "seq", "value"), 5).count()
+
+
+def test_reduce_deals_by_ranges(spark):
+    """No group of its own for each key or chunk, and keys of all kinds: null, NaN, beyond doubles; values with nulls."""
+    import datetime as dt
+
+    rows = spark.createDataFrame([(k, s, None if k == 2 and s == 3 else (1 << 60) + s) for k in (None, 1, 2, (1 << 60) + 1, (1 << 60) + 2) for s in range(40)], "key long, seq long, value long").repartition(3)
+    last = lambda k, vs: [v for v in vs if v == v][-2:]
+    want = sorted([(k, i, v) for k in (None, 1, (1 << 60) + 1, (1 << 60) + 2) for i, v in enumerate([(1 << 60) + 38, (1 << 60) + 39])], key=str)
+    for chunk in (None, 1, 7, 40, 1000):
+        found = reduce.reduce(rows, [last], T.LongType(), chunk=chunk)
+        assert not {"FlatMapGroupsInPandas", "Window"} & set(found._jdf.queryExecution().toString().replace("(", " ").split())
+        assert sorted((tuple(r) for r in found.collect() if r.key != 2), key=str) == want
+        assert [r.idx for r in found.where("key = 2").orderBy("idx").collect()] == [0, 1]
+    odd = spark.createDataFrame([(float("nan"), 1, dt.datetime(2024, 1, 1)), (float("nan"), 2, dt.datetime(2024, 1, 2)), (0.0, 1, dt.datetime(2024, 1, 3)), (-0.0, 2, None)], "key double, seq long, value timestamp")
+    for chunk in (None, 1, 5):
+        found = reduce.reduce(odd, [lambda k, vs: [max(v for v in vs if v is not None and v == v)] if any(v == v and v is not None for v in vs) else []], T.TimestampType(), chunk=chunk).collect()
+        assert sorted(r.value.day for r in found) == [2, 3]
+    sizes = reduce.reduce(rows, [lambda k, vs: [len(vs)]], T.LongType(), least=41)
+    assert sizes.count() == 0 and reduce.reduce(rows.limit(0), [last], T.LongType(), chunk=3).count() == 0
