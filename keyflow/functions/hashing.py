@@ -47,7 +47,23 @@ def poisson(mean: float, u: Column) -> Column:
     for k in range(low, int(mean + spread) + 1):
         total += mass(k)
         steps.append(min(total, 1.0))
-    return (F.size(F.filter(F.array(*map(F.lit, steps)), lambda step: step <= u)) + low).cast("int")
+    return (steps_below(steps, u) + low).cast("int")
+
+
+def steps_below(steps: list[float], u: Column, leaves: int = 64) -> Column:
+    """How many of some numbers in rising order lie at or below `u` (0 for null), by halving: plain comparisons down to
+    `leaves` ranges, so that the expression stays small, and a list's filter within a range."""
+    width = -(-len(steps) // leaves)
+
+    def within(a: int, b: int) -> Column:
+        if a == b:
+            return F.lit(a)
+        if 1 < b - a <= width:
+            return F.size(F.filter(F.array(*map(F.lit, steps[a:b])), lambda step: step <= u)) + a
+        half = (a + b) // 2
+        return F.when(u >= steps[half], within(half + 1, b)).otherwise(within(a, half))
+
+    return within(0, len(steps))
 
 
 def string_hash(text: Column) -> Column:

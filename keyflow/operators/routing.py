@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import folded_part, fraction, hashed_part, poisson
+from .ordering import fresh
 
 
 def hash_part(key: Column, parts: int, exact: bool = False) -> Column:
@@ -53,7 +54,11 @@ def to_bagged(df: DataFrame, parts: int, seed: int, *identity: Column) -> DataFr
 
 def to_poisson(df: DataFrame, parts: int, mean: float, seed: int, *identity: Column) -> DataFrame:
     """Each record to each partition a Poisson number of times, as `times` (those with 0 are left out)."""
-    return to_all(df, parts).withColumn("times", poisson(mean, fraction(seed, F.col("part"), *identity))).where("times > 0")
+    (u,) = fresh(df, "u")
+    drawn = to_all(df, parts).withColumn(u, fraction(seed, F.col("part"), *identity))
+    drawn = drawn.withColumn("times", poisson(mean, F.col(u)))
+    # none is the first step, told by a comparison alone, so that the number isn't worked out twice
+    return drawn.where(F.col(u) >= math.exp(-mean) if mean < 100 else F.col("times") > 0).drop(u)
 
 
 def selective(df: DataFrame, rules: Sequence[tuple[Column, Column]], otherwise: Column) -> DataFrame:

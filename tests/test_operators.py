@@ -395,3 +395,21 @@ def test_reduce_deals_by_ranges(spark):
         assert sorted(r.value.day for r in found) == [2, 3]
     sizes = reduce.reduce(rows, [lambda k, vs: [len(vs)]], T.LongType(), least=41)
     assert sizes.count() == 0 and reduce.reduce(rows.limit(0), [last], T.LongType(), chunk=3).count() == 0
+
+
+def test_poisson_compares_without_lists(spark):
+    """A usual mean has plain comparisons, no list that is filtered for each draw; the numbers are those of the list."""
+    from keyflow.functions.hashing import fraction, poisson, steps_below
+    from keyflow.operators import routing
+
+    drawn = spark.range(3).select(poisson(3.0, fraction(5, F.col("id"))).alias("n"))
+    assert "lambda" not in drawn._jdf.queryExecution().toString()
+    for n, leaves in ((0, 4), (1, 4), (61, 64), (200, 4), (200, 64), (64, 64)):
+        steps = sorted((7 * k % 23) / 23 for k in range(n))
+        rows = spark.range(-2, 60).select((F.when(F.col("id") > -2, F.col("id")) / 46.0).alias("u"))
+        for r in rows.select("u", steps_below(steps, F.col("u"), leaves).alias("n")).collect():
+            assert r.n == sum(r.u is not None and s <= r.u for s in steps)
+    for mean in (0.0, 2.0, 150.0, 400.0):
+        whole = spark.range(300).select("id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("part"))
+        whole = whole.withColumn("times", poisson(mean, fraction(9, F.col("part"), F.col("id")))).where("times > 0")
+        assert sorted(whole.collect()) == sorted(routing.to_poisson(spark.range(300), 3, mean, 9, F.col("id")).select("id", "part", "times").collect())
