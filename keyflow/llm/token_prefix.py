@@ -23,6 +23,8 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
+from operator import sub
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -31,7 +33,7 @@ from . import common
 from .word_tokens import _PLAIN, ChunkEncoder
 
 TOKEN_LIMIT = 2048
-_ROWS, _KEEP = 500, 300_000
+_ROWS, _KEEP, _KEEP_WORDS = 500, 300_000, 1_000_000
 #: Chunks of more bytes aren't kept.
 _LONG = 512
 
@@ -64,14 +66,15 @@ class PrefixCounts(dict):
         self.within = BPE(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
         self.ids, self.tokens = {"": 0}, [""]
         self.inner = self._finder(t for t in model["vocab"] if not t.endswith(self.end))
-        self.final = self._finder(t[: -len(self.end)] for t in model["vocab"] if t.endswith(self.end))
+        self.final = self._finder((t[: -len(self.end)] for t in model["vocab"] if t.endswith(self.end)), True)
         specials = sorted((t["content"] for t in parts["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, specials)) or "(?!)")
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         self.fits: dict[int, bool] = {}
 
-    def _finder(self, tokens):
-        """An automaton that finds all of the tokens that end at each place of a word, the longest first."""
+    def _finder(self, tokens, final: bool = False):
+        """An automaton that finds all of the tokens that end at each place of a word, the longest first: with each its
+        number, whether it ends words, and its length."""
         import ahocorasick
 
         found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -80,7 +83,7 @@ class PrefixCounts(dict):
                 if token not in self.ids:
                     self.ids[token] = len(self.tokens)
                     self.tokens.append(token)
-                found.add_word(token, self.ids[token] << 12 | len(token))
+                found.add_word(token, (self.ids[token] << 1 | final) << 12 | len(token))
         found.make_automaton()
         return found
 
@@ -92,34 +95,41 @@ class PrefixCounts(dict):
         return known
 
     def word(self, word: str) -> list[int]:
-        """The counts of a pre-token's first 1, 2, ... characters, by the recurrence."""
-        if (found := self.words.get(word)) is not None:
-            return found
-        raw = word.encode()
-        letters, size, fits = raw.decode("latin-1").translate(self.letters), len(raw), self.fits
+        """The counts of a pre-token's first 1, 2, ... characters."""
+        return list(accumulate(array("i", self.words.get(word) or self.steps(word))))
+
+    def steps(self, word: str) -> bytes:
+        """The differences of the counts of a pre-token's first 0, 1, 2, ... characters, by the recurrence."""
+        if word.isascii() and word.isprintable():  # these bytes stand for themselves
+            raw, letters, size = None, word, len(word)
+        else:
+            raw = word.encode()
+            letters, size = raw.decode("latin-1").translate(self.letters), len(raw)
+        known = self.fits.get
+        # counts, and last tokens as they stand in keys
         n, last, done = [0] * (size + 1), [0] * (size + 1), 0
         for at, value in self.inner.iter(letters):
             if at == done:  # the token that ends here is still to be found
-                since, token = at + 1 - (value & 0xFFF), value >> 12
-                key = last[since] << 33 | token << 1
-                if (fit := fits.get(key)) is None:
+                since, value = at + 1 - (value & 0xFFF), value >> 12
+                if (fit := known(key := last[since] | value)) is None:
                     fit = self.fit(key)
                 if fit:
-                    done = at + 1
-                    n[done], last[done] = n[since] + 1, token
+                    done += 1
+                    n[done], last[done] = n[since] + 1, value << 32
         ends, here = [0] * (size + 1), 0
         for at, value in self.final.iter(letters):
             if at >= here:
                 since = at + 1 - (value & 0xFFF)
-                key = last[since] << 33 | value >> 12 << 1 | 1
-                if (fit := fits.get(key)) is None:
+                if (fit := known(key := last[since] | value >> 12)) is None:
                     fit = self.fit(key)
                 if fit:
                     here = at + 1
                     ends[here] = n[since] + 1
-        found = ends[1:] if size == len(word) else [ends[k] for k in range(1, size + 1) if k == size or raw[k] & 0xC0 != 0x80]
-        if done != size or not all(found):
+        if raw is not None and size != len(word):
+            ends = [0, *(ends[k] for k in range(1, size + 1) if k == size or raw[k] & 0xC0 != 0x80)]
+        if done != size or 0 in ends[1:]:
             raise AssertionError(f"no token ends at each place of {word!r}")
+        found = array("i", map(sub, ends[1:], ends)).tobytes()
         if size <= _LONG:
             self.words[word] = found
         return found
@@ -161,8 +171,10 @@ class PrefixCounts(dict):
     def __missing__(self, chunk: bytes) -> bytes:
         text = chunk.decode()
         if plain := _PLAIN.fullmatch(text):
-            counts = [0, *self.word(plain[1].lower())]
-            counts += [counts[-1] + c for c in self.word(plain[2])] if plain[2] else []
+            stem, end = plain[1].lower(), plain[2]
+            out = self.words.get(stem) or self.steps(stem)
+            if end:
+                out += self.words.get(end) or self.steps(end)
         else:
             counts, at = [0], 0
             for found in self.special.finditer(text):
@@ -172,15 +184,16 @@ class PrefixCounts(dict):
                 at = found.end()
             base = counts[-1]
             counts += [base + c for c in self.ordinary(text[at:])[1:]]
-        out = array("i", [b - a for a, b in zip(counts, counts[1:])]).tobytes()
+            out = array("i", map(sub, counts[1:], counts)).tobytes()
         if len(chunk) <= _LONG:
             self[chunk] = out
         return out
 
     def trim(self) -> None:
-        """Between texts: empty the dictionaries once one is over its bound."""
-        if max(len(self), len(self.words)) > _KEEP:
+        """Between texts: empty a dictionary once it is over its bound. Words, which are dear to work out, outlast chunks."""
+        if len(self) > _KEEP:
             self.clear()
+        if len(self.words) > _KEEP_WORDS:
             self.words.clear()
         if len(self.fits) > 4 * _KEEP:
             self.fits.clear()

@@ -1010,3 +1010,19 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], docs).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_prefix_words_outlast_chunks(monkeypatch):
+    """A word is worked out once, however often the dictionary of chunks is emptied; each dictionary keeps to its own bound."""
+    counts = token_prefix.PrefixCounts(ChunkEncoder(token_prefix.vocabulary()))
+    monkeypatch.setattr(token_prefix, "_KEEP", 3)
+    worked, steps = [], counts.steps
+    monkeypatch.setattr(counts, "steps", lambda w: worked.append(w) or steps(w))
+    texts = ["Erste, zweite dritte. vierte!", "erste zweite; Dritte vierte", "Éérste naïve\x7f\x01 ab\x1fc it's 'tis é <|x|> 12.5 日本"] * 3
+    for text in texts:
+        table, alone = token_prefix.PrefixTable(text, counts), token_prefix.PrefixCounts(ChunkEncoder(token_prefix.vocabulary()))
+        assert table.table() == token_prefix.PrefixTable(text, alone).table()
+        assert table.total() == len(counts.tokenizer.encode(text, add_special_tokens=False).ids) and len(counts) <= 3
+    assert len(worked) == len(set(worked)) and "erste" in worked
+    monkeypatch.setattr(token_prefix, "_KEEP_WORDS", 2)
+    assert token_prefix.PrefixTable(texts[0], counts).table() and not counts.words
