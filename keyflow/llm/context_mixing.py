@@ -190,13 +190,15 @@ def hashed(context, k: int):
     return h ^ h >> np.uint64(31)
 
 
-def slot(h, before, k: int):
-    """The place in all tables of a context's hash with the bits before, for the k-th table."""
+def slot(h, spread, k: int):
+    """The place in all tables of a context's hash with the bits before, for the k-th table; `spread` is the bits before
+    times a factor, the same for all tables."""
     import numpy as np
 
     bits = (*REST_BITS, *HEAD_BITS)[k]
-    turned = (h ^ before.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xFF51AFD7ED558CCD)
-    return (turned >> np.uint64(64 - bits)).astype(np.int64) + OFFSETS[k]
+    turned = (h ^ spread) * np.uint64(0xFF51AFD7ED558CCD)
+    turned >>= np.uint64(64 - bits)
+    return turned.view(np.int64) + OFFSETS[k]
 
 
 class Nodes:
@@ -238,7 +240,8 @@ class Nodes:
         before = np.ones(len(byte), np.int64)
         for k in range(8):
             bit = byte >> 7 - k & 1
-            yield k, before, bit, [slot(h, before, t) for h, t in zip(hashes, self.tables)]
+            spread = before.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            yield k, before, bit, [slot(h, spread, t) for h, t in zip(hashes, self.tables)]
             before = before << 1 | bit
 
 
@@ -402,7 +405,9 @@ def states(zeros, ones):
     import numpy as np
 
     logit = np.log((ones + np.float32(0.2)) / (zeros + np.float32(0.2)))
-    kind = np.minimum(np.frexp(zeros + ones + np.float32(1))[1] - 1, SEEN_KINDS // 2 - 1)
+    # the exponent of a number from 1 on, which its bits begin with
+    seen = (zeros + ones + np.float32(1)).astype(np.float32, copy=False)
+    kind = np.minimum((seen.view(np.int32) >> 23) - 127, SEEN_KINDS // 2 - 1)
     return logit, (kind + SEEN_KINDS // 2 * ((zeros == 0) | (ones == 0))).astype(np.int16)
 
 
@@ -586,7 +591,8 @@ def scored_units(found: DataFrame, model: Model, n_parts: int) -> DataFrame:
 
 def counted_units(found: DataFrame) -> DataFrame:
     """unit, nexts (first bytes of next units), counts (of each in training text), of postings."""
-    each = found.where("unit IS NOT NULL").select("unit", F.explode("follow").alias("f"))
+    # dealt by unit before lists are taken apart: a chunk has a unit once, so nothing would combine before, and both groupings need this one exchange
+    each = found.where("unit IS NOT NULL").select("unit", "follow").repartition("unit").select("unit", F.explode("follow").alias("f"))
     each = each.select("unit", F.shiftright("f", _FOLLOW).cast("int").alias("next"), F.col("f").bitwiseAND((1 << _FOLLOW) - 1).alias("n"))
     each = each.groupBy("unit", "next").agg(F.sum("n").alias("n")).groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("next", "n"))).alias("x"))
     return each.select("unit", F.col("x.next").alias("nexts"), F.col("x.n").alias("counts"))

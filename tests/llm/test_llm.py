@@ -1026,3 +1026,19 @@ def test_prefix_words_outlast_chunks(monkeypatch):
     assert len(worked) == len(set(worked)) and "erste" in worked
     monkeypatch.setattr(token_prefix, "_KEEP_WORDS", 2)
     assert token_prefix.PrefixTable(texts[0], counts).table() and not counts.words
+
+
+def test_mixing_counts_units_in_one_exchange(spark):
+    """Lists of next bytes are dealt by unit once and taken apart after that; kinds of counts are their logarithms."""
+    import numpy as np
+
+    docs = spark.createDataFrame([(k, "ab cd ab " * (k + 1) + f"x{k}") for k in range(6)], "doc_id long, text string")
+    counted = context_mixing.counted_units(context_mixing.postings(docs.repartition(3)))
+    assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(unit") == 1
+    found = {bytes(r.unit): dict(zip(r.nexts, r.counts)) for r in counted.collect()}
+    held = {k for k in range(6) if zlib.crc32(str(k).encode()) % 7 == 2}
+    train = [k for k in range(6) if k not in held]
+    n = sum(k + 1 for k in train)
+    assert found[b"ab"] == {ord("c"): n, ord("a"): sum(train), ord("x"): len(train)} and found[b"cd"] == {ord("a"): n}
+    sums = np.array([0, 1, 2, 3, 6, 7, 1000, 1 << 22], np.float32)
+    assert context_mixing.states(sums, np.zeros_like(sums))[1].tolist() == [8 + min(int(x + 1).bit_length() - 1, 7) for x in sums]
