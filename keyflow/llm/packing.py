@@ -171,10 +171,10 @@ def pack_documents(
 
     def pieces(batches: Iterator) -> Iterator[Piece]:
         encoder, end = ChunkEncoder(path or vocabulary()), END_ID.to_bytes(4, "little")
-        for batch in common.slices(batches, _ROWS):
+        for batch in batches:
             masked = batch.column(2).to_pylist() if prompt_tokens else [0] * batch.num_rows
-            for doc_id, text, m in zip(batch.column(0).to_pylist(), common.utf8(batch.column(1)), masked):
-                ids = encoder.ids(text) + end
+            for doc_id, ids, m in zip(batch.column(0).to_pylist(), encoder.column_ids(batch.column(1)), masked):
+                ids += end
                 n, m = len(ids) >> 2, m or 0
                 yield Piece(doc_id, ids, 0, n, b"\0" * min(m, n) + b"\1" * (n - m) if m else None)
 

@@ -1042,3 +1042,25 @@ def test_mixing_counts_units_in_one_exchange(spark):
     assert found[b"ab"] == {ord("c"): n, ord("a"): sum(train), ord("x"): len(train)} and found[b"cd"] == {ord("a"): n}
     sums = np.array([0, 1, 2, 3, 6, 7, 1000, 1 << 22], np.float32)
     assert context_mixing.states(sums, np.zeros_like(sums))[1].tolist() == [8 + min(int(x + 1).bit_length() - 1, 7) for x in sums]
+
+
+def test_column_ids_look_words_up_once(monkeypatch):
+    """Ids of a column are the library's, text by text; a word is encoded once, whatever its letters' case and the signs after it."""
+    import pyarrow as pa
+
+    from keyflow.llm import word_tokens
+
+    encoder, rng = ChunkEncoder(VOCABULARY), random.Random(8)
+    letters = "aabbcdeeQÀéßÿŸñ'<|>.,!?$_^`{~ 01²北\u0301\u0338İ\u3000\xa0\x00\x1c😀 \t\n "
+    texts = [None, "", " \n ", "!!<|endoftext|>'re", *("".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(400)), "Été été! ÉTÉ... été?! don't' x= x<\u0338", None]
+    monkeypatch.setattr(word_tokens, "_KEEP", 3)
+    for at_once, column in ((1, pa.array(texts)), (100, pa.array(["x", *texts], pa.large_string()).slice(1)), (8 << 20, pa.array(texts))):
+        monkeypatch.setattr(word_tokens, "_AT_ONCE", at_once)
+        found = [[int.from_bytes(i[k : k + 4], "little") for k in range(0, len(i), 4)] for i in encoder.column_ids(column)]
+        assert found == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    fresh, worked = ChunkEncoder(VOCABULARY), []
+    whole = fresh._stem
+    monkeypatch.setattr(fresh, "_stem", lambda w: worked.append(w) or whole(w))
+    words = [f"word{a}{b}" for a in "abcdé" for b in "xyz"]
+    list(fresh.column_ids(pa.array([" ".join(w.upper() + s if k % 2 else w + s for w in words for s in ("", ".", "$$")) for k in range(8)])))
+    assert sorted(worked) == sorted(words) and list(fresh.column_ids(pa.array([], pa.string()))) == []
