@@ -62,3 +62,20 @@ def slices(batches, rows: int):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def text_slices(column, most_bytes: int, most_rows: int):
+    """Of an Arrow string column, null as empty: the number of a first row, and texts from there of at most so many bytes
+    and rows, or one text."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(column.cast(pa.large_string()), "")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][: len(texts) + 1] if len(texts) else ()
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most_bytes, side="right")) - 1)
+        to = min(to, at + most_rows)
+        yield at, texts.slice(at, to - at)
+        at = to

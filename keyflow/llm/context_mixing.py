@@ -48,6 +48,8 @@ SLOTS, SEEN_KINDS, MAP_STEPS = OFFSETS[-1], 16, 33
 LEAST_BEGINNING, MOST_BEGINNING = 5, 48
 PART_UNITS, COMMON_UNITS, STEP_NODES, PARTS_A_TASK = 50_000, 4096, 1 << 14, 8
 RATE, CHUNK_DOCS, CHUNK_BYTES = 0.1, 1 << 14, 32 << 20
+#: Bytes and texts that are taken apart at a time.
+SLICE_BYTES, SLICE_DOCS = 8 << 20, 2048
 START, END = b"", b"\xff"
 #: Kinds of matches, by the logarithm of how many there were in a row, and the weight of their rate in training texts.
 MATCHES, MATCH_WEIGHT = 8, 4.0
@@ -81,6 +83,15 @@ def matches(units, text):
     return now, hit, np.minimum(np.frexp(now - last_miss[now - 1])[1] - 1, MATCHES - 1)
 
 
+def spelled(units):
+    """The bytes of an Arrow array, end to end and a zero, and where each one's begin and the last one's end."""
+    import numpy as np
+
+    _, cuts, data = units.buffers()
+    cuts = np.frombuffer(cuts, np.int32)[units.offset :][: len(units) + 1] if len(units) else np.zeros(1, np.int32)
+    return np.append(np.frombuffer(data or b"", np.uint8)[cuts[0] : cuts[-1]], np.uint8(0)), cuts - cuts[0]
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """For chunks of documents: a row for each different unit, with its numbers in training text by the next unit's
     first byte, and the documents that have it, with next bytes and how often; and a row for each document."""
@@ -88,23 +99,35 @@ def postings(docs: DataFrame) -> DataFrame:
     def rows(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 24
         kinds = [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         names = [x.split()[0] for x in _ROWS.split(", ")]
-        index: dict[bytes, int] = {}
-        ids, sizes, docs, size = [], [], [], 0
+        words, docs, n_docs, size = [], [], 0, 0  # each slice's words as an Arrow dictionary, and its documents' columns
 
         def lists(cuts, a, b, values):
             return pa.ListArray.from_arrays(pa.array((cuts[a : b + 1] - cuts[a]).astype(np.int32)), pa.array(values[cuts[a] : cuts[b]]))
 
         def flush():
-            heads = np.array([u[0] if u else 0 for u in index], np.int64)
-            flat = np.concatenate(ids)
-            ids.clear()
+            doc_ids, held, n_tokens, n_bytes = (pa.concat_arrays(c) for c in zip(*docs))
+            found = pa.chunked_array(words).unify_dictionaries()
+            words.clear()
+            units = pa.concat_arrays([pa.array([START, END], pa.binary()), found.chunk(0).dictionary.cast(pa.large_binary()).cast(pa.binary())])
+            sizes = n_tokens.to_numpy() + 1
+            ends = np.cumsum(sizes)
+            inner = np.ones(ends[-1], bool)
+            inner[ends - sizes] = inner[ends - 1] = False
+            flat = np.zeros(len(inner), np.int32)
+            flat[ends - 1] = 1
+            flat[inner] = np.concatenate([c.indices.to_numpy() for c in found.chunks])
+            flat[inner] += 2
+            del found, inner
+            data, starts = spelled(units)
+            heads = np.where(starts[1:] > starts[:-1], data[starts[:-1]], 0).astype(np.int64)
             after = np.append(heads[flat[1:]], 0)
-            after[np.cumsum(sizes) - 1] = 0  # nothing follows the end
+            after[ends - 1] = 0  # nothing follows the end
             text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
             keys = flat.astype(np.int64)
             keys <<= TIMES_AT
@@ -113,7 +136,7 @@ def postings(docs: DataFrame) -> DataFrame:
             del after
             keys |= text << ROW_AT
             asked, matched = np.zeros((2, len(sizes) * MATCHES), np.int64)
-            ends, a = np.cumsum(sizes), 0
+            a = 0
             while a < len(sizes):  # some texts at a time
                 start = int(ends[a]) - sizes[a]
                 b = max(a + 1, int(np.searchsorted(ends, start + MATCHED_UNITS, side="right")))
@@ -132,13 +155,13 @@ def postings(docs: DataFrame) -> DataFrame:
             ns = np.diff(np.append(first, len(keys))).astype(np.int32)
             keys = keys[first]
             del first
-            train = np.array([not d[1] for d in docs], bool)
+            train = ~held.to_numpy(zero_copy_only=False)
             learnt = np.where(train[keys >> ROW_AT & CHUNK_DOCS - 1], ns, 0)
             pair = keys >> NEXT_AT
             start = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
             pair = pair[start]
             follow = (pair & 255) << _FOLLOW | np.add.reduceat(learnt, start, dtype=np.int64)
-            follow_cuts = np.searchsorted(pair >> TIMES_AT - NEXT_AT, np.arange(len(index) + 1))
+            follow_cuts = np.searchsorted(pair >> TIMES_AT - NEXT_AT, np.arange(len(units) + 1))
             del learnt, pair, start
             if (ns > _MOST).any():  # a number that is too large for one posting is in several
                 parts = (ns + (_MOST - 1)) // _MOST
@@ -146,37 +169,35 @@ def postings(docs: DataFrame) -> DataFrame:
                 nth = np.arange(len(which)) - (np.cumsum(parts) - parts)[which]
                 keys, ns = keys[which], np.minimum(ns[which] - nth * _MOST, _MOST).astype(np.int32)
                 del parts, which, nth
-            cuts = np.searchsorted(keys, np.arange(len(index) + 1) << TIMES_AT)
+            cuts = np.searchsorted(keys, np.arange(len(units) + 1) << TIMES_AT)
             keys &= (1 << TIMES_AT) - 1
             packed = keys.astype(np.int32) | ns << TIMES_AT
             del keys, ns
-            names_of = list(index)
-            for at in range(0, len(names_of), 20_000):
-                to = min(len(names_of), at + 20_000)
+            for at in range(0, len(units), 20_000):
+                to = min(len(units), at + 20_000)
                 own = [lists(follow_cuts, at, to, follow), lists(cuts, at, to, packed), pa.array([chunk] * (to - at), pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(names_of[at:to], pa.binary()), *own, *(pa.nulls(to - at, t) for t in kinds[4:])], names=names)
-            k = len(docs)
-            own = [pa.array([chunk] * k, pa.int64()), pa.array(range(k), pa.int32()), *(pa.array(c, t) for c, t in zip(zip(*docs), kinds[5:9]))]
+                yield pa.RecordBatch.from_arrays([units[at:to], *own, *(pa.nulls(to - at, t) for t in kinds[4:])], names=names)
+            k = len(sizes)
+            own = [pa.array([chunk] * k, pa.int64()), pa.array(range(k), pa.int32()), doc_ids, held, n_tokens, n_bytes]
             own += [pa.array(list(x), pa.list_(pa.int32())) for x in (asked, matched)]
             yield pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in kinds[:3]), *own], names=names)
 
-        for batch in common.slices(batches, 200):
-            for doc_id, text, held in zip(batch.column(0).to_pylist(), common.utf8(batch.column(1)), batch.column(2).to_pylist()):
-                units = [START, *text.lower().split(), END]
-                for u in set(units).difference(index):
-                    index[u] = len(index)
-                ids.append(np.array([index[u] for u in units], np.int32))
-                sizes.append(len(units))
-                docs.append((doc_id, held, len(units) - 1, sum(map(len, units)) + len(units) - 2))
-                size += len(text)
-                if len(docs) == CHUNK_DOCS or size > CHUNK_BYTES:
+        for batch in batches:
+            for at, texts in common.text_slices(batch.column(1), SLICE_BYTES, SLICE_DOCS):
+                n, more = len(texts), pc.sum(pc.binary_length(texts)).as_py()
+                if n_docs and (n_docs + n > CHUNK_DOCS or size + more > CHUNK_BYTES):
                     yield from flush()
-                    chunk, size = chunk + 1, 0
-                    index.clear()
-                    ids.clear()
-                    sizes.clear()
                     docs.clear()
-        if docs:
+                    chunk, n_docs, size = chunk + 1, 0, 0
+                by_text = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+                cuts, found = by_text.offsets.to_numpy() - by_text.offsets[0].as_py(), by_text.flatten()
+                lengths = pc.binary_length(found).to_numpy()
+                some = lengths > 0  # white space around a text leaves empty words
+                n_words, n_bytes = (np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[cuts]) for x in (some, lengths))
+                words.append((found if some.all() else found.filter(pa.array(some))).dictionary_encode())
+                docs.append((batch.column(0).slice(at, n).cast(pa.int64()), batch.column(2).slice(at, n), pa.array(n_words + 1), pa.array(n_bytes + n_words + 1)))
+                n_docs, size = n_docs + n, size + more
+        if n_docs:
             yield from flush()
 
     return docs.select("doc_id", "text", common.crc_is("doc_id", 7, 2).alias("held_out")).mapInArrow(rows, _ROWS)
@@ -248,13 +269,14 @@ class Nodes:
 class Rest(Nodes):
     """All bytes but the first of sorted words, with the space."""
 
-    def __init__(self, words: list[bytes], ns):
+    def __init__(self, words, ns):
         import numpy as np
+        import pyarrow.compute as pc
 
         super().__init__(tuple(range(len(REST))))
-        self.sizes = np.array([len(w) + 1 for w in words], np.int64)
-        starts = np.cumsum(self.sizes) - self.sizes
-        data = np.frombuffer(b" ".join([*words, b""]), np.uint8)
+        data, cuts = spelled(pc.binary_join_element_wise(words, b"", b" "))
+        data, starts = data[:-1], cuts[:-1].astype(np.int64)
+        self.sizes = np.diff(cuts).astype(np.int64)
         unit = np.repeat(np.arange(len(words)), self.sizes)
         place = np.arange(len(data)) - starts[unit]
         # the number of first bytes that a word shares with the one before it
@@ -340,11 +362,15 @@ class Rest(Nodes):
 class Head(Nodes):
     """First bytes after units: of the unit numbers `unit`, the bytes `after` with their numbers."""
 
-    def __init__(self, units: list[bytes], unit, after, ns):
+    def __init__(self, units, unit, after, ns):
         import numpy as np
 
         super().__init__(tuple(range(len(REST), len(REST + HEAD))))
-        last = np.array([int.from_bytes(u[-2:], "little") for u in units], np.uint64)
+        data, cuts = spelled(units)
+        sizes, last = np.diff(cuts), np.zeros(len(units), np.uint64)
+        for back in (1, 2):  # the last two bytes, or the only one, the last as the highest
+            has = sizes >= back
+            last[has] = (last[has] << np.uint64(8)) | data[cuts[1:][has] - back]
         self.hashes = [hashed(np.zeros(len(unit), np.uint64) if back == 0 else last[unit], len(REST) + k) for k, back in enumerate(HEAD)]
         self.bytes, self.unit, self.ns = np.asarray(after, np.int64), np.asarray(unit, np.int64), np.asarray(ns, float)
 
@@ -354,20 +380,24 @@ class Head(Nodes):
 
 
 class Part:
-    """The units of a part in order, with their numbers."""
+    """The units of a part in order, with their numbers, of an Arrow table (unit, nexts, counts); `ghosts` (beginning,
+    byte, number) are those of words in other parts."""
 
-    def __init__(self, rows: list[tuple]):
+    def __init__(self, own, ghosts: list[tuple[bytes, int, int]] = ()):
         import numpy as np
-
-        own = sorted(r[:1] + r[2:] for r in rows if not r[1])
-        self.units, self.nexts, self.counts = [r[0] for r in own], [r[1] for r in own], [r[2] for r in own]
-        self.ns = np.array([sum(c) for c in self.counts], np.int64)
-        self.words = np.array([k for k, u in enumerate(self.units) if u not in (START, END)], np.int64)
-        self.rest = Rest([self.units[k] for k in self.words], self.ns[self.words])
-        self.followed = np.array([k for k, (u, x) in enumerate(zip(self.units, self.nexts)) if u != END for _ in x], np.int64)
-        self.after = [b for u, x in zip(self.units, self.nexts) if u != END for b in x]
-        self.head = Head(self.units, self.followed, self.after, [n for u, c in zip(self.units, self.counts) if u != END for n in c])
-        self.ghosts = [(r[0], r[2][0], r[3][0]) for r in rows if r[1]]
+        import pyarrow.compute as pc
+
+        self.units, nexts, counts = (c.combine_chunks() for c in own.sort_by("unit").select(["unit", "nexts", "counts"]).columns)
+        cuts = nexts.offsets.to_numpy() - nexts.offsets[0].as_py() if len(nexts) else np.zeros(1, np.int32)
+        after, ns = nexts.flatten().to_numpy(), counts.flatten().to_numpy()
+        self.ns = np.diff(np.concatenate([[0], np.cumsum(ns, dtype=np.int64)])[cuts])
+        end = pc.equal(self.units, END).to_numpy(zero_copy_only=False)
+        self.words = np.flatnonzero(pc.not_equal(self.units, START).to_numpy(zero_copy_only=False) & ~end)
+        self.rest = Rest(self.units.take(self.words), self.ns[self.words])
+        follows = np.repeat(~end, np.diff(cuts))
+        self.followed, self.after = np.repeat(np.arange(len(end)), np.diff(cuts))[follows], after[follows]
+        self.head = Head(self.units, self.followed, self.after, ns[follows])
+        self.ghosts = ghosts
 
     def count(self) -> "Part":
         self.rest.beginnings(self.ghosts)
@@ -377,8 +407,11 @@ class Part:
 
 def parts(table) -> Iterator[Part]:
     """The part of an Arrow table of its rows."""
-    columns = [table.column(c).to_pylist() for c in ("unit", "ghost", "nexts", "counts")]
-    yield Part(list(zip(*columns)))
+    import pyarrow.compute as pc
+
+    ghost = table.column("ghost")
+    ghosts = [(r["unit"], r["nexts"][0], r["counts"][0]) for r in table.filter(ghost).to_pylist()]
+    yield Part(table.filter(pc.invert(ghost)), ghosts)
 
 
 def _table_counts(batches: Iterator) -> Iterator:
@@ -388,7 +421,7 @@ def _table_counts(batches: Iterator) -> Iterator:
 
     counts = np.zeros(2 * SLOTS)
     for batch in common.slices(batches, 8192):
-        part = Part([(u, False, x, c) for u, x, c in zip(*(c.to_pylist() for c in batch.columns))])
+        part = Part(pa.Table.from_batches([batch]))
         for nodes in (part.rest, part.head):
             for _, _, bit, slots in nodes.bits(0, len(nodes.bytes)):
                 for s in slots:
@@ -582,8 +615,8 @@ def scored_units(found: DataFrame, model: Model, n_parts: int) -> DataFrame:
             logs = np.zeros(len(part.units))
             logs[part.words] = part.rest.sums(shared.value.node_scores(part.rest, 0))
             cuts = np.concatenate([[0], np.cumsum(np.bincount(part.followed, minlength=len(part.units)))]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x, k)) for x, k in ((part.after, pa.int32()), (shared.value.node_scores(part.head, 1), pa.float32()))]
-            out.append(pa.table([pa.array(part.units, pa.binary()), pa.array(part.ns), pa.array(logs), *lists], names=["unit", "n", "log_p", "nexts", "next_logs"]))
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x, k)) for x, k in ((part.after.astype(np.int32), pa.int32()), (shared.value.node_scores(part.head, 1), pa.float32()))]
+            out.append(pa.table([part.units, pa.array(part.ns), pa.array(logs), *lists], names=["unit", "n", "log_p", "nexts", "next_logs"]))
         return pa.concat_tables(out)
 
     return dealt(found, n_parts).groupBy("part").applyInArrow(score, "unit binary, n long, log_p double, nexts array<int>, next_logs array<float>")

@@ -15,6 +15,8 @@ import os
 import re
 from collections.abc import Iterator
 
+from . import common
+
 #: Letters whose NFC form is themselves and whose lower case is one letter, then punctuation that forms one pre-token.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN, _WORD = re.compile(f"([{_LETTERS}]+)([.,;:!?]*)"), re.compile(f"[{_LETTERS}]+")
@@ -81,19 +83,9 @@ class ChunkEncoder(dict):
 
     def column_ids(self, texts) -> Iterator[bytes]:
         """The ids of each text of an Arrow string column, null as empty."""
-        import numpy as np
-        import pyarrow as pa
-
-        if not len(texts):
-            return
-        texts = texts.cast(pa.large_string())
-        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        at = 0
-        while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + _AT_ONCE, side="right")) - 1)
-            yield from self._some_ids(texts.slice(at, to - at))
+        for _, some in common.text_slices(texts, _AT_ONCE, len(texts)):
+            yield from self._some_ids(some)
             self.trim()
-            at = to
 
     def _some_ids(self, texts) -> Iterator[bytes]:
         """The same, of texts that are few enough to be taken apart together."""
@@ -101,7 +93,7 @@ class ChunkEncoder(dict):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        lists = pc.ascii_split_whitespace(texts)
         found = lists.flatten().dictionary_encode()
         chunks = found.dictionary
         words = pc.utf8_rtrim(chunks, characters=_SIGNS)

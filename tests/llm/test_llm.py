@@ -1064,3 +1064,35 @@ def test_column_ids_look_words_up_once(monkeypatch):
     words = [f"word{a}{b}" for a in "abcdé" for b in "xyz"]
     list(fresh.column_ids(pa.array([" ".join(w.upper() + s if k % 2 else w + s for w in words for s in ("", ".", "$$")) for k in range(8)])))
     assert sorted(worked) == sorted(words) and list(fresh.column_ids(pa.array([], pa.string()))) == []
+
+
+def test_mixing_parts_and_postings_from_columns(spark):
+    """A part takes its Arrow columns as they are, in any order; postings agree with plain counts over more texts than are taken apart at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    cm = context_mixing
+    counts = {cm.START: {97: 2}, b"a": {255: 1, 98: 4}, b"abc": {0xC3: 3}, "é".encode(): {97: 0}, cm.END: {0: 9}}
+    rows = [(0, u, False, list(c), list(c.values())) for u, c in reversed(counts.items())] + [(0, b"abcde", True, [102], [5])]
+    table = pa.Table.from_pylist([dict(zip(("part", "unit", "ghost", "nexts", "counts"), r)) for r in rows], pa.schema([("part", pa.int32()), ("unit", pa.binary()), ("ghost", pa.bool_()), ("nexts", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))]))
+    for some in (table, pa.concat_tables([table.slice(0, 2), table.slice(2)])):
+        (part,) = cm.parts(some)
+        assert part.units.to_pylist() == sorted(counts) and part.ns.tolist() == [sum(counts[u].values()) for u in sorted(counts)]
+        assert part.words.tolist() == [1, 2, 3] and part.rest.data.tobytes() == b"a abc " + "é ".encode() and part.ghosts == [(b"abcde", 102, 5)]
+        assert part.followed.tolist() == [0, 1, 1, 2, 3] and part.after.tolist() == [97, 255, 98, 0xC3, 97] and part.head.ns.tolist() == [2, 1, 4, 3, 0]
+        last = np.array([0, 97, 97, int.from_bytes(b"bc", "little"), int.from_bytes("é".encode(), "little")], np.uint64)
+        assert part.head.hashes[1].tolist() == cm.hashed(last, len(cm.REST) + 1).tolist()
+    (empty,) = cm.parts(table.slice(0, 0))
+    assert not len(empty.count().words) and not len(next(cm.parts(table.filter(pa.compute.equal(table["unit"], cm.START)))).count().words)
+
+    texts = [None, "", " \t\n", *(f"  A{k % 7}\tb{k % 3}\x0b É{k} \n" if k % 2 else f"a{k % 7} x\x1cy" for k in range(5000)), " a  a a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found, follow = cm.postings(docs).collect(), {}
+    split = [(t or "").encode().lower().split() for t in texts]
+    assert [(r.row, r.doc_id, r.n_tokens, r.n_bytes) for r in found if r.unit is None] == [(k, k, len(w) + 1, len(b" ".join(w)) + 1 + bool(w)) for k, w in enumerate(split)]
+    for k, w in enumerate(split):
+        for a, b in zip([cm.START, *w, cm.END], [*w, cm.END, b"\0"]):
+            follow.setdefault(a, {}).setdefault(b[0], 0)
+            follow[a][b[0]] += zlib.crc32(str(k).encode()) % 7 != 2
+    assert sorted(bytes(r.unit) for r in found if r.unit is not None) == sorted(follow)
+    assert {bytes(r.unit): {f >> cm._FOLLOW: f & (1 << cm._FOLLOW) - 1 for f in r.follow} for r in found if r.unit is not None} == follow
